@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, langid
+from cohortlake.llm import decontaminate, langid, line_dedup
 from cohortlake.llm.shared import table
 
 
@@ -55,8 +55,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_gone_lines", "n_line_words", "n_gone_words", F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op8_langid": op8_langid}
+    return {"op4_decontaminate": op4_decontaminate, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
