@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, langid, line_dedup, packing, token_files
+from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, token_files
 from cohortlake.llm.shared import fresh_path, table
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rated = fertility.rate(docs, pieces_file=public_tokenizers.path("piece_bpe_32k.model"), bytes_file=public_tokenizers.path("byte_bpe_50k.json"))
+    return rated.drop("lang")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -74,7 +80,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup}
+    return {"op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

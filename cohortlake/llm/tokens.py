@@ -24,13 +24,20 @@ class Encoder:
     word after it; else white space yields no ids."""
 
     def __init__(self, file: str, spaced: bool):
+        self.kind = np.uint16 if self._load(file) <= 1 << 16 else np.uint32
+        self.spaced = spaced
+        self._reset()
+
+    def _load(self, file: str) -> int:
+        """Opens the vocabulary; its size."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.spaced = spaced
-        self._reset()
+        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _reset(self) -> None:
         self.slot: dict[int, int] = {}
@@ -67,7 +74,7 @@ class Encoder:
 
     def _learn(self, t: X.Texts, keys: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
         words = [t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = self._ids(words)
         sizes = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), dtype=self.kind, count=int(sizes.sum()))
         n, m = len(self.slot), len(keys)
@@ -113,11 +120,28 @@ class Encoder:
         return out, counts + 1
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+class PieceEncoder(Encoder):
+    """The same with the sentencepiece library: the ids of each word by itself, white space left out."""
+
+    def _load(self, file: str) -> int:
+        import sentencepiece
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=file)
+        ids = [i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i)]
+        #: The first and last id of single bytes; they lie together.
+        self.byte_ids = (ids[0], ids[-1]) if ids else (1, 0)
+        return self.pieces.vocab_size()
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return self.pieces.encode(words, num_threads=1)
+
+
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(file: str, spaced: bool) -> Encoder:
+def encoder(file: str, spaced: bool, kind: type[Encoder] = Encoder) -> Encoder:
     """This process's encoder for the file; its cache outlives a task."""
-    if (file, spaced) not in _encoders:
-        _encoders[file, spaced] = Encoder(file, spaced)
-    return _encoders[file, spaced]
+    key = (file, spaced, kind.__name__)
+    if key not in _encoders:
+        _encoders[key] = kind(file, spaced)
+    return _encoders[key]
