@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, token_files
+from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, token_files, trie_join
 from cohortlake.llm.shared import fresh_path, table
 
 
@@ -79,8 +79,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_gone_lines", "n_line_words", "n_gone_words", F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
 
 
+def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup}
+    return {"op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
 
 
 def oracle_sql() -> dict[str, str]:
