@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, token_files, trie_join, url_lists
+from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, quality_em, token_files, trie_join, url_lists
 from cohortlake.llm.shared import fresh_path, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_em.classify(docs, quality_em.fit(docs), keep_text=False)
+
+
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     rated = fertility.rate(docs, pieces_file=public_tokenizers.path("piece_bpe_32k.model"), bytes_file=public_tokenizers.path("byte_bpe_50k.json"))
@@ -145,7 +150,7 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op7_url_lists": op7_url_lists, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
+    return {"op1_quality": op1_quality, "op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op7_url_lists": op7_url_lists, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
 
 
 def oracle_sql() -> dict[str, str]:
