@@ -26,7 +26,8 @@ BAD, NONE, GOOD = 0, 1, 2
 #: Labellers on one statistic each: bad beyond the first bound, good within the second, in the direction
 #: of the sign (+1: large values are bad), no vote between or where the statistic needs more words.
 LABELLERS = (
-    ("symbols", +1, 0.02, 0.005, 5),
+    ("symbols", +1, 0.05, 0.005, 5),
+    ("marked_words", +1, 0.25, 0.05, 5),
     ("capitals", +1, 0.30, 0.12, 5),
     ("exclamations", +1, 0.20, 0.05, 5),
     ("distinct_words", -1, 0.35, 0.50, 40),
@@ -64,11 +65,13 @@ def statistics(t: X.Texts) -> tuple[np.ndarray, X.Pieces, np.ndarray]:
     doc = p.doc().astype(np.uint64)
     distinct = np.bincount(doc[np.unique(X.mix(h + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]].astype(np.int64), minlength=len(t))
     letters = np.concatenate([[0], np.cumsum(_LETTER[t.data])])
+    marks = np.concatenate([[0], np.cumsum(_SYMBOLS[t.data])])
     lone = X.sums(letters[p.ends] == letters[p.starts], p)
     sizes = X.sums(p.ends - p.starts, p)
     lines = X.lines(t)
     rows = [
         share(_SYMBOLS[t.data], sizes),
+        X.sums(marks[p.ends] > marks[p.starts], p) / n,
         share(_CAPITAL[t.data], np.maximum(letters[t.ends] - letters[t.starts], 1)),
         share(_BANG[t.data], n),
         # the usual growth of the vocabulary with the length is taken out

@@ -7,6 +7,8 @@ whole. tests/llm/test_tokens.py holds the ids against the library's own for each
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,8 +17,10 @@ from cohortlake.llm import text as X
 
 #: White space that is none of \x20, \x09-\x0D.
 _RARE_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Chunks whose ids a worker keeps; at the bound it starts anew.
-CACHE_CHUNKS = 600_000
+#: Chunks whose ids a worker keeps (about 40 bytes each); at the bound it starts anew.
+CACHE_CHUNKS = 3_000_000
+#: Chunks encoded in one call, as one text with a special token between them.
+_JOINED = 500
 
 
 class Encoder:
@@ -32,17 +36,33 @@ class Encoder:
         """Opens the vocabulary; its size."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.plain, self.splitting = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: i for i, t in self.splitting.get_added_tokens_decoder().items() if t.special}
+        self.reserved = list(special)
+        self.mark = next(iter(special), None)
+        self.mark_id = special.get(self.mark, -1)
+        return self.plain.get_vocab_size(with_added_tokens=True)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word by itself, in a row, and how many each has.
+
+        Words are joined by a special token, at which the library splits before it does anything else.
+        A word that holds such a token's string is encoded alone."""
+        odd = [any(m in w for m in self.reserved) for w in words] if self.mark is not None else []
+        if self.mark is None or any(odd):
+            found = [np.array(e.ids, dtype=np.int64) for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        joined = [self.mark.join(words[i : i + _JOINED]) + self.mark for i in range(0, len(words), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in self.splitting.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(marks, prepend=-1) - 1
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, self.kind)
         self.used = 0
 
@@ -72,12 +92,11 @@ class Encoder:
         order = np.argsort(starts, kind="stable")
         return starts[order], ends[order]
 
-    def _learn(self, t: X.Texts, keys: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
-        words = [t.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found = self._ids(words)
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), dtype=self.kind, count=int(sizes.sum()))
-        n, m = len(self.slot), len(keys)
+    def _learn(self, t: X.Texts, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = t.data.tobytes()
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        flat, sizes = self._encode_words(words)
+        n, m = len(self.known), len(keys)
         while n + m > len(self.begin):
             self.begin, self.size = np.concatenate([self.begin, self.begin]), np.concatenate([self.size, self.size])
         while self.used + len(flat) > len(self.flat):
@@ -86,7 +105,16 @@ class Encoder:
         self.begin[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + m] = sizes
         self.used += len(flat)
-        self.slot.update(zip(keys, range(n, n + m), strict=True))
+        both = np.concatenate([self.known, keys])
+        order = np.argsort(both, kind="stable")
+        self.known, self.slot = both[order], np.concatenate([self.slot, np.arange(n, n + m, dtype=np.int32)])[order]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the ids of each chunk are; -1 if it is new."""
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.slot[at], -1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text by text, and how many each text has. Null texts have none."""
@@ -96,15 +124,14 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(len(t), np.int64)
         keys, at, back = np.unique(X.hashes(t.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_CHUNKS:
             self._reset()
-        names = keys.tolist()
-        slots = np.fromiter((self.slot.get(k, -1) for k in names), np.int64, len(names))
+        slots = self._slots(keys)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            self._learn(t, [names[i] for i in new.tolist()], starts[at[new]], ends[at[new]])
-            slots[new] = np.arange(len(self.slot) - len(new), len(self.slot))
-        sizes = self.size[slots][back]
+            slots[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn(t, keys[new], starts[at[new]], ends[at[new]])
+        sizes = self.size[slots][back].astype(np.int64)
         ids = self.flat[X.spans(self.begin[slots][back], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[np.searchsorted(starts, t.ends)] - total[np.searchsorted(starts, t.starts)]
@@ -132,8 +159,10 @@ class PieceEncoder(Encoder):
         self.byte_ids = (ids[0], ids[-1]) if ids else (1, 0)
         return self.pieces.vocab_size()
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        return self.pieces.encode(words, num_threads=1)
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.pieces.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
 
 _encoders: dict[tuple, Encoder] = {}
