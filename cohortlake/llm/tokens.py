@@ -117,10 +117,14 @@ class Encoder:
         return np.where(self.known[at] == keys, self.slot[at], -1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, text by text, and how many each text has. Null texts have none."""
+        """All ids, text by text, and how many each text has. Null texts have none.
+
+        chunk_sizes then has the ids of each chunk; unless `spaced`, chunks are the words of the texts,
+        but for the texts of which `whole` is true: those are one chunk."""
         t = X.texts(column)
         whole = pc.fill_null(pc.match_substring_regex(column, _RARE_SPACE), False).to_numpy(zero_copy_only=False)
         starts, ends = self._chunks(t, whole)
+        self.whole, self.chunk_sizes = whole, np.zeros(0, np.int64)
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(len(t), np.int64)
         keys, at, back = np.unique(X.hashes(t.data, starts, ends), return_index=True, return_inverse=True)
@@ -132,6 +136,7 @@ class Encoder:
             slots[new] = np.arange(len(self.known), len(self.known) + len(new))
             self._learn(t, keys[new], starts[at[new]], ends[at[new]])
         sizes = self.size[slots][back].astype(np.int64)
+        self.chunk_sizes = sizes
         ids = self.flat[X.spans(self.begin[slots][back], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[np.searchsorted(starts, t.ends)] - total[np.searchsorted(starts, t.starts)]
