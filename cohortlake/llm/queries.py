@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, fertility, langid, line_dedup, packing, quality_em, token_files, trie_join, url_lists
+from cohortlake.llm import attention_lm, decontaminate, fertility, langid, line_dedup, packing, quality_em, token_files, trie_join, url_lists
 from cohortlake.llm.shared import fresh_path, table
 
 
@@ -23,6 +23,12 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("lang")
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), (~held_out).alias("train"), "text")
+    return attention_lm.score(docs, file=public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -150,7 +156,7 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_fertility": op2_fertility, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op7_url_lists": op7_url_lists, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
+    return {"op1_quality": op1_quality, "op2_fertility": op2_fertility, "op3_attention_lm": op3_attention_lm, "op4_decontaminate": op4_decontaminate, "op5_packing": op5_packing, "op6_token_files": op6_token_files, "op7_url_lists": op7_url_lists, "op8_langid": op8_langid, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
 
 
 def oracle_sql() -> dict[str, str]:
