@@ -52,11 +52,10 @@ def count_within(events: DataFrame, condition: Column, before_ms: int, after_ms:
 def next_baskets(events: DataFrame, *, head: str, item: str, basket: str, product: str) -> DataFrame:
     """(id, rn, item columns, product_before): each item of a basket with each product of the basket before it.
 
-    Baskets are numbered per customer by a window; pairs of neighbouring baskets then meet by equality on
-    (id, basket number), so a customer's history is never joined with itself as a whole.
+    A customer's baskets are numbered in the order of their heads; pairs of neighbouring baskets then meet by
+    equality on (id, basket number), so a customer's history is never joined with itself as a whole.
     """
-    w = ordered()
-    counted = events.withColumn("n_basket", F.sum(F.when(F.col("event") == head, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    items = counted.where(F.col("event") == item)
+    heads = events.where(F.col("event") == head).select("id", basket, F.row_number().over(ordered()).alias("n_basket"))
+    items = events.where(F.col("event") == item).join(heads, ["id", basket])
     before = items.select("id", (F.col("n_basket") + 1).alias("n_basket"), F.col(product).alias("product_before")).distinct()
     return items.join(before, ["id", "n_basket"]).where(F.col(product) != F.col("product_before"))
