@@ -4,7 +4,8 @@ Two documents link if their sets of 5-word shingles have a Jaccard similarity of
 there loses no link:
 
 1. Equal sets are one class; only its smallest id goes on.
-2. All sets are ordered alike: shingles by hash, the most common ones of the corpus last. Linked sets
+2. All sets are ordered alike: shingles by hash, those of several documents last, by their counts in
+   the corpus, so that the first ones of a document without near copies occur nowhere else. Linked sets
    share a shingle among the first n - ceil(0.8 n) + 1 of each, and their sizes differ by a quarter at
    most. Classes that share such a shingle, chained through sizes that near, make up a candidate group.
 3. A group's sets go into a trie, the group's common shingles first, so alike sets share a path. Each
@@ -17,7 +18,6 @@ there loses no link:
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +32,12 @@ from cohortlake.llm.shared import partitions, saved, ship
 
 WORDS = 5
 PERCENT = 80
-#: Common shingles that go last: at most so many from a task and in all. They only shape the order.
-COMMON_PER_TASK = 20_000
-COMMON = 200_000
-COMMON_LEAST = 16
+#: Shingles in so many documents go last, the most common ones at the end: the top COMMON of them all,
+#: by 40-bit fingerprints. They only shape the order, so neither the bound nor a clash can lose a link.
+COMMON_LEAST = 3
+COMMON = 2_000_000
 #: Shingles of the sets in one trie; larger groups are dealt to blocks of about half that.
-TRIE_SHINGLES = 3_000_000
+TRIE_SHINGLES = 500_000
 
 
 class Trie:
@@ -140,45 +140,50 @@ class Trie:
 
 def join_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links among hashed sets, by id."""
-    counts = Counter()
-    for s in sets:
-        counts.update(s.tolist())
-    rank = {h: k for k, (h, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
-    trie = Trie([tuple(sorted(map(rank.__getitem__, s.tolist()))) for s in sets])
+    flat, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(flat), np.int64)
+    rank[np.lexsort((flat, -counts))] = np.arange(len(flat))
+    numbered = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
+    trie = Trie([tuple(np.sort(x).tolist()) for x in numbered])
     return [(ids[a], ids[b]) for a, b in trie.links()]
 
 
-def _common(text: str):
-    """The most repeated shingles of the task's documents, with counts."""
+def _fingerprint(w: np.ndarray) -> np.ndarray:
+    return w >> np.uint64(24)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, back = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([counts, *[np.ones(len(p), np.int64) for p in parts]])).astype(np.int64)
-            if len(k) > 4_000_000:  # what is rare so far matters least for the order
-                k, n = k[n > 1], n[n > 1]
-            return k, n
+def _print_shingles(text: str):
+    """Fingerprints of the documents' shingles, 32 bits in each of 256 buckets, and how many documents have
+    each, 255 at most from one batch."""
 
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.portions(batch, text):
-                w, _ = X.shingle_sets(X.texts(part.column(text)), WORDS)
-                parts.append(w)
-                size += len(w)
-                if size > 2_000_000:
-                    keys, counts = merged()
-                    parts, size = [], 0
-        keys, counts = merged()
-        top = np.flatnonzero(counts > 1)
-        if len(top) > COMMON_PER_TASK:
-            top = top[np.argsort(-counts[top], kind="stable")[:COMMON_PER_TASK]]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], names=["shingle", "n"])
+            for part in X.portions(batch, text, 8 << 20):
+                w, n = np.unique(_fingerprint(X.shingle_sets(X.texts(part.column(text)), WORDS)[0]), return_counts=True)
+                bounds = np.searchsorted(w, np.arange(257, dtype=np.uint64) << np.uint64(32))
+                per = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), X.binaries(w.astype(np.uint32), per), X.binaries(np.minimum(n, 255).astype(np.uint8), per)], names=["bucket", "prints", "counts"])
 
     return run
 
 
+def _count_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints that occur in COMMON_LEAST documents or more."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for b, prints, counts in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            held.setdefault(b, []).append((np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint8)))
+    for b in list(held):
+        parts = held.pop(b)
+        keys, n = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.argsort(keys)
+        keys, total = keys[order], np.concatenate([[0], np.cumsum(n[order].astype(np.int64))])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        n = np.diff(total[np.append(first, len(keys))])
+        top = n >= COMMON_LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(((np.int64(b) << 32) | keys[first[top]].astype(np.int64))), pa.array(n[top])], names=["shingle", "n"])
+
+
 def _prefixes(common, text: str):
     """Each document's size, class (two hashes of its set) and leading shingles in the common order."""
 
@@ -193,8 +198,9 @@ def _prefixes(common, text: str):
                 one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
                 two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
                 if len(keys) and len(w):
-                    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                    late = np.where(keys[at] == w, ranks[at], 0)
+                    prints = _fingerprint(w)
+                    at = np.minimum(np.searchsorted(keys, prints), len(keys) - 1)
+                    late = np.where(keys[at] == prints, ranks[at], 0)
                     w = w[np.argsort((doc << 32) | late, kind="stable")]
                 lead = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
                 first = w[X.spans(ends - n, lead)]
@@ -335,8 +341,8 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(_common("text"), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    printed = rows.select("text").mapInArrow(_print_shingles("text"), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
+    top = printed.mapInArrow(_count_prints, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     keys, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.minimum(n[order], (1 << 31) - 1)))
