@@ -39,8 +39,9 @@ _SCRIPTS = (("latin", X._table((0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9))), ("gre
 
 
 def _over(mask: np.ndarray, t: X.Texts) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(mask)])
-    return total[t.ends] - total[t.starts]
+    total = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=total[1:])
+    return (total[t.ends] - total[t.starts]).astype(np.int64)
 
 
 def duplicate_lines(t: X.Texts, words: X.Pieces) -> np.ndarray:
@@ -86,7 +87,7 @@ def _measure(text: str, pieces_file: str, bytes_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([n for n, _ in _SCRIPTS] + ["other"])
         for batch in batches:
-            for part in X.portions(batch, text):
+            for part in X.portions(batch, text, 2 << 20):
                 column = part.column(text)
                 t = X.texts(column)
                 p = X.pieces(t, X.SPACES)
@@ -99,7 +100,7 @@ def _measure(text: str, pieces_file: str, bytes_file: str):
                 fallback = _sums((ids >= low) & (ids <= high), n)
                 spread = _entropy(ids.astype(np.int64), n)
                 _, n_bytes = encoder(bytes_file, False).encode(column)
-                scripts = np.stack([_over(m[t.data], t) for _, m in _SCRIPTS] + [np.zeros(len(t), np.int64)])
+                scripts = np.stack([_over(m[t.data], t) for _, m in _SCRIPTS])
                 script = np.where(scripts.max(axis=0) > 0, scripts.argmax(axis=0), len(_SCRIPTS))
                 rest = [c for c in part.schema.names if c != text]
                 made = [p.counts, chars, _over(_SYMBOLS[t.data], t), duplicate_lines(t, p), repeated_words(h, p), n, chars / np.maximum(n, 1), chars / np.maximum(n_bytes, 1), fallback / np.maximum(n, 1), spread]

@@ -209,7 +209,9 @@ def sums(values: np.ndarray, p: Pieces) -> np.ndarray:
 
 def code_points(data: np.ndarray) -> np.ndarray:
     """How many characters begin before each byte, and in all."""
-    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
 
 
 def shingle_sets(t: Texts, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from cohortlake.llm import text as X
 #: White space that is none of \x20, \x09-\x0D.
 _RARE_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Chunks whose ids a worker keeps (about 40 bytes each); at the bound it starts anew.
-CACHE_CHUNKS = 3_000_000
+CACHE_CHUNKS = 1_500_000
 #: Chunks encoded in one call, as one text with a special token between them.
 _JOINED = 500
 
@@ -36,13 +36,20 @@ class Encoder:
         """Opens the vocabulary; its size."""
         from tokenizers import Tokenizer
 
-        self.plain, self.splitting = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.splitting = Tokenizer.from_file(file)
         special = {t.content: i for i, t in self.splitting.get_added_tokens_decoder().items() if t.special}
         self.reserved = list(special)
         self.mark = next(iter(special), None)
         self.mark_id = special.get(self.mark, -1)
-        return self.plain.get_vocab_size(with_added_tokens=True)
+        self.vocabulary_size = self.splitting.get_vocab_size(with_added_tokens=True)
+        return self.vocabulary_size
+
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        self.splitting.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        try:
+            return [e.ids for e in self.splitting.encode_batch_fast(words, add_special_tokens=False)]
+        finally:
+            self.splitting.encode_special_tokens = False
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word by itself, in a row, and how many each has.
@@ -51,7 +58,7 @@ class Encoder:
         A word that holds such a token's string is encoded alone."""
         odd = [any(m in w for m in self.reserved) for w in words] if self.mark is not None else []
         if self.mark is None or any(odd):
-            found = [np.array(e.ids, dtype=np.int64) for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
+            found = [np.array(ids, dtype=np.int64) for ids in self._alone(words)]
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
         joined = [self.mark.join(words[i : i + _JOINED]) + self.mark for i in range(0, len(words), _JOINED)]
         ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in self.splitting.encode_batch_fast(joined, add_special_tokens=False)])
