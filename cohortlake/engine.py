@@ -16,7 +16,7 @@ from cohortlake.operators import histogram as hist
 from cohortlake.operators import render, rows, segments
 from cohortlake.operators.tally import compare, tally
 from cohortlake.plans.interpreter import Interpreter
-from cohortlake.plans.lowering import Lowering, Unsupported, needs
+from cohortlake.plans.lowering import Lowering, Unsupported, needs, needs_places
 from cohortlake.plans.syntax import Script, parse, walk
 from cohortlake.sources import events as source
 from cohortlake.spec import Catalog, Property, TableSpec
@@ -121,12 +121,13 @@ class Engine:
     def parsed(self, b: Bound, script: str, precedence: str, params: dict | None) -> Script:
         return parse(script, {p.name for p in b.spec.properties} | set(b.events.columns), precedence=precedence, params=params)
 
-    def frame(self, b: Bound, script: Script, session_ms: int | None, only: list[str] | None = None, extra: set[str] = frozenset()) -> DataFrame:
+    def frame(self, b: Bound, script: Script, session_ms: int | None, only: list[str] | None = None, extra: set[str] = frozenset(), places: bool = True) -> DataFrame:
         """Ordered rows with the columns the script mentions; session and metadata only where it does."""
         own = {c for c in b.events.columns if c not in ("id", "stamp", "event", "z", "seq")}
         used = needs(script, own) | (extra & own)
         events = b.events if not only or "*" in only else segments.restrict(b.events, self.members(b.spec.name), *only)
-        out = rows.number(events.select("id", "stamp", "event", "z", "seq", *sorted(used)))
+        out = events.select("id", "stamp", "event", "z", "seq", *sorted(used))
+        out = rows.number(out) if places else out.withColumn("rn", F.col("seq"))
         said = {n.value for n in walk(script.body) if n.kind in ("name", "call", "filter")} | {a.prop for a in script.select} | set(extra)
         if {"session", "session_count"} & said:
             out = rows.with_session(out, session_ms or b.spec.setting("session_time"))
@@ -182,10 +183,11 @@ class Engine:
         groups = [f"g{k + 1}" for k in range(depth)]
         now = now or int(time.time() * 1000)
         used = {a.prop for a in s.select} | {a.key for a in s.select if a.key}
-        frame = self.frame(b, s, session_time, None if not segments or len(segments) > 1 else segments, used)
+        only = None if not segments or len(segments) > 1 else segments
         pushes, plan, single = None, "", False
         if path != "interpreter":
             try:
+                frame = self.frame(b, s, session_time, only, used, needs_places(s))
                 low = Lowering(s, frame, now=now, compat_nil_order=compat_nil_order).run()
                 if low.returns:
                     raise Unsupported("return in an event query")
@@ -195,6 +197,7 @@ class Engine:
                     raise QueryError(str(e), "no_expression_form") from e
                 plan = f"interpreter, one customer per group: {e}"
         if pushes is None:
+            frame = self.frame(b, s, session_time, only, used)
             pushes = self.interpret(b, s, frame, now=now, depth=depth, session_ms=session_time or b.spec.setting("session_time"), compat=compat_nil_order)
             plan = plan or "interpreter, one customer per group"
         options = {"by_stamp": stamp_counts, "distinct_rows": single}

@@ -16,9 +16,9 @@ def unequal(a: Column, b: Column) -> Column:
 
 
 def ordered(op: str, a: Column, b: Column) -> Column:
-    """< <= > >=; false if either side is nil."""
+    """< <= > >=; false if either side is nil. In this form the comparison still reaches the scan."""
     raw = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-    return F.coalesce(raw, F.lit(False))
+    return a.isNotNull() & b.isNotNull() & raw
 
 
 def both(a: Column, b: Column) -> Column:
@@ -44,6 +44,11 @@ def truthy(x: Column, kind: T.DataType) -> Column:
     return F.coalesce(yes, F.lit(False))
 
 
+def among(a: Column, values: list) -> Column:
+    """a is one of plain values; false if it is nil."""
+    return a.isNotNull() & a.isin(*values)
+
+
 def contains(xs: Column, v: Column, many: bool) -> Column:
     """xs holds v, or all of v where v is a container."""
     yes = F.size(F.array_except(v, xs)) == 0 if many else F.array_contains(xs, v)

@@ -29,6 +29,19 @@ class Unsupported(Exception):
     """No expression form; the message says what."""
 
 
+def _plain_list(n: Node) -> list | None:
+    """The values of a list of plain values."""
+    return [p.value for p in n.parts] if n.kind == "list" and n.parts and all(p.kind == "lit" and p.value is not None for p in n.parts) else None
+
+
+def needs_places(script: Script) -> bool:
+    """Whether rows must be numbered; else any unique number of a row will do, and no sort is needed."""
+    said = walk(script.body)
+    return any(a.kind == "value" for a in script.select) or any(
+        n.kind in ("return", "exit") or n.kind in ("name", "call") and n.value in ("cursor", "get_row") or n.kind == "inline" and n.value == "row" or n.kind == "each" and "from" in dict(n.value) for n in said
+    )
+
+
 @dataclass
 class Push:
     frame: DataFrame
@@ -185,6 +198,8 @@ class Lowering:
 
     def truth(self, n: Node, top: bool = False) -> Column:
         c = self.expr(n, top)
+        if n.kind in ("compare", "logic", "not", "filter"):
+            return c  # never null
         kind = self.kind(c)
         return F.coalesce(c, F.lit(False)) if isinstance(kind, T.BooleanType) else nil.truthy(c, kind)
 
@@ -226,8 +241,18 @@ class Lowering:
         return a & b if n.value == "&&" else a | b
 
     def of_compare(self, n: Node, top: bool) -> Column:
+        if n.value == "in" and (plain := _plain_list(n.parts[1])) is not None:
+            return self.one_of(self.expr(n.parts[0], top), plain)
         return self.compared(n.value, self.expr(n.parts[0], top), self.expr(n.parts[1], top))
 
+    def one_of(self, a: Column, values: list) -> Column:
+        """A form that the scan can filter by, if the values have the column's type."""
+        kind = self.kind(a)
+        same = {T.StringType: str, T.LongType: int, T.DoubleType: (int, float)}.get(type(kind))
+        if same is None or not all(isinstance(v, same) and not isinstance(v, bool) for v in values):
+            return nil.contains(F.array(*[F.lit(v) for v in values]), a, False)
+        return nil.among(a, values)
+
     def compared(self, op: str, a: Column, b: Column) -> Column:
         ka, kb = self.kind(a), self.kind(b)
         if op == "in":
@@ -272,18 +297,20 @@ class Lowering:
         for kind in ("is", "is_not", "row", "ever", "never"):
             if kind not in opts:
                 continue
-            op, wanted = opts[kind][0].value, self.expr(opts[kind][1], top)
+            op, value = opts[kind][0].value, opts[kind][1]
+            plain = _plain_list(value) if op == "in" else None
+            met = self.one_of(F.col(n.value), plain) if plain is not None else self.compared(op, F.col(n.value), self.expr(value, top))
             if kind in ("is", "is_not", "row"):
                 if top:
                     raise Unsupported(f"line {n.line}: is outside each_row")
-                yes = self.compared(op, F.col(n.value), wanted)
+                yes = met
                 return ~yes if kind == "is_not" else yes
             if {"next", "continue"} & set(opts):
                 raise Unsupported(f"line {n.line}: a start at another row")
             lo_hi = self.scope(n.parts[0])
             if not top and any(x.kind in ("name", "filter") and x.value in self.columns for _, args in n.parts[0] for x in walk(args)):
                 raise Unsupported(f"line {n.line}: a scope around each row")
-            met = self.held(rows.ever(self.compared(op, F.col(n.value), wanted), scope=self.in_bounds(lo_hi)))
+            met = self.held(rows.ever(met, scope=self.in_bounds(lo_hi)))
             return met if kind == "ever" else ~met
         raise Unsupported(f"line {n.line}: {n.value} without is, ever or never")
 
