@@ -38,6 +38,8 @@ COMMON_LEAST = 3
 COMMON = 2_000_000
 #: Shingles of the sets in one trie; larger groups are dealt to blocks of about half that.
 TRIE_SHINGLES = 500_000
+#: Bits of the filter that leaves documents outside all groups out of the shuffle of sets.
+MOST_SLOTS = 1 << 27
 
 
 class Trie:
@@ -158,7 +160,7 @@ def _print_shingles(text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.portions(batch, text, 8 << 20):
+            for part in X.portions(batch, text, 4 << 20):
                 w, n = np.unique(_fingerprint(X.shingle_sets(X.texts(part.column(text)), WORDS)[0]), return_counts=True)
                 bounds = np.searchsorted(w, np.arange(257, dtype=np.uint64) << np.uint64(32))
                 per = np.diff(bounds)
@@ -204,7 +206,7 @@ def _prefixes(common, text: str):
                     w = w[np.argsort((doc << 32) | late, kind="stable")]
                 lead = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
                 first = w[X.spans(ends - n, lead)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array((one[ends] - one[ends - n]).view(np.int64)), pa.array((two[ends] - two[ends - n]).view(np.int64)), X.binaries(first, lead)], names=["doc_id", "n", "hash_a", "hash_b", "lead"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array((one[ends] - one[ends - n]).view(np.int64)), pa.array((two[ends] - two[ends - n]).view(np.int64)), X.binaries(first, lead), X.binaries(X.mix(one[ends] - one[ends - n] + X.mix(two[ends] - two[ends - n])), np.ones(len(n), np.int64))], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole"])
 
     return run
 
@@ -240,16 +242,16 @@ def _arrays(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
 _POSTED = "bucket int, keys binary, hubs binary, lows binary, highs binary"
 
 
-def _post(buckets: int):
-    """Postings merged within the task: one per shingle and run of sizes, dealt to buckets by shingle.
+def _post(buckets: int, column: str):
+    """Postings of the keys in a column, merged within the task: one per shingle and run of sizes, dealt to buckets by shingle.
 
     Edges found here travel along, with bucket -1 - b and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            per = np.array([len(x) // 8 for x in batch.column("lead").to_pylist()], np.int64)
-            keys.append(_arrays(batch, "lead", np.uint64))
+            per = np.array([len(x) // 8 for x in batch.column(column).to_pylist()], np.int64)
+            keys.append(_arrays(batch, column, np.uint64))
             docs.append(np.repeat(batch.column("doc_id").to_numpy(), per))
             sizes.append(np.repeat(batch.column("n").to_numpy(), per))
         key, doc, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
@@ -300,16 +302,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["u", "v"])
 
 
-def _sets(text: str):
+def _sets(chosen, text: str):
+    """The sets of documents whose slot is marked: all candidates, and others by chance."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = chosen.value
         for batch in batches:
-            for part in X.portions(batch, text):
+            slot = batch.column("slot").to_numpy()
+            kept = batch.filter(pa.array(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1))
+            for part in X.portions(kept, text):
                 w, n = X.shingle_sets(X.texts(part.column(text)), WORDS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("group_id"), part.column("blocks"), X.binaries(w, n)], names=["doc_id", "group_id", "blocks", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), X.binaries(w, n)], names=["doc_id", "members"])
 
     return run
 
 
+def _marked(ids: DataFrame, slots: int) -> np.ndarray:
+    """A bitmap of the ids' slots: slots / 8 bytes, however many ids there are."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    rows = ids.groupBy(F.call_function("div", slot, F.lit(64)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {slots}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each group of rows (sorted by group_id, block_a, block_b)."""
     now, ids, sets = None, [], []
@@ -346,16 +362,19 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     keys, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.minimum(n[order], (1 << 31) - 1)))
-    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary"), "leads")
+    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
 
     sized = leads.where("n > 0 AND doc_id IS NOT NULL")
     same = ["hash_a", "hash_b", "n"]
     classes = sized.groupBy(*same).agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"))
-    equal = sized.select("doc_id", *same).join(classes.where("v < w"), same).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
-    equal = saved(equal.distinct(), "equal-sets")
     buckets = 4 * partitions(spark)
-    posted = sized.select("doc_id", "n", "lead").mapInArrow(_post(buckets), _POSTED)
-    near = posted.repartition(partitions(spark), "bucket").mapInArrow(_meet, "u long, v long")
+
+    def edges(column: str) -> DataFrame:
+        posted = sized.select("doc_id", "n", column).mapInArrow(_post(buckets, column), _POSTED)
+        return posted.repartition(partitions(spark), "bucket").mapInArrow(_meet, "u long, v long")
+
+    equal = saved(edges("whole").distinct(), "equal-sets")
+    near = edges("lead")
     groups = components(near.unionByName(equal))
 
     # one member of each class goes on, in groups of two classes or more
@@ -363,7 +382,11 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id")).join(firsts, "doc_id")
     sizes = members.groupBy("group_id").agg(F.sum("n").alias("total"), F.sum("sets").alias("sets")).where("sets > 1")
     work = saved(members.join(sizes.select("group_id", F.greatest(F.lit(1), F.when(F.col("total") > trie_shingles, F.ceil(2 * F.col("total") / trie_shingles)).otherwise(1)).cast("int").alias("blocks")), "group_id").select("doc_id", "group_id", "blocks"), "trie-members")
-    sets = rows.join(work, "doc_id").mapInArrow(_sets("text"), "doc_id long, group_id long, blocks int, members binary")
+    slots = min(MOST_SLOTS, 1 << max(20, int(16 * work.count()).bit_length()))
+    chosen = spark.sparkContext.broadcast(_marked(work, slots))
+    slotted = rows.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
+    # sets, not texts, are shuffled, and by a merge join at every size
+    sets = slotted.mapInArrow(_sets(chosen, "text"), "doc_id long, members binary").join(work.hint("merge"), "doc_id")
     # block k meets each block j: as the pair (min, max); a group of one block is its own pair
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
     dealt = sets.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 OR own != other")
