@@ -6,7 +6,7 @@ import re
 import time
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,10 @@ from cohortlake.sources import events as source
 from cohortlake.spec import Catalog, Property, TableSpec
 
 
+#: A histogram's foreach sends up to so many values to the tasks; beyond, values and customers are joined.
+FOREACH_VALUES = 10_000
+
+
 @dataclass
 class Result:
     """frame: (d, groups.., aggregates); plan says how the script ran and why."""
@@ -156,20 +160,56 @@ class Engine:
         def text(x) -> str:
             return str(x).lower() if isinstance(x, bool) else str(x)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("rn")
-            table = [{k: _plain(v) for k, v in r.items()} for r in pdf[data].to_dict("records")]
-            held = {c.removeprefix("_customer_"): _plain(pdf[c].iloc[0]) for c in props}
-            run_ = Interpreter(script, columns=columns, customer_columns=customer, now=now, session_ms=session_ms, compat_nil_order=compat)
-            out = run_.run(table, held)
+        made_once: list[Interpreter] = []
+
+        def run(table: list[dict], held: dict) -> list[tuple]:
+            if not made_once:
+                made_once.append(Interpreter(script, columns=columns, customer_columns=customer, now=now, session_ms=session_ms, compat_nil_order=compat))
+            out = made_once[0].run(table, {k.removeprefix("_customer_"): v for k, v in held.items()})
             if returned is not None:
                 value = out.returned
-                ok = [] if value is None else [(table[0]["id"], bool(value) if isinstance(returned, T.BooleanType) else float(value))]
-                return pd.DataFrame(ok, columns=["id", "value"])
-            made = [[table[k].get(c) for c in carried] + [text(x) for x in path] + [None] * (depth - len(path)) for k, path in out.pushes]
-            return pd.DataFrame(made, columns=[f.name for f in schema.fields])
+                return [] if value is None else [(table[0]["id"], bool(value) if isinstance(returned, T.BooleanType) else float(value))]
+            return [(*[table[k].get(c) for c in carried], *[text(x) for x in path], *[None] * (depth - len(path))) for k, path in out.pushes]
+
+        return self.by_group(frame, ["id"], data, props, run, schema)
 
-        return frame.groupBy("id").applyInPandas(run, schema)
+    def by_group(self, frame: DataFrame, keys: list[str], data: list[str], held: list[str], run, schema: T.StructType) -> DataFrame:
+        """run(rows, held values) for the rows of each key, in order of rn.
+
+        Partitions are sorted by key and streamed, so a task holds one group at a time. Their number is given:
+        adaptive plans would merge small partitions of slow groups into one task.
+        """
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+
+        def stream(batches):
+            now, table, props, made = None, [], {}, []
+
+            def batch(rows_: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows_, strict=True), out, strict=True)], schema=out)
+
+            for b in batches:
+                columns = {c: b.column(c).to_pylist() for c in dict.fromkeys([*keys, *data, *held])}
+                key_rows = zip(*[columns[k] for k in keys], strict=True)
+                for i, (key, values) in enumerate(zip(key_rows, zip(*[columns[c] for c in data], strict=True), strict=True)):
+                    if key != now:
+                        if table:
+                            made += run(table, props)
+                        now, table, props = key, [], {c: columns[c][i] for c in held}
+                        if len(made) > 10_000:
+                            yield batch(made)
+                            made = []
+                    table.append(dict(zip(data, values, strict=True)))
+            if table:
+                made += run(table, props)
+            if made:
+                yield batch(made)
+
+        return frame.repartition(self.tasks(), *keys).sortWithinPartitions(*keys, "rn").mapInArrow(stream, schema)
+
+    def tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def event(self, name: str, script: str, *, segments: list[str] | None = None, sort: str | None = None, order: str | None = None, trim: int | None = None, session_time: int | None = None, stamp_counts: bool = False, now: int | None = None, precedence: str = "usual", params: dict | None = None, compat_nil_order: bool = False, path: str = "auto") -> Result:
         """An event query. path: 'auto', or 'expressions' or 'interpreter' to force one. Two or more
@@ -306,23 +346,40 @@ class Engine:
         values = b.events.where(F.col(foreach).isNotNull()).select(F.col(foreach).alias("each_value")).distinct()
         s = self.parsed(b, script, "usual", None)
         frame = self.frame(b, s, None, segments, {foreach})
-        # every customer meets every value of the property, as rows of an explicit pair key
-        pairs = frame.join(values.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
-        outs = self.interpret_pairs(b, s, pairs, now or int(time.time() * 1000))
+        now = now or int(time.time() * 1000)
+        listed = [r[0] for r in values.limit(FOREACH_VALUES + 1).collect()]
+        if len(listed) <= FOREACH_VALUES:
+            outs = self.interpret_values(b, s, frame, listed, values.schema["each_value"].dataType, now)
+        else:
+            pairs = frame.join(values.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+            outs = self.interpret_pairs(b, s, pairs, now)
         return hist.histogram(outs, bucket=bucket, low=min, high=max, by=["each_value"])
 
+    def interpret_values(self, b: Bound, script: Script, frame: DataFrame, values: list, kind: T.DataType, now: int) -> DataFrame:
+        """The script on each customer once per value: rows are not copied, and few values travel to the tasks."""
+        data = [c for c in frame.columns if not c.startswith("_customer_")]
+        session_ms = b.spec.setting("session_time")
+        made_once: list[Interpreter] = []
+
+        def run(table: list[dict], _: dict) -> list[tuple]:
+            if not made_once:
+                made_once.append(Interpreter(script, columns=set(data), now=now, session_ms=session_ms))
+            got = ((v, made_once[0].run(table, {}, v).returned) for v in values)
+            return [(table[0]["id"], v, float(x)) for v, x in got if x is not None]
+
+        schema = T.StructType([frame.schema["id"], T.StructField("each_value", kind), T.StructField("value", T.DoubleType())])
+        return self.by_group(frame, ["id"], data, [], run, schema)
+
     def interpret_pairs(self, b: Bound, script: Script, pairs: DataFrame, now: int) -> DataFrame:
         data = [c for c in pairs.columns if c != "each_value" and not c.startswith("_customer_")]
         session_ms = b.spec.setting("session_time")
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("rn")
-            table = [{k: _plain(v) for k, v in r.items()} for r in pdf[data].to_dict("records")]
-            value = Interpreter(script, columns=set(data), now=now, session_ms=session_ms).run(table, {}, _plain(pdf["each_value"].iloc[0])).returned
-            rows_ = [] if value is None else [(table[0]["id"], pdf["each_value"].iloc[0], float(value))]
-            return pd.DataFrame(rows_, columns=["id", "each_value", "value"])
+        def run(table: list[dict], held: dict) -> list[tuple]:
+            value = Interpreter(script, columns=set(data), now=now, session_ms=session_ms).run(table, {}, held["each_value"]).returned
+            return [] if value is None else [(table[0]["id"], held["each_value"], float(value))]
 
-        return pairs.groupBy("id", "each_value").applyInPandas(run, T.StructType([pairs.schema["id"], pairs.schema["each_value"], T.StructField("value", T.DoubleType())]))
+        schema = T.StructType([pairs.schema["id"], pairs.schema["each_value"], T.StructField("value", T.DoubleType())])
+        return self.by_group(pairs, ["id", "each_value"], data, ["each_value"], run, schema)
 
     def property(self, name: str, prop: str, *, bucket: float | None = None, segments: list[str] | None = None, **filters) -> DataFrame:
         b = self.table(name)
@@ -363,15 +420,6 @@ class Engine:
         return out
 
 
-def _plain(v):
-    """A pandas value as scripts know it."""
-    if v is None or isinstance(v, float) and v != v or v is pd.NaT:
-        return None
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    return v
-
-
 def sections(text: str) -> list[tuple[str, str, str]]:
     """(kind, head, body) of the sections that begin with @kind."""
     parts = re.split(r"^[ \t]*@(\w+)[ \t]*([^\n]*)$", text, flags=re.M)
