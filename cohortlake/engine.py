@@ -287,6 +287,43 @@ class Engine:
         out = self.interpret(b, s, frame, now=now, depth=0, session_ms=session_time or b.spec.setting("session_time"), compat=False, returned=kind)
         return out, f"interpreter: {why}"
 
+    def apply(self, name: str, script: str, *, now: int | None = None) -> DataFrame:
+        """Runs a script for what it assigns to customer properties; nil unsets one. Returns the new customers table."""
+        b = self.table(name)
+        s = self.parsed(b, script, "usual", None)
+        known = {p.name: p for p in b.spec.customer_properties}
+        targets = sorted({n.parts[0].value for n in walk(s.body) if n.kind == "assign" and n.parts[0].kind == "name"} & set(known))
+        if not targets:
+            raise AnalysisError("the script assigns no customer property", "no_assignment")
+        now = now or int(time.time() * 1000)
+        frame = self.frame(b, s, None)
+        for p in known:
+            if f"_customer_{p}" not in frame.columns and p in targets:
+                frame = rows.attach(frame, b.customers.select("id", F.col(p).alias(f"_customer_{p}")))
+        held = [c for c in frame.columns if c.startswith("_customer_")]
+        data, session_ms = [c for c in frame.columns if c not in held], b.spec.setting("session_time")
+        cast = {"int": int, "double": float, "bool": bool, "text": str}
+        made_once: list[Interpreter] = []
+
+        def plain(p: Property, v):
+            if v is None:
+                return None
+            return sorted(cast[p.type](x) for x in v) if p.is_set else cast[p.type](v)
+
+        def run(table: list[dict], own: dict) -> list[tuple]:
+            if not made_once:
+                made_once.append(Interpreter(s, columns=set(data), customer_columns=set(known), now=now, session_ms=session_ms))
+            # a set that is nil is one to add to
+            before = {k: set(v or ()) if known[k].is_set else v for k, v in ((k.removeprefix("_customer_"), v) for k, v in own.items())}
+            got = made_once[0].run(table, before).props
+            return [(table[0]["id"], *[x for t in targets for x in (t in got, plain(known[t], got.get(t)))])] if got else []
+
+        fields = [f for t in targets for f in (T.StructField(f"_set_{t}", T.BooleanType()), T.StructField(f"_new_{t}", known[t].spark_type))]
+        news = self.by_group(frame, ["id"], data, held, run, T.StructType([frame.schema["id"], *fields]))
+        joined = b.customers.join(news, "id", "full_outer")
+        b.customers = joined.select("id", *[(F.when(F.coalesce(f"_set_{p}", F.lit(False)), F.col(f"_new_{p}")).otherwise(F.col(p)) if p in targets else F.col(p)).alias(p) for p in known if p in b.customers.columns])
+        return b.customers
+
     # segments
 
     def segment(self, name: str, text: str, *, now: int | None = None) -> DataFrame:

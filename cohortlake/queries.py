@@ -557,6 +557,17 @@ def _coerced(raw, spec):
     return typed.withColumn("seq", F.split_part("event", F.lit("\x01"), F.lit(2)).cast("long")).withColumn("event", F.split_part("event", F.lit("\x01"), F.lit(1)))
 
 
+@query(
+    "sc_property_write_back",
+    """WITH s AS (SELECT o_custkey AS id, sum(o_totalprice) AS t, count(*) AS n FROM orders GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN n > 9 THEN 'many' WHEN n IS NOT NULL THEN NULL ELSE c_mktsegment END AS segment, round(CASE WHEN n IS NOT NULL THEN t ELSE c_acctbal END, 2) AS balance FROM customer LEFT JOIN s ON id = c_custkey""",
+)
+def _(spark, sf_dir):
+    e = baskets(spark, sf_dir)
+    script = "balance = sum(price) where event.is(== 'order')\nif (count(order_id) where event.is(== 'order')) > 9\n segment = 'many'\nelse\n segment = nil\nend"
+    return e.apply("baskets", script, now=NOW).withColumn("balance", F.round("balance", 2))
+
+
 @query("sc_customer_json")
 def _(spark, sf_dir):
     e = source.fixture_events(spark, sf_dir)

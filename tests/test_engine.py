@@ -131,6 +131,25 @@ def test_customer_json(engine):
     assert made["events"][0]["stamp_iso"] == "2016-03-24T12:00:30.000Z" and made["events"][0]["_"] == {"page": "home", "words": ["a"]}
 
 
+def test_customer_properties_persist(engine):
+    engine.apply("visits", "tags = tags + 'hello'\ntags = tags - 'x'\ntotal = sum(price) where price > 0")
+    rows = {r["id"]: r for r in engine.tables["visits"].customers.collect()}
+    assert rows["user1"]["tags"] == ["hello"] and rows["user1"]["total"] == 22.5
+    engine.apply("visits", "total = nil")
+    assert {r["total"] for r in engine.tables["visits"].customers.collect()} == {None}
+    assert engine.segment("visits", "@segment tagged\nif 'hello' in tags\n return(true)\nend").first()["customers"] == 2
+
+
+def test_bucketed_table_needs_no_exchange(spark, engine):
+    from cohortlake.operators.rows import number
+    from cohortlake.sources import tables
+
+    tables.save(engine.tables["visits"].events, "visits_stored", 4)
+    plan = number(tables.load(spark, "visits_stored"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert tables.ever_prefilter(tables.load(spark, "visits_stored"), F.col("page") == "shop").count() == 4
+
+
 def test_empty_table(spark):
     e = Engine(spark)
     e.create_table(SPEC)
