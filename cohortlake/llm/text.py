@@ -6,6 +6,7 @@ never separators here, so cutting at ASCII bytes is exact.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
 _powers: tuple[np.ndarray, np.ndarray] | None = None
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 
 def _table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -90,7 +95,14 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(whole[base : bounds[-1]], bounds[:-1] - base, bounds[1:] - base)
 
 
-def portions(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def portions(batch: pa.RecordBatch, name: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each; a longer text is a slice of its own."""
     if not batch.num_rows:
         return
@@ -102,6 +114,7 @@ def portions(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(total, gone + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def pieces(t: Texts, separators: np.ndarray) -> Pieces:
