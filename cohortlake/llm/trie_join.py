@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import text as X
 from cohortlake.llm.components import components
-from cohortlake.llm.shared import partitions, saved, ship
+from cohortlake.llm.shared import most_frequent, partitions, saved, ship
 
 WORDS = 5
 PERCENT = 80
-#: Shingles in so many documents go last, the most common ones at the end: the top COMMON of them all,
+#: Shingles in so many documents go last, the most common ones at the end: COMMON of them all at most,
 #: by 40-bit fingerprints. They only shape the order, so neither the bound nor a clash can lose a link.
 COMMON_LEAST = 3
 COMMON = 2_000_000
@@ -358,7 +358,8 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     printed = rows.select("text").mapInArrow(_print_shingles("text"), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
-    top = printed.mapInArrow(_count_prints, "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    counted = saved(printed.mapInArrow(_count_prints, "shingle long, n long"), "common-shingles")
+    top = most_frequent(counted, "n", COMMON).toArrow()
     keys, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.minimum(n[order], (1 << 31) - 1)))
