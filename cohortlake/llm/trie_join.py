@@ -33,7 +33,7 @@ from cohortlake.llm.shared import most_frequent, partitions, saved, ship
 WORDS = 5
 PERCENT = 80
 #: Shingles in so many documents go last, the most common ones at the end: COMMON of them all at most,
-#: by 40-bit fingerprints. They only shape the order, so neither the bound nor a clash can lose a link.
+#: by fingerprints of 40 bits or more. They only shape the order, so neither the bound nor a clash can lose a link.
 COMMON_LEAST = 3
 COMMON = 2_000_000
 #: Shingles of the sets in one trie; larger groups are dealt to blocks of about half that.
@@ -150,21 +150,23 @@ def join_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(ids[a], ids[b]) for a, b in trie.links()]
 
 
-def _fingerprint(w: np.ndarray) -> np.ndarray:
-    return w >> np.uint64(24)
+def _fingerprint(w: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of a hash: `bits` for the bucket, 32 within it."""
+    return w >> np.uint64(32 - bits)
 
 
-def _print_shingles(text: str):
-    """Fingerprints of the documents' shingles, 32 bits in each of 256 buckets, and how many documents have
-    each, 255 at most from one batch."""
+def _print_shingles(text: str, bits: int):
+    """Fingerprints of the documents' shingles, 32 bits in each of 2 to the bits buckets, and how many
+    documents have each, 255 at most from one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.portions(batch, text, 4 << 20):
-                w, n = np.unique(_fingerprint(X.shingle_sets(X.texts(part.column(text)), WORDS)[0]), return_counts=True)
-                bounds = np.searchsorted(w, np.arange(257, dtype=np.uint64) << np.uint64(32))
+                w, n = np.unique(_fingerprint(X.shingle_sets(X.texts(part.column(text)), WORDS)[0], bits), return_counts=True)
+                bounds = np.searchsorted(w, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
                 per = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), X.binaries(w.astype(np.uint32), per), X.binaries(np.minimum(n, 255).astype(np.uint8), per)], names=["bucket", "prints", "counts"])
+                full = np.flatnonzero(per)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), X.binaries(w.astype(np.uint32), per[full]), X.binaries(np.minimum(n, 255).astype(np.uint8), per[full])], names=["bucket", "prints", "counts"])
 
     return run
 
@@ -186,7 +188,7 @@ def _count_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(((np.int64(b) << 32) | keys[first[top]].astype(np.int64))), pa.array(n[top])], names=["shingle", "n"])
 
 
-def _prefixes(common, text: str):
+def _prefixes(common, text: str, bits: int):
     """Each document's size, class (two hashes of its set) and leading shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +202,7 @@ def _prefixes(common, text: str):
                 one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
                 two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
                 if len(keys) and len(w):
-                    prints = _fingerprint(w)
+                    prints = _fingerprint(w, bits)
                     at = np.minimum(np.searchsorted(keys, prints), len(keys) - 1)
                     late = np.where(keys[at] == prints, ranks[at], 0)
                     w = w[np.argsort((doc << 32) | late, kind="stable")]
@@ -357,13 +359,14 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    printed = rows.select("text").mapInArrow(_print_shingles("text"), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
+    bits = min(16, max(8, (4 * partitions(spark) - 1).bit_length()))
+    printed = rows.select("text").mapInArrow(_print_shingles("text", bits), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
     counted = saved(printed.mapInArrow(_count_prints, "shingle long, n long"), "common-shingles")
     top = most_frequent(counted, "n", COMMON).toArrow()
     keys, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.minimum(n[order], (1 << 31) - 1)))
-    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
+    leads = saved(rows.mapInArrow(_prefixes(common, "text", bits), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
 
     sized = leads.where("n > 0 AND doc_id IS NOT NULL")
     same = ["hash_a", "hash_b", "n"]
