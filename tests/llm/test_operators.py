@@ -158,9 +158,9 @@ def test_attention_scores(spark, docs, empty):
 
 def test_attention_is_causal_a_distribution_and_counts_each_id_once():
     r = np.random.default_rng(0)
-    counts = r.integers(1, 50, 200)
+    counts, closing = r.integers(1, 50, (2, 200)), np.arange(200) % 3 == 0
     documents = [r.integers(0, 200, r.integers(1, 90)) for _ in range(40)]
-    model = attention_lm.fit(documents, counts)
+    model = attention_lm.fit(documents, counts, closing)
     ids, per = np.concatenate(documents), np.array([len(d) for d in documents])
     whole = model.score(ids, per)
     alone = np.concatenate([model.score(d, np.array([len(d)])) for d in documents])
