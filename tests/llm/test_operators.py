@@ -156,6 +156,17 @@ def test_attention_scores(spark, docs, empty):
     assert attention_lm.score(docs.withColumn("train", F.lit(False)), file=file).first()["train_tokens"] == 0
 
 
+@pytest.mark.parametrize("head", [0, 40])
+def test_attention_scores_are_the_same_for_joined_words(docs, monkeypatch, head):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    flagged = docs.withColumn("train", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)))
+    order = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_known"], r["score"]) for r in df.collect())
+    whole = order(attention_lm.score(flagged, file=file))
+    monkeypatch.setattr(attention_lm, "HEAD_WORDS", head)
+    for got, want in zip(order(attention_lm.score(flagged, file=file)), whole, strict=True):
+        assert got[:3] == want[:3] and math.isclose(got[3], want[3], rel_tol=1e-6), (got, want)
+
+
 def test_attention_is_causal_a_distribution_and_counts_each_id_once():
     r = np.random.default_rng(0)
     counts, closing = r.integers(1, 50, (2, 200)), np.arange(200) % 3 == 0
