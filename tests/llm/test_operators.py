@@ -167,6 +167,28 @@ def test_attention_scores_are_the_same_for_joined_words(docs, monkeypatch, head)
         assert got[:3] == want[:3] and math.isclose(got[3], want[3], rel_tol=1e-6), (got, want)
 
 
+def test_attention_fit_uses_documents_beyond_the_sample_size(monkeypatch):
+    monkeypatch.setattr(attention_lm, "SAMPLE_IDS", 50)
+    r = np.random.default_rng(1)
+    counts, closing = r.integers(1, 50, (2, 200)), np.arange(200) % 3 == 0
+    first, later, other = (r.integers(0, 200, 80) for _ in range(3))
+    one, two = (attention_lm.fit([first, x], counts, closing) for x in (later, other))
+    assert not np.array_equal(one.query, two.query)
+
+
+def test_attention_is_fitted_on_every_training_document(docs, monkeypatch):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    flagged = docs.withColumn("train", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)))
+    e = Encoder(file, False)
+    learnt = [r["text"] for r in flagged.where("train").select("text").collect()]
+    ids, per = e.encode_ended(pa.array(learnt, pa.string()), e.mark_id)
+    seen, summed = [], attention_lm._summed
+    monkeypatch.setattr(attention_lm, "_summed", lambda *args: seen.append(summed(*args)) or seen[-1])
+    attention_lm.score(flagged, file=file, sample_ids=64).collect()
+    pairs, weights = seen
+    assert pairs.sum() == 2 * len(ids) and weights[-1] == len(ids) == per.sum()
+
+
 def test_attention_is_causal_a_distribution_and_counts_each_id_once():
     r = np.random.default_rng(0)
     counts, closing = r.integers(1, 50, (2, 200)), np.arange(200) % 3 == 0
