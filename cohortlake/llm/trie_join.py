@@ -9,10 +9,11 @@ there loses no link:
    share a shingle among the first n - ceil(0.8 n) + 1 of each, and their sizes differ by a quarter at
    most. Classes that share such a shingle, chained through sizes that near, make up a candidate group.
 3. A group's sets go into a trie, the group's common shingles first, so alike sets share a path. Each
-   set walks the trie once: the overlap with a path is counted once for all sets below, a subtree is
-   left where the overlap and what remains cannot reach the bound, and where all its sets are already
-   in the walker's component. Large groups are dealt to bounded blocks, and pairs of blocks to tasks.
-4. Components of the links give the result.
+   set walks the trie once: the overlap with a path is counted once for all sets below, and a subtree is
+   left where the overlap and what remains cannot reach the bound. Every link is found; links are
+   counted in the task, and only a spanning forest of them goes on, unless similar_pairs asks for all.
+   Large groups are dealt to bounded blocks, and pairs of blocks to tasks.
+4. Components of the links, and the sums of the counts, give the result.
 """
 
 from __future__ import annotations
@@ -140,14 +141,46 @@ class Trie:
         return out
 
 
-def join_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among hashed sets, by id."""
+    def all_links(self, q: int) -> list[int]:
+        """All sets that link with set q."""
+        out: list[int] = []
+        per, full, mine = self.percent, 100 + self.percent, self.sets[q]
+        own, n = set(mine), len(mine)
+        todo = [(0, 0)]
+        while todo:
+            node, shared = todo.pop()
+            low, high = self.low[node], self.high[node]
+            if 100 * high < per * n or per * low > 100 * n:
+                continue
+            seg = self.segment[node]
+            if seg:
+                shared += len(own.intersection(seg))
+                left = n - bisect_right(mine, seg[-1])
+            else:
+                left = n
+            least = max(low, -(-per * n // 100))
+            if full * (shared + min(left, high - self.depth[node])) < per * (n + least):
+                continue
+            for k in self.ends[node]:
+                if k != q and full * shared >= per * (n + len(self.sets[k])):
+                    out.append(k)
+            for c in self.below[node]:
+                todo.append((c, shared))
+        return out
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were in two components, which are one now."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _trie(sets: list[np.ndarray]) -> Trie:
     flat, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(flat), np.int64)
     rank[np.lexsort((flat, -counts))] = np.arange(len(flat))
     numbered = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
-    trie = Trie([tuple(np.sort(x).tolist()) for x in numbered])
-    return [(ids[a], ids[b]) for a, b in trie.links()]
+    return Trie([tuple(np.sort(x).tolist()) for x in numbered])
 
 
 def _fingerprint(w: np.ndarray, bits: int) -> np.ndarray:
@@ -188,6 +221,13 @@ def _count_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(((np.int64(b) << 32) | keys[first[top]].astype(np.int64))), pa.array(n[top])], names=["shingle", "n"])
 
 
+def _class(w: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of each set."""
+    ends, mixed = np.cumsum(n), X.mix(w)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mixed, X.mix(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+    return tuple(pa.array((x[ends] - x[ends - n]).view(np.int64)) for x in sums)
+
+
 def _prefixes(common, text: str, bits: int):
     """Each document's size, class (two hashes of its set) and leading shingles in the common order."""
 
@@ -198,9 +238,8 @@ def _prefixes(common, text: str, bits: int):
                 w, n = X.shingle_sets(X.texts(part.column(text)), WORDS)
                 doc = np.repeat(np.arange(len(n)), n)
                 ends = np.cumsum(n)
-                mixed = X.mix(w)
-                one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
-                two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(X.mix(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
+                hash_a, hash_b = _class(w, n)
+                one, two = (x.to_numpy().view(np.uint64) for x in (hash_a, hash_b))
                 if len(keys) and len(w):
                     prints = _fingerprint(w, bits)
                     at = np.minimum(np.searchsorted(keys, prints), len(keys) - 1)
@@ -208,7 +247,7 @@ def _prefixes(common, text: str, bits: int):
                     w = w[np.argsort((doc << 32) | late, kind="stable")]
                 lead = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
                 first = w[X.spans(ends - n, lead)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array((one[ends] - one[ends - n]).view(np.int64)), pa.array((two[ends] - two[ends - n]).view(np.int64)), X.binaries(first, lead), X.binaries(X.mix(one[ends] - one[ends - n] + X.mix(two[ends] - two[ends - n])), np.ones(len(n), np.int64))], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), hash_a, hash_b, X.binaries(first, lead), X.binaries(X.mix(one + X.mix(two)), np.ones(len(n), np.int64))], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole"])
 
     return run
 
@@ -305,7 +344,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(chosen, text: str):
-    """The sets of documents whose slot is marked: all candidates, and others by chance."""
+    """The sets of documents whose slot is marked, with their classes: all candidates, and others by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = chosen.value
@@ -314,7 +353,7 @@ def _sets(chosen, text: str):
             kept = batch.filter(pa.array(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1))
             for part in X.portions(kept, text):
                 w, n = X.shingle_sets(X.texts(part.column(text)), WORDS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), X.binaries(w, n)], names=["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_class(w, n), X.binaries(w, n)], names=["doc_id", "hash_a", "hash_b", "members"])
 
     return run
 
@@ -328,34 +367,79 @@ def _marked(ids: DataFrame, slots: int) -> np.ndarray:
     return out
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each group of rows (sorted by group_id, block_a, block_b)."""
-    now, ids, sets = None, [], []
+_LINKS = "u long, v long, hash_a long, hash_b long, links long"
 
-    def done() -> pa.RecordBatch:
-        links = join_group(ids, sets) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["u", "v"])
 
-    for batch in batches:
-        groups = zip(*[batch.column(n).to_pylist() for n in ("group_id", "block_a", "block_b", "doc_id", "members")], strict=True)
-        for g, a, b, doc, raw in groups:
-            if now != (g, a, b):
-                if len(ids) > 1:
-                    yield done()
-                now, ids, sets = (g, a, b), [], []
-            ids.append(doc)
-            sets.append(np.frombuffer(raw, np.uint64))
-    if len(ids) > 1:
-        yield done()
+def _join_groups(pairs: bool):
+    """Within each group of rows (sorted by group_id, block_a, block_b, doc_id, hash_a, hash_b): links (u, v) of a
+    spanning forest, or all `pairs`; and how many documents each class (u, hash_a, hash_b; v is null) links with.
+
+    Links inside block k are counted in the task of the blocks k and k + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, rows, sets = None, None, [], []
+
+        def done() -> pa.RecordBatch:
+            trie, out = _trie(sets), []
+            _, a, b = now
+            for q, (doc, one, two, _, own, blocks) in enumerate(rows):
+                inside = blocks == 1 or {own, (own + 1) % blocks} == {a, b}
+                n = 0
+                for k in trie.all_links(q):
+                    if counts := inside or rows[k][4] != own:
+                        n += rows[k][3]
+                    if (counts and q < k) if pairs else trie.join(q, k):
+                        out.append((doc, rows[k][0], None, None, 0))
+                if n:
+                    out.append((doc, None, one, two, n))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v", "hash_a", "hash_b", "links"])
+
+        for batch in batches:
+            for g, a, b, *row, raw in zip(*[batch.column(n).to_pylist() for n in ("group_id", "block_a", "block_b", "doc_id", "hash_a", "hash_b", "copies", "own", "blocks", "members")], strict=True):
+                if now != (g, a, b):
+                    if len(rows) > 1:
+                        yield done()
+                    now, last, rows, sets = (g, a, b), None, [], []
+                if row != last:  # rows of one id and one set are one
+                    last = row
+                    rows.append(row)
+                    sets.append(np.frombuffer(raw, np.uint64))
+        if len(rows) > 1:
+            yield done()
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", trie_shingles: int = TRIE_SHINGLES) -> DataFrame:
+    """(u, v): all links between classes of equal sets, each by its smallest id; similar_groups() has each
+    document's class. As many rows as links: their number grows with the square of a group's classes."""
+    _, _, _, links = _linked(docs, text, doc_id, trie_shingles, True)
+    return links.where("v IS NOT NULL").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", trie_shingles: int = TRIE_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs.
+    """(doc_id, n_shingles, component_id, class_id, n_links), one row for each row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. A text of fewer than five words is one
     shingle; null texts and those without words have none and link with nothing. Rows of one id are one
     node, with a set for each text. Rows without an id link with nothing; their component_id is null.
+    class_id is the smallest id with an equal set, n_links the number of other rows with an id whose sets
+    link with the row's own, equal ones too.
     """
+    leads, classes, equal, links = _linked(docs, text, doc_id, trie_shingles, False)
+    found = saved(components(links.where("v IS NOT NULL").select("u", "v").unionByName(equal)), "linked")
+    counted = links.where("v IS NULL").groupBy(F.col("u").alias("class_id"), "hash_a", "hash_b").agg(F.sum("links").alias("links"))
+    known = classes.withColumnRenamed("v", "class_id").join(counted, ["class_id", "hash_a", "hash_b"], "left")
+    known = known.select("hash_a", "hash_b", "n", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).where("n_links > 0")
+    rows = leads.select("doc_id", "n", "hash_a", "hash_b").join(known.hint("merge"), ["hash_a", "hash_b", "n"], "left")
+    has = F.col("doc_id").isNotNull()
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "class_id", "n_links")
+
+
+def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' sizes and hashes, classes, edges between equal sets, and what _join_groups() gives."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -370,7 +454,7 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     sized = leads.where("n > 0 AND doc_id IS NOT NULL")
     same = ["hash_a", "hash_b", "n"]
-    classes = sized.groupBy(*same).agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"))
+    classes = saved(sized.groupBy(*same).agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")), "classes")
     buckets = 4 * partitions(spark)
 
     def edges(column: str) -> DataFrame:
@@ -385,19 +469,16 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     firsts = classes.select(F.col("v").alias("doc_id"), "n").groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
     members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id")).join(firsts, "doc_id")
     sizes = members.groupBy("group_id").agg(F.sum("n").alias("total"), F.sum("sets").alias("sets")).where("sets > 1")
-    work = saved(members.join(sizes.select("group_id", F.greatest(F.lit(1), F.when(F.col("total") > trie_shingles, F.ceil(2 * F.col("total") / trie_shingles)).otherwise(1)).cast("int").alias("blocks")), "group_id").select("doc_id", "group_id", "blocks"), "trie-members")
+    work = saved(members.join(sizes.select("group_id", F.greatest(F.lit(1), F.when(F.col("total") > trie_shingles, F.ceil(2 * F.col("total") / trie_shingles)).otherwise(1)).cast("int").alias("blocks")), "group_id").join(classes.drop("n").withColumnRenamed("v", "doc_id"), "doc_id").select("doc_id", "hash_a", "hash_b", "copies", "group_id", "blocks"), "trie-members")
     slots = min(MOST_SLOTS, 1 << max(20, int(16 * work.count()).bit_length()))
     chosen = spark.sparkContext.broadcast(_marked(work, slots))
     slotted = rows.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
     # sets, not texts, are shuffled, and by a merge join at every size
-    sets = slotted.mapInArrow(_sets(chosen, "text"), "doc_id long, members binary").join(work.hint("merge"), "doc_id")
+    sets = slotted.mapInArrow(_sets(chosen, "text"), "doc_id long, hash_a long, hash_b long, members binary").join(work.hint("merge"), ["doc_id", "hash_a", "hash_b"])
     # block k meets each block j: as the pair (min, max); a group of one block is its own pair
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
     dealt = sets.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 OR own != other")
-    dealt = dealt.select("doc_id", "group_id", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "members")
+    dealt = dealt.select("doc_id", "hash_a", "hash_b", "copies", "own", "blocks", "group_id", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "members")
     tasks = ["group_id", "block_a", "block_b"]
-    links = dealt.repartition(partitions(spark), *tasks).sortWithinPartitions(*tasks, "doc_id").mapInArrow(_join_groups, "u long, v long")
-    found = saved(components(links.unionByName(equal)), "linked")
-
-    ids = leads.select("doc_id", F.col("n").alias("n_shingles"))
-    return ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    links = dealt.repartition(partitions(spark), *tasks).sortWithinPartitions(*tasks, "doc_id", "hash_a", "hash_b").mapInArrow(_join_groups(pairs), _LINKS)
+    return leads, classes, equal, saved(links, "links")

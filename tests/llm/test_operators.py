@@ -470,6 +470,31 @@ def test_trie_join(spark, limit):
     assert got == groups_by_hand(texts)
 
 
+@pytest.mark.parametrize("limit", [500_000, 300])
+def test_trie_join_yields_all_links(spark, limit):
+    r = random.Random(8)
+    base = [prose(60, r) for _ in range(3)]
+    texts = []
+    for k in range(40):
+        w = r.choice(base).split()
+        w[r.randrange(60)] = r.choice(VOCABULARY)
+        texts.append((k, " ".join(w)))
+    texts += [(50, texts[0][1]), (51, texts[0][1]), (3, texts[4][1]), (3, texts[3][1]), (None, texts[0][1]), (60, None), (61, "one two"), (62, "ONE two")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t, True)) else set() for _, t in texts]
+    least = lambda s: min(k for (k, _), x in zip(texts, sets, strict=True) if k is not None and x == s)
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = []
+    for i, (k, _) in enumerate(texts):
+        links = sum(j != i and x[0] is not None and alike(sets[i], sets[j]) for j, x in enumerate(texts))
+        want.append((k, len(sets[i]), None, 0) if k is None else (k, len(sets[i]), least(sets[i]) if sets[i] else k, links))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = [(x["doc_id"], x["n_shingles"], x["class_id"], x["n_links"]) for x in trie_join.similar_groups(frame, trie_shingles=limit).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+    named = [(least(s), s) for (k, _), s in zip(texts, sets, strict=True) if k is not None and s]
+    pairs = [(x["u"], x["v"]) for x in trie_join.similar_pairs(frame, trie_shingles=limit).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, s in named for b, t in named if a < b and alike(s, t)}
+
+
 def test_trie_join_odd_rows(docs, empty):
     rows = trie_join.similar_groups(docs).collect()
     got = {x["doc_id"]: x["component_id"] for x in rows}
