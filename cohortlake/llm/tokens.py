@@ -123,13 +123,16 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
         return np.where(self.known[at] == keys, self.slot[at], -1)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, by_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text by text, and how many each text has. Null texts have none.
 
         chunk_sizes then has the ids of each chunk; unless `spaced`, chunks are the words of the texts,
-        but for the texts of which `whole` is true: those are one chunk."""
+        but for the texts of which `whole` is true: those are one chunk. by_word: no text is whole, and the
+        words are encoded one by one, with other white space inside them."""
         t = X.texts(column)
         whole = pc.fill_null(pc.match_substring_regex(column, _RARE_SPACE), False).to_numpy(zero_copy_only=False)
+        if by_word:
+            whole = np.zeros(len(t), bool)
         starts, ends = self._chunks(t, whole)
         self.whole, self.chunk_sizes = whole, np.zeros(0, np.int64)
         if not len(starts):
@@ -148,9 +151,9 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[np.searchsorted(starts, t.ends)] - total[np.searchsorted(starts, t.starts)]
 
-    def encode_ended(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode_ended(self, column: pa.Array, end: int, by_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), with the id `end` after each text."""
-        ids, counts = self.encode(column)
+        ids, counts = self.encode(column, by_word)
         stops = np.cumsum(counts + 1)
         out = np.full(int(stops[-1]) if len(stops) else 0, end, dtype=self.kind)
         inside = np.ones(len(out), bool)

@@ -189,6 +189,15 @@ def test_attention_is_fitted_on_every_training_document(docs, monkeypatch):
     assert pairs.sum() == 2 * len(ids) and weights[-1] == len(ids) == per.sum()
 
 
+def test_attention_mixes_shares_in_texts_with_other_white_space(spark):
+    known = " ".join(VOCABULARY[:40])
+    texts = [(k, known, True) for k in range(30)] + [(100, known, False), (101, known + " x\u00a0y", False), (102, known + " x\u3000y z", False)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, train boolean")
+    score = {r["doc_id"]: r["score"] for r in attention_lm.score(frame, file=public_tokenizers.path("word_bpe_49k.json")).collect()}
+    # one or two unknown words of a few subwords cost little beside 40 known words without their shares
+    assert score[100] - 25 < score[101] < score[100] and score[100] - 35 < score[102] < score[100]
+
+
 def test_attention_is_causal_a_distribution_and_counts_each_id_once():
     r = np.random.default_rng(0)
     counts, closing = r.integers(1, 50, (2, 200)), np.arange(200) % 3 == 0
