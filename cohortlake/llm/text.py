@@ -153,14 +153,16 @@ def lines(t: Texts) -> Pieces:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; tables past a bound are not kept."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        n = max(n, _CHUNK * 2)
         both = []
         for x in (_BASE, _INVERSE):
-            a = np.full(n, x, dtype=np.uint64)
+            a = np.full(max(n, _CHUNK + 1), x, dtype=np.uint64)
             a[0] = 1
             both.append(np.cumprod(a, dtype=np.uint64))
+        if n > _CHUNK + 1:
+            return both[0], both[1]
         _powers = both[0], both[1]
     return _powers
 
@@ -184,6 +186,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndar
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + _CHUNK, "right")))
         size = int(ends[to - 1] - base)
+        if size > _CHUNK:  # one long piece
+            out[at] = mix(np.array([_long(values, data[base : base + size]) + np.uint64(size)]))[0]
+            at = to
+            continue
         up, down = _power(size + 1)
         sums = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum(values[data[base : base + size]] * up[:size], out=sums[1:])
@@ -193,6 +199,16 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndar
     return out
 
 
+def _long(values: np.ndarray, data: np.ndarray) -> np.uint64:
+    """The sum that hashes() takes of one piece, chunk by chunk."""
+    up, _ = _power(_CHUNK + 1)
+    total = 0
+    for at in range(0, len(data), _CHUNK):
+        part = values[data[at : at + _CHUNK]]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return np.uint64(total & ((1 << 64) - 1))
+
+
 def windows(h: np.ndarray, p: Pieces, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of k consecutive pieces in a document, the piece each begins at, and windows per document."""
     counts = np.maximum(p.counts - k + 1, 0)

@@ -2,11 +2,12 @@
 
 Both vocabularies pre-tokenise so that no token crosses certain white space; texts are cut there, and
 the ids of a chunk are those it has in its text. Texts with white space beyond ASCII go to the library
-whole. tests/llm/test_tokens.py holds the ids against the library's own for each text.
+whole. test_encoder_equals_library holds the ids against the library's own for each text.
 """
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,8 @@ class Encoder:
 
     def _load(self, file: str) -> int:
         """Opens the vocabulary; its size."""
+        # a task has one core: the library's threads would only hold memory beside it
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.splitting = Tokenizer.from_file(file)
