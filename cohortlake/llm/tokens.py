@@ -115,9 +115,9 @@ class Encoder:
         self.begin[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + m] = sizes
         self.used += len(flat)
-        both = np.concatenate([self.known, keys])
-        order = np.argsort(both, kind="stable")
-        self.known, self.slot = both[order], np.concatenate([self.slot, np.arange(n, n + m, dtype=np.int32)])[order]
+        # both are sorted
+        at = np.searchsorted(self.known, keys)
+        self.known, self.slot = np.insert(self.known, at, keys), np.insert(self.slot, at, np.arange(n, n + m, dtype=np.int32))
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """Where the ids of each chunk are; -1 if it is new."""
