@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.shared import saved
+from cohortlake.llm.shared import hot_keys, salted_join, saved
 
 #: Rounds grow with the logarithm of the number of nodes.
 MOST_ROUNDS = 60
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _joined(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the smallest v of their u; and (u, m). A hub's edges are dealt to many tasks."""
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hot = hot_keys(least, ["u"], total)
+    return salted_join(edges, least.select(F.col("u").alias("node"), "m"), {"u": "node"}, hot, ["v"]), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Smallest nodes' own rows are included. Edges with a null end are ignored; so are loops, but their
     node is kept. Each round's table is written to the shared folder, so lineage stays short; minima are
-    pre-aggregated, and a hub's edges are joined to one row, which a skew join may split.
+    pre-aggregated, and a hub's edges are salted where they are joined to its minimum.
     """
     ends = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())
     now = saved(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -32,11 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        large = saved(large, "large-star")
-        least = _least(large)
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        both, _ = _joined(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * seen["n"])
+        large = saved(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
+        own, least = _joined(large, seen["n"])
+        small = own.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = saved(small, "small-star")
     else:
         raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")

@@ -3,17 +3,19 @@
 Public vocabularies encode each word of a text. Characters per token, the share of byte-fallback tokens
 and the entropy of the tokens tell prose in a language from noise: bands around the middle of each group
 (the lang column, else the main script) hold what is usual there, and texts outside are rejected.
-Entropy grows with length, so its bands are also per power of two of the token count.
+Entropy grows with length: it is judged by what a line over the logarithm of the token count leaves of it,
+in bands per group and power of two of the token count. A group's quartiles are drawn towards those of the
+level above (length class, then all texts) by PRIOR texts' weight, so every text has a band and no group
+changes its rule at some size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ LEAST_WORDS = 20
 #: Bands are this many times the distance from the median to a quartile, and this wide at least.
 REACH = 4.0
 SLACK = {"chars_per_token": 0.25, "fallback_share": 0.03, "entropy": 0.6}
-#: Groups of fewer texts are judged by the bands of all texts.
-LEAST_GROUP = 50
+#: Weight, in texts, of the quartiles of the level above.
+PRIOR = 50
 #: Band tables up to so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -95,11 +97,11 @@ def _measure(text: str, pieces_file: str, bytes_file: str):
                 points = X.code_points(t.data)
                 chars = points[t.ends] - points[t.starts] - _over(X.SPACES[t.data], t)
                 pieces = encoder(pieces_file, False, PieceEncoder)
-                ids, n = pieces.encode(column)
+                ids, n = pieces.encode(column, True)
                 low, high = pieces.byte_ids
                 fallback = _sums((ids >= low) & (ids <= high), n)
                 spread = _entropy(ids.astype(np.int64), n)
-                _, n_bytes = encoder(bytes_file, False).encode(column)
+                _, n_bytes = encoder(bytes_file, False).encode(column, True)
                 scripts = np.stack([_over(m[t.data], t) for _, m in _SCRIPTS])
                 script = np.where(scripts.max(axis=0) > 0, scripts.argmax(axis=0), len(_SCRIPTS))
                 rest = [c for c in part.schema.names if c != text]
@@ -123,44 +125,56 @@ def measure(docs: DataFrame, *, pieces_file: str, bytes_file: str, text: str = "
     return docs.mapInArrow(_measure(text, pieces_file, bytes_file), schema)
 
 
-def _bands(sound: DataFrame, by: list[str]) -> DataFrame:
-    """Fences of each measure over sound texts; groups of fewer than LEAST_GROUP have none."""
-    names = ["chars_per_token", "chars_per_byte_token", "fallback_share", "entropy"]
-    quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 10_000).alias(n) for n in names]
-    grouped = sound.groupBy(*by).agg(F.count("*").alias("size"), *quartiles).where(F.col("size") >= LEAST_GROUP)
-    fences = []
-    for n in names:
-        q, slack = F.col(n), SLACK.get(n, SLACK["chars_per_token"])
-        fences.append((q[1] - F.greatest(F.lit(slack), REACH * (q[1] - q[0]))).alias(f"{n}_low"))
-        fences.append((q[1] + F.greatest(F.lit(slack), REACH * (q[2] - q[1]))).alias(f"{n}_high"))
-    return grouped.select(*by, *fences)
+_RESULTS = ("base_failed", "band", "length_class", "kept")
+_OVER_GROUP = ("chars_per_token", "chars_per_byte_token", "fallback_share")
+
+
+def _quartiles(sound: DataFrame, by: list[str], names: tuple[str, ...], level: str) -> DataFrame:
+    """Texts and quartiles of each measure in each group; working names begin with a blank and the level."""
+    quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 10_000).alias(f" {level}{n}") for n in names]
+    return sound.groupBy(*[F.col(c).alias(f" {level}{c}") for c in by]).agg(F.count("*").alias(f" {level}n"), *quartiles)
+
+
+def _drawn(n: Column, own: Column, above: list[Column]) -> list[Column]:
+    """A group's quartiles drawn towards those above; those above where the group has no sound text."""
+    return [F.coalesce((n * own[k] + PRIOR * x) / (n + PRIOR), x) for k, x in enumerate(above)]
 
 
 def judge(measured: DataFrame, *, lang: str | None = "lang") -> DataFrame:
-    """measured with base_failed, the group and its verdict: kept.
+    """measured with base_failed, the group (band, length_class) and its verdict: kept.
 
     Fails by the base: fewer than 20 words, or over 30 % of the words in repeated windows. Else a text is
-    kept if it lies inside the bands of its group, or those of all texts where the group is small.
+    kept if it lies inside its group's bands. Without any sound text there are no bands, and none is kept.
+    Columns that have the names of results are replaced, others stay.
     """
-    group = F.coalesce(F.col(lang), F.col("script")) if lang else F.col("script")
+    group = F.coalesce(F.col(lang).cast("string"), F.col("script")) if lang else F.col("script")
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    held = saved(measured.withColumn("base_failed", base).withColumn("band", group).withColumn("length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")), "fertility")
-    sound = held.where(~F.col("base_failed"))
-    levels = [(["band", "length_class"], ["entropy"]), (["band"], ["chars_per_token", "chars_per_byte_token", "fallback_share"]), (["length_class"], ["entropy"]), ([], ["chars_per_token", "chars_per_byte_token", "fallback_share"])]
-    out, limits = held, {}
-    for k, (by, names) in enumerate(levels):
-        own = [f"{n}_{s}" for n in names for s in ("low", "high")]
-        bands = saved(_bands(sound, by).select(*by, *[F.col(c).alias(f"{c}{k}") for c in own]), "bands")
-        for c in own:
-            limits.setdefault(c, []).append(F.col(f"{c}{k}"))
-        if not by:
-            out = out.join(F.broadcast(bands.limit(1)), F.lit(True), "left")
-        else:
-            out = out.join(F.broadcast(bands) if bands.count() <= BROADCAST_ROWS else bands, by, "left")
-    low = lambda n: F.coalesce(*limits[f"{n}_low"], F.lit(float("-inf")))
-    high = lambda n: F.coalesce(*limits[f"{n}_high"], F.lit(float("inf")))
-    inside = [F.col("chars_per_token").between(low("chars_per_token"), high("chars_per_token")), F.col("chars_per_byte_token").between(low("chars_per_byte_token"), high("chars_per_byte_token")), F.col("fallback_share") <= high("fallback_share"), F.col("entropy") >= low("entropy")]
-    return out.select(*held.columns, (~F.col("base_failed") & reduce(lambda a, b: a & b, inside)).alias("kept"))
+    size = F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))
+    given = measured.select(*measured.columns, base.alias(" failed"), group.alias(" group")).drop(*_RESULTS)
+    held = saved(given.withColumnsRenamed({" failed": "base_failed", " group": "band"}).withColumn("length_class", F.floor(size).cast("int")), "fertility")
+    line = held.where(~F.col("base_failed")).agg(F.regr_slope("entropy", size).alias("slope"), F.regr_intercept("entropy", size).alias("level"), F.avg("entropy").alias("mean")).first()
+    at, slope = (line["mean"], 0.0) if line["slope"] is None else (line["level"], line["slope"])
+    out = held.withColumn(" rest", F.col("entropy") - F.lit(at or 0.0) - F.lit(slope) * size)
+    sound = out.where(~F.col("base_failed"))
+    every = sound.agg(F.count("*").alias("n"), *[F.percentile_approx(n, [0.25, 0.5, 0.75], 10_000).alias(n) for n in (*_OVER_GROUP, " rest")]).first()
+    if not every["n"]:
+        return held.withColumn("kept", F.lit(False))
+    for by, names, level in ((["band"], _OVER_GROUP, "a"), (["length_class"], (" rest",), "b"), (["band", "length_class"], (" rest",), "c")):
+        found = saved(_quartiles(sound, by, names, level), "bands")
+        same = F.lit(True)
+        for c in by:
+            same = same & (F.col(c) == F.col(f" {level}{c}"))
+        out = out.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, same, "left")
+    inside = ~F.col("base_failed")
+    middle = {n: _drawn(F.col(" an"), F.col(f" a{n}"), [F.lit(float(x)) for x in every[n]]) for n in _OVER_GROUP}
+    middle[" rest"] = _drawn(F.col(" cn"), F.col(" c rest"), _drawn(F.col(" bn"), F.col(" b rest"), [F.lit(float(x)) for x in every[" rest"]]))
+    for n, (low, mid, high) in middle.items():
+        slack = F.lit(SLACK.get(n.replace(" rest", "entropy"), SLACK["chars_per_token"]))
+        if n != "fallback_share":
+            inside = inside & (F.col(n) >= mid - F.greatest(slack, REACH * (mid - low)))
+        if n != " rest":
+            inside = inside & (F.col(n) <= mid + F.greatest(slack, REACH * (high - mid)))
+    return out.select(*held.columns, inside.alias("kept"))
 
 
 def rate(docs: DataFrame, *, pieces_file: str, bytes_file: str, text: str = "text", lang: str | None = "lang") -> DataFrame:

@@ -4,10 +4,13 @@ Lines with a word, in order, make up a document; a line equals another if its by
 word do. A gram is the shortest run from a line on with at least GRAM_WORDS words. Each window (the
 shortest run from a line on with WINDOW_WORDS words, or the whole of a shorter document) selects the
 gram with the smallest hash inside it, the last one of equals. Equal runs of WINDOW_WORDS words thus select
-equal grams, so no such repetition is missed; grams have enough words to be repetitions by themselves.
+equal grams, so each such repetition is found; grams have enough words to be repetitions by themselves.
+Shorter repetitions may be left: short lines recur in clean texts too. With gram_words=1 and window_words=1
+every line is a gram and is selected, so every later copy of any line goes, exactly.
 
 Each later occurrence of a selected gram is laid against its first one in the corpus (by doc_id, text
-hash, position), and the match extended line by line both ways; the later copy's lines go. The first
+hash, position), and the match extended line by line both ways; the later copy's lines go. Where a run goes
+on past what the first copy shares, the rest goes if a gram of its own is selected there. The first
 copy of any line never goes, since each deletion points to an earlier place.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import saved, ship
+from cohortlake.llm.shared import hot_keys, salted_join, saved, ship
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 50
@@ -133,7 +136,8 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     One row per distinct (doc_id, text) with any. The first occurrence of a gram is a minimum, so a gram
     in a third of all documents is pre-aggregated before the shuffle; matches link each occurrence to
-    that one place only, so their number grows with the input.
+    that one place only, so their number grows with the input. Where occurrences are joined to that place,
+    and matches to the lines of their source, a gram or source with many of them is salted.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
@@ -142,17 +146,18 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     marked = saved(rows.mapInArrow(_fingerprints("text", gram_words, window_words), schema), "line-fingerprints")
     found = marked.select("doc_id", "text_hash", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("positions").alias("position"))).alias("f")).select("doc_id", "text_hash", F.col("f.key").alias("key"), F.col("f.position").alias("position"))
     place = F.struct("doc_id", "text_hash", "position")
-    first = found.groupBy("key").agg(F.min(place).alias("source"), F.max(place).alias("last")).where(~F.col("source").eqNullSafe(F.col("last"))).drop("last")
-    later = found.join(first, "key").where(~place.eqNullSafe(F.col("source")))
+    first = found.groupBy("key").agg(F.min(place).alias("source"), F.max(place).alias("last"), F.count("*").alias("n")).where(~F.col("source").eqNullSafe(F.col("last")))
+    first = saved(first.select(F.col("key").alias("gram"), "source", "n"), "line-firsts")
+    total = first.agg(F.sum("n").alias("n")).first()["n"] or 0
+    later = salted_join(found, first.drop("n"), {"key": "gram"}, hot_keys(first, ["gram"], total), ["doc_id", "text_hash", "position"]).where(~place.eqNullSafe(F.col("source")))
     matches = later.groupBy("doc_id", "text_hash", F.col("source.doc_id").alias("source_id"), F.col("source.text_hash").alias("source_hash"), (F.col("position") - F.col("source.position")).alias("shift")).agg(F.collect_set("position").alias("seeds"))
+    matches = saved(matches, "line-matches")
     bodies = marked.select("doc_id", "text_hash", "lines").dropDuplicates(["doc_id", "text_hash"])
     sources = bodies.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), F.col("lines").alias("source_lines"))
     mine = bodies.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "lines")
-    laid = (
-        matches.join(mine, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")))
-        .join(sources, F.col("source_id").eqNullSafe(F.col("b_id")) & (F.col("source_hash") == F.col("b_hash")))
-        .select("doc_id", "text_hash", "shift", "seeds", "lines", "source_lines")
-    )
+    hot = hot_keys(matches.groupBy("source_id", "source_hash").agg(F.count("*").alias("n")), ["source_id", "source_hash"], matches.count())
+    both = matches.join(mine, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash"))).drop("a_id", "a_hash")
+    laid = salted_join(both, sources, {"source_id": "b_id", "source_hash": "b_hash"}, hot, ["doc_id", "text_hash", "shift"]).select("doc_id", "text_hash", "shift", "seeds", "lines", "source_lines")
     gone = laid.mapInArrow(_extend(), T.StructType([*schema.fields[:2], T.StructField("gone", T.ArrayType(T.IntegerType()))]))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
@@ -163,7 +168,7 @@ def _cut(text: str):
             for part in X.portions(batch, text):
                 t = X.texts(part.column(text))
                 lines, solid, n_words, index = _solid(t)
-                gone = part.column("gone")
+                gone = part.column(_OWN[0])
                 dropped = np.zeros(len(index), bool)
                 counts = np.zeros(len(t), np.int64)
                 for d in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -179,25 +184,29 @@ def _cut(text: str):
                         raw, base = t.raw(d), t.starts[d]
                         new[d] = b"\n".join(raw[s - base : e - base] for s, e, k in zip(lines.starts[lines.lo[d] : lines.hi[d]].tolist(), lines.ends[lines.lo[d] : lines.hi[d]].tolist(), stay[lines.lo[d] : lines.hi[d]].tolist(), strict=True) if k).decode("utf-8", "replace")
                     out = pa.array(new, type=pa.string())
-                names = [n for n in part.schema.names if n not in (text, "gone", "text_hash")]
+                names = [n for n in part.schema.names if n not in (text, *_OWN)]
                 columns = [out, pa.array(lines.counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(X.sums(n_words, solid), pa.int64()), pa.array(X.sums(np.where(dropped, n_words, 0), solid), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *columns], names=[*names, text, "n_lines", "n_gone_lines", "n_line_words", "n_gone_words"])
 
     return run
 
 
+#: Working columns of dedup_lines(); the leading space keeps them apart from columns of the input.
+_OWN = (" gone", " text_hash")
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with later repeated runs cut from the texts, one row for each row of docs, text after the
     other columns; adds n_lines, n_gone_lines, n_line_words and n_gone_words.
 
     Lines without a word stay. Null texts stay null and empty ones empty. Rows equal in id and text count as one
     document and all get its result; rows of one id with different texts are ordered by a hash of the
-    text. A null id comes before all others. Columns that have the names of results are replaced.
+    text. A null id comes before all others. Columns that have the names of results are replaced, others stay.
     """
     added = ["n_lines", "n_gone_lines", "n_line_words", "n_gone_words"]
-    left = docs.drop(*added, "gone", "text_hash").withColumn("text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    gone = repeated_lines(docs, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
-    both = left.join(gone, left[doc_id].eqNullSafe(gone["gone_id"]) & (left["text_hash"] == gone["gone_hash"]), "left").drop("gone_id", "gone_hash")
-    fields = [f for f in docs.drop(*added, "gone", "text_hash", text).schema.fields]
+    left = docs.drop(*added).withColumn(_OWN[1], F.xxhash64(F.coalesce(text, F.lit(""))))
+    gone = repeated_lines(docs, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias(" id"), F.col("text_hash").alias(" hash"), F.col("gone").alias(_OWN[0]))
+    both = left.join(gone, left[doc_id].eqNullSafe(gone[" id"]) & (left[_OWN[1]] == gone[" hash"]), "left").drop(" id", " hash")
+    fields = [f for f in docs.drop(*added, text).schema.fields]
     schema = T.StructType([*fields, T.StructField(text, T.StringType()), *[T.StructField(n, T.LongType()) for n in added]])
     return both.mapInArrow(_cut(text), schema)

@@ -9,6 +9,8 @@ scores every document and decides.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,42 +48,66 @@ WIDTH = (1 << HASH_BITS) + LEVELS * (len(LABELLERS) + 1)
 SAMPLE = 8_000
 THRESHOLD = 0.5
 
-_SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[list(b"#*$%&|<>=~^{}[]\\")] = True
-_LETTER = X._table((0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xFF))
-_CAPITAL, _DIGIT, _BANG, _STOP = X._table((0x41, 0x5A)), X._table((0x30, 0x39)), X._table((0x21, 0x21)), X._table((0x2E, 0x2E), (0x3F, 0x3F))
+#: Kinds of characters, as bits; letters and digits by their Unicode categories.
+_LETTER, _CAPITAL, _DIGIT, _SYMBOL, _BANG, _STOP, _UNSPACED = (1 << k for k in range(7))
+_kinds: np.ndarray | None = None
+
+
+def _kind_table() -> np.ndarray:
+    """The bits of every code point, made once in a process. Combining marks belong to letters."""
+    global _kinds
+    if _kinds is None:
+        out = np.zeros(sys.maxunicode + 1, np.uint8)
+        for c in range(sys.maxunicode + 1):
+            kind = unicodedata.category(chr(c))
+            if kind[0] in "LM":
+                out[c] = _LETTER | (_CAPITAL if kind == "Lu" else 0)
+            elif kind == "Nd":
+                out[c] = _DIGIT
+        for bit, signs in ((_SYMBOL, "#*$%&|<>=~^{}[]\\"), (_BANG, "!\uff01"), (_STOP, ".?\u3002\uff1f\u061f\u0964\u06d4")):
+            out[[ord(c) for c in signs]] |= bit
+        # ideographs, kana and the scripts of South-East Asia are written without blanks between words
+        for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF)):
+            out[a : b + 1] |= _UNSPACED
+        _kinds = out
+    return _kinds
 
 
 def statistics(t: X.Texts) -> tuple[np.ndarray, X.Pieces, np.ndarray]:
-    """A row per labeller, a column per document; the words and their hashes. Empty texts are all 0."""
+    """A row per labeller, a column per document; the words and their hashes. Empty texts are all 0.
+
+    Characters are code points. Two of a script without blanks stand for a word beside the words."""
     p = X.pieces(t, X.SPACES)
     h = X.hashes(t.data, p.starts, p.ends, X.LOWER)
-    n = np.maximum(p.counts, 1)
+    kinds = _kind_table()[np.frombuffer(t.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    points = X.code_points(t.data)
+    begins, ends, starts, stops = points[t.starts], points[t.ends], points[p.starts], points[p.ends]
+
+    def before(bit: int) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum((kinds & bit) != 0)])
 
-    def share(mask: np.ndarray, of: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[t.ends] - total[t.starts]) / np.maximum(of, 1)
+    def many(total: np.ndarray) -> np.ndarray:
+        return total[ends] - total[begins]
 
+    letters, marks, unspaced = before(_LETTER), before(_SYMBOL), many(before(_UNSPACED))
+    n = np.maximum(p.counts + unspaced / 2, 1)
     doc = p.doc().astype(np.uint64)
     distinct = np.bincount(doc[np.unique(X.mix(h + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]].astype(np.int64), minlength=len(t))
-    letters = np.concatenate([[0], np.cumsum(_LETTER[t.data])])
-    marks = np.concatenate([[0], np.cumsum(_SYMBOLS[t.data])])
-    lone = X.sums(letters[p.ends] == letters[p.starts], p)
-    sizes = X.sums(p.ends - p.starts, p)
-    lines = X.lines(t)
+    sizes = X.sums(stops - starts, p)
+    some = np.maximum(sizes, 1)
     rows = [
-        share(_SYMBOLS[t.data], sizes),
-        X.sums(marks[p.ends] > marks[p.starts], p) / n,
-        share(_CAPITAL[t.data], np.maximum(letters[t.ends] - letters[t.starts], 1)),
-        share(_BANG[t.data], n),
+        many(marks) / some,
+        X.sums(marks[stops] > marks[starts], p) / n,
+        many(before(_CAPITAL)) / np.maximum(many(letters), 1),
+        many(before(_BANG)) / n,
         # the usual growth of the vocabulary with the length is taken out
-        distinct / n * np.maximum(n / 200, 1) ** 0.15,
-        duplicate_lines(t, p) / np.maximum(lines.counts, 1),
-        lone / n,
-        (letters[t.ends] - letters[t.starts]) / np.maximum(sizes, 1),
-        share(_DIGIT[t.data], sizes),
-        share(_STOP[t.data], n),
-        np.abs(sizes / n - 6.0),
+        distinct / np.maximum(p.counts, 1) * np.maximum(p.counts / 200, 1) ** 0.15,
+        duplicate_lines(t, p) / np.maximum(X.lines(t).counts, 1),
+        X.sums(letters[stops] == letters[starts], p) / n,
+        many(letters) / some,
+        many(before(_DIGIT)) / some,
+        many(before(_STOP)) / n,
+        np.abs(sizes / n - np.where(unspaced > sizes / 2, 2.0, 6.0)),
     ]
     return np.stack(rows), p, h
 
@@ -174,6 +200,12 @@ def fit_scorer(index: np.ndarray, value: np.ndarray, per: np.ndarray, target: np
     return w
 
 
+def _chosen(p: X.Pieces, h: np.ndarray, rows: np.ndarray) -> tuple[X.Pieces, np.ndarray]:
+    """The words of some documents, and their hashes."""
+    at, stops = X.spans(p.lo[rows], p.counts[rows]), np.cumsum(p.counts[rows])
+    return X.Pieces(p.starts[at], p.ends[at], stops - p.counts[rows], stops), h[at]
+
+
 def _observe(text: str):
     """Each document's pattern; of sampled ones its features too."""
 
@@ -181,11 +213,12 @@ def _observe(text: str):
         for batch in batches:
             for part in X.portions(batch, text):
                 stats, p, h = statistics(X.texts(part.column(text)))
-                index, value, per = features(stats, p, h)
                 chosen = part.column("sampled").to_numpy(zero_copy_only=False).astype(bool)
-                keep = np.repeat(chosen, per)
-                per = np.where(chosen, per, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(patterns(votes(stats, p.counts))), pa.array(chosen), X.binaries(index[keep].astype(np.int32), per), X.binaries(value[keep].astype(np.float32), per)], names=["pattern", "sampled", "index", "value"])
+                rows = np.flatnonzero(chosen)
+                index, value, own = features(stats[:, rows], *_chosen(p, h, rows))
+                per = np.zeros(len(chosen), np.int64)
+                per[rows] = own
+                yield pa.RecordBatch.from_arrays([pa.array(patterns(votes(stats, p.counts))), part.column("key"), pa.array(chosen), X.binaries(index.astype(np.int32), per), X.binaries(value.astype(np.float32), per)], names=["pattern", "key", "sampled", "index", "value"])
 
     return run
 
@@ -197,17 +230,18 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Vote counts are those of all documents; about `sample` of them, drawn by a hash, train the scorer."""
+    """Vote counts are those of all documents. Distinct texts, `sample` of them at most but for the chance of the
+    draw by a hash, train the scorer; copies of a text train it once."""
     spark = docs.sparkSession
     ship(spark)
     share = min(1.0, sample / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("quality"), text), F.lit(1 << 30)) < int(share * (1 << 30))
-    seen = saved(docs.select(text, F.coalesce(drawn, F.lit(False)).alias("sampled")).mapInArrow(_observe(text), "pattern long, sampled boolean, index binary, value binary"), "votes")
+    key = F.xxhash64(F.lit("quality"), text)
+    drawn = F.col(text).isNotNull() & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
+    seen = saved(docs.select(F.col(text).alias("text"), key.alias("key"), drawn.alias("sampled")).mapInArrow(_observe("text"), "pattern long, key long, sampled boolean, index binary, value binary"), "votes")
     # at most 3 to the number of labellers
     counts = seen.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     labels = fit_labels(counts.column("pattern").to_numpy(), counts.column("n").to_numpy())
-    # equal texts are drawn together; only so many of them are taken
-    rows = seen.where("sampled").select("pattern", "index", "value").limit(4 * sample).toArrow()
+    rows = seen.where("sampled").select("key", "pattern", "index", "value").dropDuplicates(["key"]).toArrow().sort_by("key")
     index = [np.frombuffer(x, np.int32) for x in rows.column("index").to_pylist()]
     value = [np.frombuffer(x, np.float32) for x in rows.column("value").to_pylist()]
     flat = (np.concatenate(a) if a else np.zeros(0, int) for a in (index, value))

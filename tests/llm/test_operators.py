@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cohortlake.llm import attention_lm, components, decontaminate, fertility, langid, line_dedup, packing, quality_em, token_files, trie_join, url_lists
+from cohortlake.llm import attention_lm, components, decontaminate, fertility, langid, line_dedup, packing, quality_em, shared, token_files, trie_join, url_lists
 from cohortlake.llm import text as X
 from cohortlake.llm.tokens import Encoder
 
@@ -123,17 +124,138 @@ def test_expectation_maximisation_finds_accuracies():
     assert abs(model.prior - good.mean()) < 0.02 and np.abs(model.bad - bad_rate).max() < 0.06
 
 
+def plain_statistics(text):
+    """The labellers' statistics of one text, character by character."""
+    kind = lambda c: unicodedata.category(c)
+    w, t = words(text), text or ""
+    letters, body = sum(kind(c)[0] in "LM" for c in t), sum(map(len, w))
+    symbols, lines = set("#*$%&|<>=~^{}[]\\"), t.split("\n")
+    wide = sum(any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))) for c in t)
+    n = max(len(w) + wide / 2, 1)
+    seen, twice = set(), 0
+    for line in lines:
+        if words(line):
+            twice += line in seen
+            seen.add(line)
+    return [
+        sum(c in symbols for c in t) / max(body, 1),
+        sum(bool(set(x) & symbols) for x in w) / n,
+        sum(kind(c) == "Lu" for c in t) / max(letters, 1),
+        sum(c in "!！" for c in t) / n,
+        len({x.translate(LOWER) for x in w}) / max(len(w), 1) * max(len(w) / 200, 1) ** 0.15,
+        twice / len(lines),
+        sum(not any(kind(c)[0] in "LM" for c in x) for x in w) / n,
+        letters / max(body, 1),
+        sum(kind(c) == "Nd" for c in t) / max(body, 1),
+        sum(c in ".?。？؟।۔" for c in t) / n,
+        abs(body / n - (2 if wide > body / 2 else 6)),
+    ]
+
+
+def test_quality_equals_a_plain_version(spark, docs, sf_dir):
+    model = quality_em.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    checked = 0
+    for r in quality_em.classify(docs, model).collect():
+        t = BASE if r["doc_id"] is None else TEXTS[r["doc_id"]]
+        stats, w = plain_statistics(t), words(t)
+        bad = good = 0
+        odds = math.log(model.labels.prior / (1 - model.labels.prior))
+        for k, ((_, sign, worse, better, least), x) in enumerate(zip(quality_em.LABELLERS, stats, strict=True)):
+            if len(w) >= least and sign * x >= sign * worse and not sign * x <= sign * better:
+                bad += 1
+                odds += math.log(model.labels.bad[1, k] / model.labels.bad[0, k])
+            elif len(w) >= least and sign * x <= sign * better:
+                good += 1
+                odds += math.log((1 - model.labels.bad[1, k]) / (1 - model.labels.bad[0, k]))
+        assert (r["n_words"], r["votes_bad"], r["votes_good"]) == (len(w), bad, good), t
+        assert math.isclose(r["label_posterior"], 1 / (1 + math.exp(-odds)), rel_tol=1e-6, abs_tol=1e-12)
+        count = collections.Counter()
+        for x in w:
+            raw = np.frombuffer(x.translate(LOWER).encode(), np.uint8)
+            count[int(X.hashes(raw, np.array([0]), np.array([len(raw)]))[0]) >> (64 - quality_em.HASH_BITS)] += 1
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values())) or 1
+        z = model.weights[-1] + sum(model.weights[k] * math.log1p(n) / norm for k, n in count.items())
+        for k, ((_, _, worse, better, _), x) in enumerate(zip(quality_em.LABELLERS, stats, strict=True)):
+            level = min(max(math.floor((x - (worse + better) / 2) / (abs(worse - better) / 4)) + quality_em.LEVELS // 2, 0), quality_em.LEVELS - 1)
+            z += model.weights[(1 << quality_em.HASH_BITS) + quality_em.LEVELS * k + level]
+        z += model.weights[(1 << quality_em.HASH_BITS) + quality_em.LEVELS * len(stats) + min(int(math.log2(len(w) + 1)), quality_em.LEVELS - 1)]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-9) and r["kept"] == (r["score"] >= 0.5)
+        checked += 1
+    assert checked == docs.count()
+
+
+def test_prose_in_other_scripts_draws_no_bad_vote():
+    russian = "Утром мы вышли из дома и долго шли вдоль реки. Вода была тихая, а небо светлое. Никто не говорил ни слова, и только птицы пели в старом саду?"
+    greek = "Το πρωί βγήκαμε από το σπίτι και περπατήσαμε δίπλα στο ποτάμι. Το νερό ήταν ήσυχο και ο ουρανός καθαρός. Κανείς δεν μιλούσε για πολλή ώρα."
+    chinese = "早上我们离开家，沿着河边走了很久。 水很平静，天空很明亮。 没有人说话， 只有鸟儿在老花园里唱歌。 后来我们回家了， 大家都很高兴。"
+    hindi = "सुबह हम घर से निकले और नदी के किनारे बहुत देर तक चलते रहे। पानी शांत था और आकाश साफ़ था। कोई भी कुछ नहीं बोल रहा था।"
+    stats, p, _ = quality_em.statistics(X.texts(pa.array([russian, greek, chinese, hindi])))
+    assert (quality_em.votes(stats, p.counts) != quality_em.BAD).all()
+
+
+def test_quality_sample_holds_each_text_once(spark, monkeypatch):
+    r = random.Random(6)
+    hot = prose(30, r)
+    frame = spark.createDataFrame([(k, hot if k % 3 else prose(30, r)) for k in range(300)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality_em, "fit_scorer", lambda index, value, per, target: seen.append(len(per)) or np.zeros(quality_em.WIDTH + 1))
+    quality_em.fit(frame, sample=1000)
+    assert seen == [101]
+
+
 # 2
 
 
+def plain_measures(t):
+    """n_tokens, the four measures: word by word with the libraries."""
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    w = words(t)
+    ids = [i for x in w for i in pieces.encode(x)]
+    count = collections.Counter(ids)
+    chars, n_bytes = sum(map(len, w)), sum(len(whole.encode(x, add_special_tokens=False).ids) for x in w)
+    return len(ids), chars / max(len(ids), 1), chars / max(n_bytes, 1), sum(pieces.is_byte(i) for i in ids) / max(len(ids), 1), -sum(n / len(ids) * math.log2(n / len(ids)) for n in count.values())
+
+
+def plain_verdicts(rows):
+    """kept of each row by the bands, from the measures."""
+    names = ("chars_per_token", "chars_per_byte_token", "fallback_share")
+    sound = [r for r in rows if not r["base_failed"]]
+    size = lambda r: math.log2(max(r["n_tokens"], 1))
+    x, y = [size(r) for r in sound], [r["entropy"] for r in sound]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    spread = sum((a - mx) ** 2 for a in x)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / spread if spread else 0.0
+    rest = lambda r: r["entropy"] - (my - slope * mx) - slope * size(r)
+    quartiles = lambda v: [sorted(v)[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75)]
+    drawn = lambda v, above: [(len(v) * a + fertility.PRIOR * b) / (len(v) + fertility.PRIOR) for a, b in zip(quartiles(v), above, strict=True)] if v else above
+    out = []
+    for r in rows:
+        ok = not r["base_failed"]
+        alike = lambda s, *by: all(s[c] == r[c] for c in by)
+        for n in names:
+            low, mid, high = drawn([s[n] for s in sound if alike(s, "band")], quartiles([s[n] for s in sound]))
+            slack = fertility.SLACK.get(n, 0.25)
+            ok &= r[n] <= mid + max(slack, 4 * (high - mid)) and (n == "fallback_share" or r[n] >= mid - max(slack, 4 * (mid - low)))
+        by_length = drawn([rest(s) for s in sound if alike(s, "length_class")], quartiles([rest(s) for s in sound]))
+        low, mid, _ = drawn([rest(s) for s in sound if alike(s, "band", "length_class")], by_length)
+        out.append(ok and rest(r) >= mid - max(fertility.SLACK["entropy"], 4 * (mid - low)))
+    return out
+
+
+FILES = {"pieces_file": public_tokenizers.path("piece_bpe_32k.model"), "bytes_file": public_tokenizers.path("byte_bpe_50k.json")}
+
+
 def test_fertility(docs, empty):
-    files = {"pieces_file": public_tokenizers.path("piece_bpe_32k.model"), "bytes_file": public_tokenizers.path("byte_bpe_50k.json")}
-    rows = fertility.rate(docs, **files).collect()
-    assert len(rows) == docs.count()
+    out = fertility.rate(docs.withColumn("band", F.lit("own")).withColumn("base_failed", F.lit("own")).withColumn("size", F.lit("own")), **FILES)
+    assert len(out.columns) == len(set(out.columns)) and "kept" in out.columns
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(r["size"] == "own" and r["kept"] is not None for r in rows)
     for r in rows:
-        if r["doc_id"] is None:
-            continue
-        t = TEXTS[r["doc_id"]] or ""
+        t = BASE if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
         w = words(t)
         many = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         inside = {j for i in range(len(w) - 7) if many[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
@@ -144,7 +266,18 @@ def test_fertility(docs, empty):
                 seen.add(line)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), twice, len(inside)), t[:40]
         assert r["base_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
-    assert fertility.rate(empty, **files).count() == 0
+        if len(t) < 5000:
+            got = r["n_tokens"], r["chars_per_token"], r["chars_per_byte_token"], r["fallback_share"], r["entropy"]
+            assert np.allclose(got, plain_measures(t), rtol=1e-9), t[:40]
+        assert r["band"] == ("xx" if r["doc_id"] is not None else "latin")
+    assert fertility.rate(empty, **FILES).count() == 0
+
+
+def test_fertility_bands(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    rows = fertility.rate(docs, **FILES).collect()
+    assert [r["kept"] for r in rows] == plain_verdicts(rows)
+    assert 0 < sum(not r["kept"] and not r["base_failed"] for r in rows) < len(rows) / 4
 
 
 # 3
@@ -493,6 +626,30 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_takes_single_short_lines_exactly_when_asked(spark):
+    r = random.Random(9)
+    rows = [(k, f"{prose(30, r)} {k}\nthe same six words as others\n{prose(30, r)} {k}") for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert line_dedup.dedup_lines(frame).where("n_gone_lines > 0").count() == 0
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame, gram_words=1, window_words=1).collect()}
+    assert out[0] == rows[0][1] and all(out[k] == "\n".join(t.split("\n")[::2]) for k, t in rows[1:])
+
+
+@pytest.mark.parametrize("least", [2, 100])
+def test_line_dedup_is_the_same_when_hot_grams_and_sources_are_salted(spark, monkeypatch, least):
+    monkeypatch.setattr(shared, "LEAST_SPLIT", least)
+    r = random.Random(12)
+    passage, other = "\n".join(prose(30, r) for _ in range(3)), "\n".join(prose(30, r) for _ in range(2))
+    texts = {k: f"{prose(40, r)}\n{passage}\n{prose(10, r)}" + (f"\n{other}" if k % 3 == 0 else "") for k in range(60)} | {100: None, 101: ""}
+    frame = spark.createDataFrame([*texts.items(), (None, texts[0]), (5, texts[5])], "doc_id long, text string").repartition(5)
+    rows = line_dedup.dedup_lines(frame.withColumn("gone", F.lit("own")).withColumn("text_hash", F.lit(1))).collect()
+    assert len(rows) == len(texts) + 2 and all(x["gone"] == "own" and x["text_hash"] == 1 for x in rows)
+    got = {x["doc_id"]: x["n_gone_lines"] for x in rows}
+    # the row without an id comes first, so document 0 is a copy of it
+    want = dedup_by_hand({-1: texts[0], **texts}, line_dedup.GRAM_WORDS, line_dedup.WINDOW_WORDS)
+    assert got == {None if k == -1 else k: n for k, n in want.items()}
+
+
 # 10
 
 
@@ -576,9 +733,11 @@ def test_trie_links_all_components(sets):
             assert 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]) or find(a) == find(b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [3, 100])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr(shared, "LEAST_SPLIT", least)
     r = random.Random(2)
-    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 200), (None, 3)]
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 200), (None, 3)] + [(300 + k, 300) for k in range(1, 50)]
     up = {x: x for e in edges for x in e if None not in e}
 
     def find(k):
