@@ -29,7 +29,7 @@ MAX_COVERAGE = 0.5
 class SuffixAutomaton:
     """All word sequences of the items, with the items in which each window occurs."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -38,14 +38,14 @@ class SuffixAutomaton:
             last = 0
             for x in ids:
                 last = self._extend(last, x)
-        self.full: dict[int, set[str]] = {}
-        self.whole: dict[int, list[tuple[int, str]]] = {}
+        self.full: dict[int, set[str | None]] = {}
+        self.whole: dict[int, list[tuple[int, str | None]]] = {}
         self.least = min((min(window, len(ids)) for _, ids in sequences), default=window)
         for name, ids in sequences:
             self._mark(name, ids)
         self.above = self._nearest_marked()
 
-    def _encode(self, items: Iterable[tuple[str, str | None]]) -> list[tuple[str, list[int]]]:
+    def _encode(self, items: Iterable[tuple[str | None, str | None]]) -> list[tuple[str | None, list[int]]]:
         names, bodies = [], []
         for name, body in items:
             names.append(name)
@@ -85,7 +85,7 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, x)
         return new
 
-    def _mark(self, name: str, ids: list[int]) -> None:
+    def _mark(self, name: str | None, ids: list[int]) -> None:
         if len(ids) < self.window:
             at = 0
             for x in ids:
@@ -122,28 +122,40 @@ class SuffixAutomaton:
                 at, n = to, n + 1
             yield at, n
 
-    def scan(self, ids: list[int], base: int, hits: list[tuple[int, int]], names: set[str]) -> None:
-        """Adds the hit spans [from, to) and the items that occur in ids; base is the index of ids[0]."""
+    def scan(self, ids: list[int], base: int, hits: list[tuple[int, int]], seen: set[tuple[int, int]]) -> None:
+        """Adds the hit spans [from, to), and the states and lengths of items that end in ids; base is the index of ids[0]."""
+        window, link, length, full, whole, above = self.window, self.link, self.length, self.full, self.whole, self.above
         for i, (at, n) in enumerate(self.stream(ids), base + 1):
             size = 0
-            if n >= self.window:
-                size, top = self.window, at
-                while self.length[self.link[top]] >= self.window:
-                    top = self.link[top]
-                names |= self.full.get(top, set())
+            if n >= window:
+                size, top = window, at
+                while length[link[top]] >= window:
+                    top = link[top]
+                if top in full:
+                    seen.add((top, window))
             mark = at
             while mark >= 0:
-                for k, name in self.whole.get(mark, ()):
+                for k, _ in whole.get(mark, ()):
                     if k <= n:
                         size = max(size, k)
-                        names.add(name)
-                mark = self.above[mark]
+                        seen.add((mark, k))
+                mark = above[mark]
             if size:
                 begin = i - size
                 while hits and hits[-1][1] >= begin:
                     begin = min(begin, hits.pop()[0])
                 hits.append((begin, i))
 
+    def names(self, seen: set[tuple[int, int]]) -> set[str | None]:
+        """The items of what scan() has seen; each state's set is merged once, however often it was met."""
+        out: set[str | None] = set()
+        for at, k in seen:
+            if k >= self.window:
+                out |= self.full[at]
+            else:
+                out.update(name for size, name in self.whole[at] if size == k)
+        return out
+
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -155,73 +167,88 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan_batches(automaton, text: str, first: bool, keep: bool):
-    """Adds to each row its hits by this automaton: n_words, hit_words (from, to in words), item_ids."""
+def _in_order(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def _scan_batches(automata: list, text: str, keep: bool):
+    """Adds to each row its hits by all automata: n_words, hit_words (from, to in words), item_ids.
+
+    A worker holds one automaton at a time: where there are several, each is loaded for a batch and dropped."""
+
+    def scanned(a: SuffixAutomaton, p: X.Pieces, h: np.ndarray) -> dict[int, tuple[list, set]]:
+        if not len(a.vocabulary) or not len(p):
+            return {}
+        ids = np.searchsorted(a.vocabulary, h)
+        ids[ids == len(a.vocabulary)] = 0
+        known = a.vocabulary[ids] == h
+        edge = np.zeros(len(h) + 1, bool)
+        edge[p.lo], edge[p.hi] = True, True
+        before = np.concatenate([[False], known[:-1]])
+        after = np.concatenate([known[1:], [False]])
+        begins = np.flatnonzero(known & (~before | edge[:-1]))
+        ends = np.flatnonzero(known & (~after | edge[1:])) + 1
+        long = ends - begins >= a.least
+        begins, ends = begins[long], ends[long]
+        docs = np.searchsorted(p.hi, begins, "right")
+        found: dict[int, tuple[list, set]] = {}
+        for d, b, e in zip(docs.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            spans, seen = found.setdefault(d, ([], set()))
+            a.scan(ids[b:e].tolist(), int(b - p.lo[d]), spans, seen)
+        return {d: (spans, a.names(seen)) for d, (spans, seen) in found.items() if spans}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: SuffixAutomaton = automaton.value
         for batch in batches:
-            for part in X.portions(batch, text):
+            parts, words = list(X.portions(batch, text)), []
+            for part in parts:
                 t = X.texts(part.column(text))
                 p = X.pieces(t, X.NOT_ALNUM)
-                spans: list[list] = [[] for _ in range(len(t))]
-                items: list[list] = [[] for _ in range(len(t))]
-                if len(a.vocabulary) and len(p):
-                    h = X.hashes(t.data, p.starts, p.ends, X.LOWER)
-                    ids = np.searchsorted(a.vocabulary, h)
-                    ids[ids == len(a.vocabulary)] = 0
-                    known = a.vocabulary[ids] == h
-                    edge = np.zeros(len(h) + 1, bool)
-                    edge[p.lo], edge[p.hi] = True, True
-                    before = np.concatenate([[False], known[:-1]])
-                    after = np.concatenate([known[1:], [False]])
-                    begins = np.flatnonzero(known & (~before | edge[:-1]))
-                    ends = np.flatnonzero(known & (~after | edge[1:])) + 1
-                    long = ends - begins >= a.least
-                    begins, ends = begins[long], ends[long]
-                    docs = np.searchsorted(p.hi, begins, "right")
-                    found: dict[int, set[str]] = {}
-                    for d, b, e in zip(docs.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                        a.scan(ids[b:e].tolist(), int(b - p.lo[d]), spans[d], found.setdefault(d, set()))
-                    for d, names in found.items():
-                        items[d] = sorted(names)
-                if not first:
-                    old_spans, old_items = part.column("hit_words").to_pylist(), part.column("item_ids").to_pylist()
-                    spans = [_merged([(x["from"], x["to"]) for x in o] + s) for o, s in zip(old_spans, spans, strict=True)]
-                    items = [sorted({*o, *s}) for o, s in zip(old_items, items, strict=True)]
-                    part = part.select([n for n in part.schema.names if n not in ("n_words", "hit_words", "item_ids")])
+                words.append((p, X.hashes(t.data, p.starts, p.ends, X.LOWER)))
+            hits: list[dict[int, tuple[list, set]]] = [{} for _ in parts]
+            for shared in automata:
+                a: SuffixAutomaton = shared.value
+                for (p, h), held in zip(words, hits, strict=True):
+                    for d, (spans, names) in scanned(a, p, h).items():
+                        old = held.get(d, ([], set()))
+                        held[d] = _merged(old[0] + spans), old[1] | names
+                del a
+                if len(automata) > 1:
+                    vars(shared).pop("_value", None)
+            for part, (p, _), held in zip(parts, words, hits, strict=True):
                 kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-                columns = [pa.array(p.counts, pa.int64()), pa.array([[{"from": x, "to": y} for x, y in s] for s in spans], type=kind), pa.array(items, type=pa.list_(pa.string()))]
-                if not keep:
-                    part = part.select([n for n in part.schema.names if n != text])
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n_words", "hit_words", "item_ids"])
+                spans = [[{"from": x, "to": y} for x, y in held[d][0]] if d in held else [] for d in range(part.num_rows)]
+                items = [_in_order(held[d][1]) if d in held else [] for d in range(part.num_rows)]
+                rest = part if keep else part.select([n for n in part.schema.names if n != text])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p.counts, pa.int64()), pa.array(spans, type=kind), pa.array(items, type=pa.list_(pa.string()))], names=[*rest.schema.names, *_ADDED])
 
     return run
 
 
+_ADDED = ("n_words", "hit_words", "item_ids")
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
     """docs with n_words, hit_words (spans of words, ends excluded) and item_ids (strings, sorted).
 
     Null or wordless texts have no words and no hits; null or wordless items occur nowhere; rows of a
-    repeated item_id count as one item; an item without an id is named 'null'. Columns of docs that have
-    the names of results are replaced. The benchmark is read in blocks of about block_words words, each a
-    bounded broadcast, so its size is not limited. keep_text=False leaves out the text.
+    repeated item_id count as one item, and so do those without an id, which is null, at the end. Columns of docs
+    that have the names of results are replaced. The benchmark is dealt to automata of about block_words words,
+    each a bounded broadcast; one pass over the texts uses them one after the other, so the benchmark's size
+    is not limited. keep_text=False leaves out the text.
     """
     ship(docs.sparkSession)
-    added = ("n_words", "hit_words", "item_ids")
-    out = docs.drop(*added)
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(item_text).cast("string").alias("body"))
+    docs = docs.drop(*_ADDED)
+    items = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).cast("string").alias("body"))
     # each separator byte ends a word at most, so this is a bound that needs no Python
     words = items.select(F.sum(F.size(F.split(F.coalesce("body", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-words // block_words))
+    automata = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("name", "body"), F.lit(blocks)) == k).collect()
-        automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton([(r["name"], r["body"]) for r in rows], window))
-        keep = keep_text or k < blocks - 1
-        left = out.drop(*added) if keep else out.drop(*added, text)
-        schema = T.StructType([*left.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_scan_batches(automaton, text, k == 0, keep), schema)
-    return out
+        automata.append(docs.sparkSession.sparkContext.broadcast(SuffixAutomaton([(r["name"], r["body"]) for r in rows], window)))
+    left = docs if keep_text else docs.drop(text)
+    schema = T.StructType([*left.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    return docs.mapInArrow(_scan_batches(automata, text, keep_text), schema)
 
 
 def n_hit() -> Column:

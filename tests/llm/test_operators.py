@@ -407,8 +407,8 @@ def overlaps(text, items, window=10):
             for b in range(len(w) - k + 1):
                 if w[b : b + k] == i[a : a + k]:
                     hit |= set(range(b, b + k))
-                    names.add(str(name))
-    return len(w), len(hit), sorted(names)
+                    names.add(None if name is None else str(name))
+    return len(w), len(hit), sorted(names, key=lambda x: (x is None, x or ""))
 
 
 @settings(max_examples=80, deadline=None)
@@ -417,9 +417,9 @@ def test_automaton(items, text, window):
     named = list(enumerate(items))
     a = decontaminate.SuffixAutomaton([(str(k), b) for k, b in named], window)
     ids = [int(np.searchsorted(a.vocabulary, h)) if h in a.vocabulary else -1 for h in _hash(text)]
-    spans, names = [], set()
-    a.scan(ids, 0, spans, names)
-    assert (len(ids), sum(y - x for x, y in spans), sorted(names)) == overlaps(text, named, window)
+    spans, seen = [], set()
+    a.scan(ids, 0, spans, seen)
+    assert (len(ids), sum(y - x for x, y in spans), sorted(a.names(seen))) == overlaps(text, named, window)
 
 
 def _hash(text):
@@ -430,9 +430,11 @@ def _hash(text):
 
 @pytest.mark.parametrize("block_words", [200_000, 60])
 def test_decontamination(spark, docs, empty, block_words):
-    items = [(1, " ".join(BASE.split()[5:30])), (10, "One, TWO"), (2, None), (3, "..."), (4, " ".join(BASE.split()[20:32])), (1, "日本語"), (None, "text that is nowhere at all")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.find_overlaps(docs, bench, block_words=block_words).withColumn("hit", decontaminate.n_hit()).collect()
+    items = [(1, " ".join(BASE.split()[5:30])), (10, "One, TWO"), (2, None), (3, "..."), (4, " ".join(BASE.split()[20:32])), (1, "日本語"), (None, "text that is nowhere at all"), (None, " ".join(BASE.split()[40:55])), ("null", " ".join(BASE.split()[60:75]))]
+    bench = spark.createDataFrame([(None if k is None else str(k), t) for k, t in items], "item_id string, text string")
+    found = decontaminate.find_overlaps(docs, bench, block_words=block_words)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = found.withColumn("hit", decontaminate.n_hit()).collect()
     assert len(rows) == docs.count()
     for r in rows:
         t = BASE if r["doc_id"] is None else TEXTS[r["doc_id"]]
