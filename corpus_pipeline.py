@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import decontaminate as bench
 from cohortlake.llm import line_dedup, packing, quality_em, trie_join
-from cohortlake.llm.shared import fresh_path, table
+from cohortlake.llm.shared import discard, fresh_path, partitions, scratch, table
 
 
 def _recounted(docs: DataFrame, changed, columns: list[str]) -> DataFrame:
@@ -30,12 +30,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(left, F.col("n_gone_lines") > 0, docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, of the type long: doc_id where one row has it. Rows without an id, and those of an id
+    that several rows have, get keys beyond all ids, equal ones of them the same row."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    nameless = docs.where("doc_id IS NULL")
+    if repeated.isEmpty() and nameless.isEmpty():
+        return docs.withColumn(_KEY, F.col("doc_id").cast("long"))
+    odd = nameless.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns)).dropDuplicates(["doc_id", "text"])
+    n = partitions(docs.sparkSession)
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(F.col("doc_id").asc_nulls_last(), "text"))
+    beyond = (docs.agg(F.max(F.col("doc_id").cast("long")).alias("top")).first()["top"] or 0) + 1
+    plain = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return plain.withColumn(_KEY, F.col("doc_id").cast("long")).unionByName(odd.withColumn(_KEY, F.lit(beyond) + (place - 1) * n + bucket))
+
+
+_KEY = " key"
+
+
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, of rows of one id one. Rows without an id stay."""
-    kept = trie_join.similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of alike texts stays: that with the smallest id, rows with an id of their own first."""
+    keyed = _keyed(docs)
+    kept = trie_join.similar_groups(keyed, doc_id=_KEY).where("doc_id = component_id").select(F.col("doc_id").alias(_KEY))
+    return keyed.join(kept, _KEY, "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES over documents, each written as Parquet to the shared folder and read again. A stage's working
+    tables go when it is written, its own table when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
