@@ -28,8 +28,6 @@ SLOTS = 1 << 21
 MIN_SHARE = 1e-5
 #: .. and if it is not this many times rarer than in the language where its share is largest.
 MAX_RATIO = 20.0
-#: Masks have one 64-bit word per 64 languages.
-MAX_LANGUAGES = 1024
 
 _BLANK = X._table((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _FOLD = X.LOWER.copy()
@@ -90,11 +88,9 @@ def _counts(text: str, lang: str):
 
 
 class LanguageFilter:
-    """The bit-sliced filter: fit() from n-gram shares, predict() texts."""
+    """The bit-sliced filter: fit() from n-gram shares, predict() texts. Masks have a 64-bit word per 64 languages."""
 
     def __init__(self, languages: list[str], lang_index: np.ndarray, codes: np.ndarray, gram: int = GRAM, slots: int = SLOTS, probes: int = PROBES):
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; the masks are made for {MAX_LANGUAGES}")
         self.languages, self.gram, self.slots, self.probes = languages, gram, slots, probes
         self.planes = np.zeros((max(1, -(-len(languages) // 64)), slots), dtype=np.uint64)
         where = self._where(codes)

@@ -56,8 +56,6 @@ class Trie:
         self.high: list[int] = []
         self.below: list[list[int]] = []
         self.ends: list[list[int]] = []
-        self.root_of: list[int] = []
-        self.uniform: list[bool] = []
         self._build(sorted(range(len(sets)), key=sets.__getitem__))
 
     def _build(self, order: list[int]) -> None:
@@ -82,8 +80,6 @@ class Trie:
             self.high.append(max(sizes))
             self.below.append([])
             self.ends.append(order[lo:at])
-            self.root_of.append(order[lo])
-            self.uniform.append(hi - lo == 1)
             while at < hi:
                 head, start = sets[order[at]][to], at
                 while at < hi and sets[order[at]][to] == head:
@@ -96,51 +92,6 @@ class Trie:
             k = self.parent[k]
         return k
 
-    def _refresh(self) -> None:
-        """Which subtrees lie in one component; children have larger numbers than their parents."""
-        for node in range(len(self.segment) - 1, -1, -1):
-            if not self.uniform[node]:
-                root = self.find(self.root_of[node])
-                self.uniform[node] = all(self.find(k) == root for k in self.ends[node]) and all(self.uniform[c] and self.find(self.root_of[c]) == root for c in self.below[node])
-
-    def links(self) -> list[tuple[int, int]]:
-        """Linked pairs that join all of each component: a spanning forest."""
-        out: list[tuple[int, int]] = []
-        per, full = self.percent, 100 + self.percent
-        fresh = 0
-        for q, mine in enumerate(self.sets):
-            own, n = set(mine), len(mine)
-            root = self.find(q)
-            todo = [(0, 0)]
-            while todo:
-                node, shared = todo.pop()
-                if self.uniform[node] and self.find(self.root_of[node]) == root:
-                    continue
-                low, high = self.low[node], self.high[node]
-                if 100 * high < per * n or per * low > 100 * n:
-                    continue
-                seg = self.segment[node]
-                if seg:
-                    shared += len(own.intersection(seg))
-                    left = n - bisect_right(mine, seg[-1])
-                else:
-                    left = n
-                least = max(low, -(-per * n // 100))
-                if full * (shared + min(left, high - self.depth[node])) < per * (n + least):
-                    continue
-                for k in self.ends[node]:
-                    if full * shared >= per * (n + len(self.sets[k])) and (other := self.find(k)) != root:
-                        self.parent[max(root, other)] = min(root, other)
-                        root = min(root, other)
-                        out.append((q, k))
-                        fresh += 1
-                todo += [(c, shared) for c in self.below[node]]
-            if fresh and fresh >= len(self.sets) // 50:
-                self._refresh()
-                fresh = 0
-        return out
-
-
     def all_links(self, q: int) -> list[int]:
         """All sets that link with set q."""
         out: list[int] = []
@@ -421,7 +372,7 @@ def similar_pairs(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", trie_shingles: int = TRIE_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links), one row for each row of docs.
 
-    Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. A text of fewer than five words is one
+    doc_id is cast to long. Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased. A text of fewer than five words is one
     shingle; null texts and those without words have none and link with nothing. Rows of one id are one
     node, with a set for each text. Rows without an id link with nothing; their component_id is null.
     class_id is the smallest id with an equal set, n_links the number of other rows with an id whose sets
