@@ -12,7 +12,8 @@ there loses no link:
    set walks the trie once: the overlap with a path is counted once for all sets below, and a subtree is
    left where the overlap and what remains cannot reach the bound. Every link is found; links are
    counted in the task, and only a spanning forest of them goes on, unless similar_pairs asks for all.
-   Large groups are dealt to bounded blocks, and pairs of blocks to tasks.
+   Large groups are dealt to blocks, and pairs of blocks to tasks; in a pair of two, the sets of one walk
+   the trie of the other, so each pair of sets is compared once, whatever the number of blocks.
 4. Components of the links, and the sums of the counts, give the result.
 """
 
@@ -37,8 +38,11 @@ PERCENT = 80
 #: by fingerprints of 40 bits or more. They only shape the order, so neither the bound nor a clash can lose a link.
 COMMON_LEAST = 3
 COMMON = 2_000_000
-#: Shingles of the sets in one trie; larger groups are dealt to blocks of about half that.
-TRIE_SHINGLES = 500_000
+#: Shingles of the sets in one task; larger groups are dealt to blocks. A group of T shingles has
+#: sqrt(T / BLOCK_UNIT) blocks, so that blocks and their number grow alike, until a block has BLOCK_SHINGLES.
+TRIE_SHINGLES = 50_000
+BLOCK_UNIT = 2_000
+BLOCK_SHINGLES = 2_000_000
 #: Bits of the filter that leaves documents outside all groups out of the shuffle of sets.
 MOST_SLOTS = 1 << 27
 
@@ -46,7 +50,8 @@ MOST_SLOTS = 1 << 27
 class Trie:
     """A compressed prefix tree of sets whose members are numbered in one order."""
 
-    def __init__(self, sets: list[tuple[int, ...]], percent: int = PERCENT):
+    def __init__(self, sets: list[tuple[int, ...]], members: list[int] | None = None, percent: int = PERCENT):
+        """members: which sets the tree holds; all of them unless given."""
         self.percent = percent
         self.sets = sets
         self.parent = list(range(len(sets)))
@@ -56,7 +61,7 @@ class Trie:
         self.high: list[int] = []
         self.below: list[list[int]] = []
         self.ends: list[list[int]] = []
-        self._build(sorted(range(len(sets)), key=sets.__getitem__))
+        self._build(sorted(range(len(sets)) if members is None else members, key=sets.__getitem__))
 
     def _build(self, order: list[int]) -> None:
         sets = self.sets
@@ -93,8 +98,10 @@ class Trie:
         return k
 
     def all_links(self, q: int) -> list[int]:
-        """All sets that link with set q."""
+        """All sets in the tree that link with set q."""
         out: list[int] = []
+        if not self.segment:
+            return out
         per, full, mine = self.percent, 100 + self.percent, self.sets[q]
         own, n = set(mine), len(mine)
         todo = [(0, 0)]
@@ -126,12 +133,12 @@ class Trie:
         return a != b
 
 
-def _trie(sets: list[np.ndarray]) -> Trie:
+def _trie(sets: list[np.ndarray], members: list[int] | None) -> Trie:
     flat, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(flat), np.int64)
     rank[np.lexsort((flat, -counts))] = np.arange(len(flat))
     numbered = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
-    return Trie([tuple(np.sort(x).tolist()) for x in numbered])
+    return Trie([tuple(np.sort(x).tolist()) for x in numbered], members)
 
 
 def _fingerprint(w: np.ndarray, bits: int) -> np.ndarray:
@@ -325,29 +332,30 @@ def _join_groups(pairs: bool):
     """Within each group of rows (sorted by group_id, block_a, block_b, doc_id, hash_a, hash_b): links (u, v) of a
     spanning forest, or all `pairs`; and how many documents each class (u, hash_a, hash_b; v is null) links with.
 
-    Links inside block k are counted in the task of the blocks k and k + 1."""
+    A task has the sets of one block, or those of two, of which it joins only sets of different blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, rows, sets = None, None, [], []
 
         def done() -> pa.RecordBatch:
-            trie, out = _trie(sets), []
+            out, counts = [], [0] * len(rows)
             _, a, b = now
-            for q, (doc, one, two, _, own, blocks) in enumerate(rows):
-                inside = blocks == 1 or {own, (own + 1) % blocks} == {a, b}
-                n = 0
+            asked = [q for q, row in enumerate(rows) if row[4] == a]
+            members = None if a == b else [k for k, row in enumerate(rows) if row[4] == b]
+            trie = _trie(sets, members)
+            for q in asked:
                 for k in trie.all_links(q):
-                    if counts := inside or rows[k][4] != own:
-                        n += rows[k][3]
-                    if (counts and q < k) if pairs else trie.join(q, k):
-                        out.append((doc, rows[k][0], None, None, 0))
-                if n:
-                    out.append((doc, None, one, two, n))
+                    counts[q] += rows[k][3]
+                    if a != b:
+                        counts[k] += rows[q][3]
+                    if (a != b or q < k) if pairs else trie.join(q, k):
+                        out.append((rows[q][0], rows[k][0], None, None, 0))
+            out += [(doc, None, one, two, n) for (doc, one, two, _, _), n in zip(rows, counts, strict=True) if n]
             columns = zip(*out, strict=True) if out else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v", "hash_a", "hash_b", "links"])
 
         for batch in batches:
-            for g, a, b, *row, raw in zip(*[batch.column(n).to_pylist() for n in ("group_id", "block_a", "block_b", "doc_id", "hash_a", "hash_b", "copies", "own", "blocks", "members")], strict=True):
+            for g, a, b, *row, raw in zip(*[batch.column(n).to_pylist() for n in ("group_id", "block_a", "block_b", "doc_id", "hash_a", "hash_b", "copies", "own", "members")], strict=True):
                 if now != (g, a, b):
                     if len(rows) > 1:
                         yield done()
@@ -420,16 +428,17 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     firsts = classes.select(F.col("v").alias("doc_id"), "n").groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
     members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id")).join(firsts, "doc_id")
     sizes = members.groupBy("group_id").agg(F.sum("n").alias("total"), F.sum("sets").alias("sets")).where("sets > 1")
-    work = saved(members.join(sizes.select("group_id", F.greatest(F.lit(1), F.when(F.col("total") > trie_shingles, F.ceil(2 * F.col("total") / trie_shingles)).otherwise(1)).cast("int").alias("blocks")), "group_id").join(classes.drop("n").withColumnRenamed("v", "doc_id"), "doc_id").select("doc_id", "hash_a", "hash_b", "copies", "group_id", "blocks"), "trie-members")
+    most = F.greatest(F.ceil(F.sqrt(F.col("total") / (trie_shingles * BLOCK_UNIT / TRIE_SHINGLES))), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    work = saved(members.join(sizes.select("group_id", F.when(F.col("total") > trie_shingles, most).otherwise(1).cast("int").alias("blocks")), "group_id").join(classes.drop("n").withColumnRenamed("v", "doc_id"), "doc_id").select("doc_id", "hash_a", "hash_b", "copies", "group_id", "blocks"), "trie-members")
     slots = min(MOST_SLOTS, 1 << max(20, int(16 * work.count()).bit_length()))
     chosen = spark.sparkContext.broadcast(_marked(work, slots))
     slotted = rows.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
     # sets, not texts, are shuffled, and by a merge join at every size
     sets = slotted.mapInArrow(_sets(chosen, "text"), "doc_id long, hash_a long, hash_b long, members binary").join(work.hint("merge"), ["doc_id", "hash_a", "hash_b"])
-    # block k meets each block j: as the pair (min, max); a group of one block is its own pair
+    # block k meets each block j, itself too: as the pair (min, max)
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
-    dealt = sets.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 OR own != other")
-    dealt = dealt.select("doc_id", "hash_a", "hash_b", "copies", "own", "blocks", "group_id", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "members")
+    dealt = sets.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("doc_id", "hash_a", "hash_b", "copies", "own", "group_id", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "members")
     tasks = ["group_id", "block_a", "block_b"]
     links = dealt.repartition(partitions(spark), *tasks).sortWithinPartitions(*tasks, "doc_id", "hash_a", "hash_b").mapInArrow(_join_groups(pairs), _LINKS)
     return leads, classes, equal, saved(links, "links")
