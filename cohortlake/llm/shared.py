@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,10 +57,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     del _made[before:]
 
 
+def writer(df: DataFrame, path: str) -> DataFrameWriter:
+    """For intermediate tables. On a mounted folder each file would cost two chmod processes of the executor, one
+    for its checksum file; without checksum files it is one. Other file systems are written as ever."""
+    if not path.startswith("file:"):
+        return df.write
+    return df.write.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back, so lost executors cost no recomputation."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer(df, path).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
