@@ -16,13 +16,14 @@ from cohortlake.operators import histogram as hist
 from cohortlake.operators import render, rows, segments
 from cohortlake.operators.tally import compare, tally
 from cohortlake.plans.interpreter import Interpreter
-from cohortlake.plans.lowering import Lowering, Unsupported, needs, needs_places
+from cohortlake.plans.lowering import Grouped, Lowering, Unsupported, needs, needs_places, per_value
 from cohortlake.plans.syntax import Script, parse, walk
 from cohortlake.sources import events as source
 from cohortlake.spec import Catalog, Property, TableSpec
+from cohortlake.store import written
 
 
-#: A histogram's foreach sends up to so many values to the tasks; beyond, values and customers are joined.
+#: Scripts that foreach cannot aggregate by value run once per customer and value: so many values at a time.
 FOREACH_VALUES = 10_000
 
 
@@ -50,6 +51,7 @@ class Bound:
     spec: TableSpec
     events: DataFrame
     customers: DataFrame
+    next_seq: int | None = None
 
 
 class Engine:
@@ -98,19 +100,26 @@ class Engine:
         b.spec = self.catalog.alter(b.spec.with_settings(**changes))
 
     def insert(self, name: str, raw: DataFrame, *, now: int | None = None) -> None:
-        """Raw events (columns of JSON fields) merged into the table by the ingest rules."""
+        """Raw events (columns of JSON fields) merged into the table by the ingest rules.
+
+        Only customers that the new events touch are merged anew; the table is written, so its plan does not grow."""
         b = self.table(name)
-        fresh = source.coerce(raw, b.spec).withColumn("seq", F.monotonically_increasing_id() + (b.events.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]))
-        olds = b.events.join(b.customers, "id", "left")
-        for p in b.spec.customer_properties:
-            if p.name not in olds.columns:
-                olds = olds.withColumn(p.name, F.lit(None).cast(p.spark_type))
-        both = olds.select(*fresh.columns).unionByName(fresh)
-        events, made = source.ingest(both, b.spec, seq="seq", now=now)
-        kept = b.customers.select("id", *[F.col(p.name).alias(f"_{p.name}") for p in b.spec.customer_properties])
+        if b.next_seq is None:
+            b.next_seq = b.events.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
+        fresh = written(source.coerce(raw, b.spec).withColumn("seq", F.monotonically_increasing_id() + b.next_seq), "fresh")
+        touched = fresh.select("id").distinct()
+        names = ["id", "stamp", "event", *[p.name for p in b.spec.event_properties]]
+        olds = b.events.join(touched, "id", "left_semi").select(*names, "seq")
+        merged = source.merged(olds.unionByName(fresh.select(*names, "seq")), b.spec, now=now)
+        rest = b.events.join(touched, "id", "left_anti")
+        if now is not None:
+            rest = rest.where(F.col("stamp") > now - b.spec.setting("event_ttl"))
+        own = [p.name for p in b.spec.customer_properties]
+        kept = b.customers.select("id", *[F.col(p).alias(f"_{p}") for p in own])
         told = source.customers(fresh, b.spec).join(kept, "id", "full_outer")
-        b.events, b.customers = events, told.select("id", *[F.coalesce(p.name, f"_{p.name}").alias(p.name) for p in b.spec.customer_properties])
-        del made
+        b.events = written(rest.select(*names, "z", "seq").unionByName(merged.select(*names, "z", "seq")), "events")
+        b.customers = written(told.select("id", *[F.coalesce(p, f"_{p}").alias(p) for p in own]), "customers")
+        b.next_seq = max(b.next_seq, fresh.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"])
 
     def members(self, name: str) -> DataFrame:
         """(segment, id) of all stored segments."""
@@ -231,7 +240,7 @@ class Engine:
                 low = Lowering(s, frame, now=now, compat_nil_order=compat_nil_order).run()
                 if low.returns:
                     raise Unsupported("return in an event query")
-                pushes, plan, single = self.pushed(low, groups), "expressions", len(low.pushes) == 1 and not any(n.kind == "for" for n in walk(s.body))
+                pushes, plan, single = self.pushed(low, groups), "expressions", len(low.pushes) == 1 and not low.joined and not any(n.kind == "for" for n in walk(s.body))
             except Unsupported as e:
                 if path == "expressions":
                     raise QueryError(str(e), "no_expression_form") from e
@@ -258,7 +267,7 @@ class Engine:
             for k, g in enumerate(groups):
                 one = next(iter(kinds[k])) if len(kinds[k]) == 1 else "string"
                 keys.append((p.keys[k].cast(one) if len(p.keys) > k else F.lit(None).cast(one)).alias(g))
-            part = p.frame.select(*[c for c in p.frame.columns if not c.startswith(("_w", "_v", "_on"))], *keys)
+            part = p.frame.select(*[c for c in p.frame.columns if not c.startswith(("_w", "_v", "_on", "_rn"))], *keys)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
@@ -269,6 +278,13 @@ class Engine:
         if any(n.kind == "tally" for n in walk(s.body)):
             raise AnalysisError("<< belongs to event queries", "tally_not_allowed")
         now = now or int(time.time() * 1000)
+        if path == "auto":
+            try:
+                low = Grouped(s, self.frame(b, s, session_time, segments_, places=_says_row(s)), now=now).run()
+                value = low.value(kind)
+                return low.grouped().select("id", value.alias("value")).where("value IS NOT NULL"), "aggregates by customer"
+            except Unsupported:
+                pass
         frame = self.frame(b, s, session_time, segments_)
         if path != "interpreter":
             try:
@@ -332,20 +348,50 @@ class Engine:
         specs = segments.in_order([_segment_spec(h, body) for k, h, body in sections(text) if k == "segment"])
         if not specs:
             raise ParseError("no @segment section", "syntax_error")
+        ready = self.evaluated(name, [s for s in specs if not self.cached(name, s, now)], now)
         for s in specs:
-            self.refresh_segment(name, s, now)
+            self.refresh_segment(name, s, now, ready.get(s.name))
         table = self.members(name).where(F.col("segment").isin(*[s.name for s in specs]))
         asked = self.spark.createDataFrame([(s.name,) for s in specs], "segment string")
         return asked.join(segments.counts(table), "segment", "left").select("segment", F.coalesce("customers", F.lit(0)).alias("customers"))
 
-    def refresh_segment(self, name: str, s: segments.SegmentSpec, now: int) -> DataFrame:
-        """Evaluates one segment, unless a cached one is not due; returns its changes (segment, id, state)."""
+    def cached(self, name: str, s: segments.SegmentSpec, now: int) -> bool:
+        old = self.segments[name].get(s.name)
+        return bool(old and s.use_cached and not old[0].due(now))
+
+    def evaluated(self, name: str, specs: list[segments.SegmentSpec], now: int) -> dict[str, DataFrame]:
+        """(segment, id) of all segments whose scripts are aggregates of a customer, from one pass over the events."""
+        b, made, frame, value = self.table(name), {}, None, {}
+        scripts = [self.parsed(b, s.script, "usual", None) for s in specs if not _CALL.fullmatch(s.script)]
+        if len(scripts) > 1:
+            whole = Script((), [n for s in scripts for n in s.body])
+            frame = self.frame(b, whole, None, places=_says_row(whole))
+        for k, s in enumerate(specs if frame is not None else []):
+            if not _CALL.fullmatch(s.script):
+                try:
+                    low = Grouped(self.parsed(b, s.script, "usual", None), frame, now=now, prefix=f"_a{k}_").run()
+                    value[s.name] = F.coalesce(low.value(T.BooleanType()), F.lit(False))
+                    made |= low.aggregates
+                except Unsupported:
+                    continue
+        if not made:
+            return {}
+        one = frame.groupBy("id").agg(*[c.alias(n) for n, c in made.items()])
+        held = F.filter(F.array(*[F.when(v, F.lit(n)) for n, v in value.items()]), lambda x: x.isNotNull())
+        table = written(one.select(F.explode(held).alias("segment"), "id"), "segments")
+        return {n: table.where(F.col("segment") == n) for n in value}
+
+    def refresh_segment(self, name: str, s: segments.SegmentSpec, now: int, ready: DataFrame | None = None) -> DataFrame:
+        """Evaluates one segment, unless a cached one is not due; returns its changes (segment, id, state). Members
+        are written, so what is stored are rows, not a plan to find them. ready: members evaluated before."""
         stored = self.segments[name]
         old = stored.get(s.name)
-        if old and s.use_cached and not old[0].due(now):
+        if self.cached(name, s, now):
             return self.members(name).limit(0).withColumn("state", F.lit(""))
-        call = re.fullmatch(r"\s*(?:return\s*)?\(?\s*(population|intersection|union|compliment|complement|difference)\s*\(([^)]*)\)\s*\)?\s*", s.script)
-        if call:
+        call = _CALL.fullmatch(s.script)
+        if ready is not None:
+            now_in = ready
+        elif call:
             args = [a.strip().strip("'\"") for a in call[2].split(",")]
             missing = [a for a in args if a not in stored]
             if missing:
@@ -353,10 +399,10 @@ class Engine:
             table = self.members(name)
             made = {"population": segments.population, "intersection": segments.intersection, "union": segments.union, "difference": segments.difference}
             ids = segments.complement(self.tables[name].events, table, args[0]) if call[1].startswith("compl") else made[call[1]](table, *args)
-            now_in = ids.select(F.lit(s.name).alias("segment"), "id")
+            now_in = written(ids.select(F.lit(s.name).alias("segment"), "id"), "segment")
         else:
             value, _ = self.per_customer(name, s.script, T.BooleanType(), now=now)
-            now_in = segments.members(value, s.name, F.col("value"))
+            now_in = written(segments.members(value, s.name, F.col("value")), "segment")
         before = old[1] if old else now_in.limit(0)
         s.refreshed_at = now
         stored[s.name] = (s, now_in)
@@ -380,16 +426,25 @@ class Engine:
             value, _ = self.per_customer(name, script, T.DoubleType(), segments_=segments, now=now)
             return hist.histogram(value, bucket=bucket, low=min, high=max)
         b = self.table(name)
-        values = b.events.where(F.col(foreach).isNotNull()).select(F.col(foreach).alias("each_value")).distinct()
         s = self.parsed(b, script, "usual", None)
-        frame = self.frame(b, s, None, segments, {foreach})
         now = now or int(time.time() * 1000)
-        listed = [r[0] for r in values.limit(FOREACH_VALUES + 1).collect()]
-        if len(listed) <= FOREACH_VALUES:
-            outs = self.interpret_values(b, s, frame, listed, values.schema["each_value"].dataType, now)
-        else:
-            pairs = frame.join(values.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
-            outs = self.interpret_pairs(b, s, pairs, now)
+        if per_value(s, foreach):
+            try:
+                frame = self.frame(b, s, None, segments, {foreach}, places=False).where(F.col(foreach).isNotNull()).withColumn("each_value", F.col(foreach))
+                low = Grouped(s, frame, now=now, keys=("id", "each_value")).run()
+                value = low.value(T.DoubleType())
+                return hist.histogram(low.grouped().select("id", "each_value", value.alias("value")), bucket=bucket, low=min, high=max, by=["each_value"])
+            except Unsupported:
+                pass
+        frame = self.frame(b, s, None, segments, {foreach})
+        values = written(b.events.where(F.col(foreach).isNotNull()).select(F.col(foreach).alias("each_value")).distinct(), "values")
+        parts = -(-values.count() // (FOREACH_VALUES // 2)) or 1
+        outs = None
+        for k in range(parts):
+            # a bounded list travels to the tasks: customers are never joined with values
+            listed = [r[0] for r in values.where(F.pmod(F.xxhash64("each_value"), F.lit(parts)) == k).collect()]
+            part = self.interpret_values(b, s, frame, listed, values.schema["each_value"].dataType, now)
+            outs = part if outs is None else outs.unionByName(part)
         return hist.histogram(outs, bucket=bucket, low=min, high=max, by=["each_value"])
 
     def interpret_values(self, b: Bound, script: Script, frame: DataFrame, values: list, kind: T.DataType, now: int) -> DataFrame:
@@ -407,17 +462,6 @@ class Engine:
         schema = T.StructType([frame.schema["id"], T.StructField("each_value", kind), T.StructField("value", T.DoubleType())])
         return self.by_group(frame, ["id"], data, [], run, schema)
 
-    def interpret_pairs(self, b: Bound, script: Script, pairs: DataFrame, now: int) -> DataFrame:
-        data = [c for c in pairs.columns if c != "each_value" and not c.startswith("_customer_")]
-        session_ms = b.spec.setting("session_time")
-
-        def run(table: list[dict], held: dict) -> list[tuple]:
-            value = Interpreter(script, columns=set(data), now=now, session_ms=session_ms).run(table, {}, held["each_value"]).returned
-            return [] if value is None else [(table[0]["id"], held["each_value"], float(value))]
-
-        schema = T.StructType([pairs.schema["id"], pairs.schema["each_value"], T.StructField("value", T.DoubleType())])
-        return self.by_group(pairs, ["id", "each_value"], data, ["each_value"], run, schema)
-
     def property(self, name: str, prop: str, *, bucket: float | None = None, segments: list[str] | None = None, **filters) -> DataFrame:
         b = self.table(name)
         p = b.spec.get(prop)
@@ -457,6 +501,14 @@ class Engine:
         return out
 
 
+_CALL = re.compile(r"\s*(?:return\s*)?\(?\s*(population|intersection|union|compliment|complement|difference)\s*\(([^)]*)\)\s*\)?\s*")
+
+
+def _says_row(s: Script) -> bool:
+    """Whether a script without each_row asks for places of rows."""
+    return any(n.kind == "inline" and n.value == "row" or n.kind in ("name", "call") and n.value in ("cursor", "get_row") for n in walk(s.body))
+
+
 def sections(text: str) -> list[tuple[str, str, str]]:
     """(kind, head, body) of the sections that begin with @kind."""
     parts = re.split(r"^[ \t]*@(\w+)[ \t]*([^\n]*)$", text, flags=re.M)

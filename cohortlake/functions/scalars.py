@@ -126,6 +126,11 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
+def split(s: Column, separator: Column) -> Column:
+    """Cut at each occurrence of the text separator."""
+    return F.split(s, F.concat(F.lit("\\Q"), separator, F.lit("\\E")))
+
+
 def url_decode(url: Column) -> Column:
     """host, path, query and params (a map; 'true' for a parameter without a value)."""
     query = F.regexp_extract(url, r"\?([^#]*)", 1)

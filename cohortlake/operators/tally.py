@@ -84,11 +84,14 @@ def tally(pushes: DataFrame, groups: list[str], aggregators: tuple[Aggregator, .
         by = ("all",) if a.all else ("stamp", a.prop) if by_stamp else ("rn",)
         shapes.setdefault((*by, a.key) if a.key else by, []).append(a)
     frames = []
-    for k, (shape, own) in enumerate(shapes.items()):
-        once = rows if shape == ("all",) or (distinct_rows and shape == ("rn",)) else rows.dropDuplicates(["id", *at, *dict.fromkeys(shape)])
+    whole = lambda shape: shape == ("all",) or distinct_rows and shape == ("rn",)
+    # every row is in the first frame if there is one of all rows; it then has all counts of customers too
+    order = sorted(shapes.items(), key=lambda x: not whole(x[0]))
+    extra = [] if whole(order[0][0]) else [a for a in plain if a.key or a.kind != "count"]
+    for k, (shape, own) in enumerate(order):
+        once = rows if whole(shape) else rows.dropDuplicates(["id", *at, *dict.fromkeys(shape)])
         # distinct customers come out of the deduplicated rows as well
-        frames.append(once.groupBy(*at).agg(*[make(a) for a in own], *([make(a) for a in plain if not a.key and a.kind == "count"] if k == 0 else [])))
-    extra = [a for a in plain if a.key or a.kind != "count"]
+        frames.append(once.groupBy(*at).agg(*[make(a) for a in own], *([make(a) for a in plain if a not in extra] if k == 0 else [])))
     if extra:
         frames.append(rows.groupBy(*at).agg(*[make(a) for a in extra]))
     out = frames[0]

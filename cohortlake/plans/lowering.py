@@ -1,8 +1,9 @@
 """Scripts to DataFrame expressions.
 
-Row-local scripts (each_row without another inside) become filters, windows over one partitioning by id
-and pushes; per-customer expressions become windows of which one row per customer is kept. What has no
-such form raises Unsupported, and the script runs on the interpreter, one customer per group.
+each_row becomes a filter, windows over one partitioning by id, and pushes; each_row inside another becomes
+a join with the customer's other rows, on id and whatever the condition holds equal. Per-customer expressions
+become one aggregation by id (Grouped), or windows of which one row per customer is kept. What has no such
+form raises Unsupported, and the script runs on the interpreter, one customer per group.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ def _plain_list(n: Node) -> list | None:
 
 def needs_places(script: Script) -> bool:
     """Whether rows must be numbered; else any unique number of a row will do, and no sort is needed."""
-    said = walk(script.body)
-    return any(a.kind == "value" for a in script.select) or any(
+    said = list(walk(script.body))
+    within = any(x.kind == "each" for n in said if n.kind == "each" for x in walk(n.parts[1]))
+    return within or any(a.kind == "value" for a in script.select) or any(
         n.kind in ("return", "exit") or n.kind in ("name", "call") and n.value in ("cursor", "get_row") or n.kind == "inline" and n.value == "row" or n.kind == "each" and "from" in dict(n.value) for n in said
     )
 
@@ -59,6 +61,7 @@ class Lowering:
         if compat_nil_order:
             raise Unsupported("raw order of nil")
         self.script, self.frame, self.now = script, frame, now
+        self.whole, self.outer = frame, []
         self.columns = set(frame.columns)
         self.vars: dict[str, Column] = {}
         self.made = 0
@@ -145,7 +148,9 @@ class Lowering:
                 self.vars[name] = self.expr(s.parts[1])
             elif s.kind == "for":
                 self.unrolled(s, given)
-            elif s.kind == "return" and not self.returns:
+            elif s.kind == "each":
+                self.nested(s, given)
+            elif s.kind == "return" and not self.returns and not self.outer:
                 value = F.lit(True) if s.parts[0] is None else self.expr(s.parts[0])
                 # the first row that gets here decides
                 first = self.held(F.min(F.when(given, F.struct("rn", value.alias("v")))).over(rows.everything()))
@@ -157,6 +162,35 @@ class Lowering:
                 raise Unsupported(f"line {s.line}: {s.kind} at a row")
         return given
 
+    def nested(self, s: Node, given: Column) -> None:
+        """each_row at a row: the rows that get here, joined with their customers' rows. Conditions go into the join,
+        so what they hold equal to a variable is part of its key; a limit takes the nearest matches of each row."""
+        opts, (where, body) = dict(s.value), s.parts
+        if {"from", "reverse", "forward"} & set(opts) or "next" in opts and "continue" not in opts or "limit" in opts and opts["limit"][0].kind != "lit":
+            raise Unsupported(f"line {s.line}: this start or direction inside each_row")
+        before, frame, bounds = dict(self.vars), self.frame, self.bounds
+        lo_hi = self.scope(s.value)
+        names = {n: self.held(v) for n, v in self.vars.items()}
+        held = [x if isinstance(x, float) else self.held(x) for x in lo_hi]
+        here, kept = f"_rn{len(self.outer)}", [c for c in self.frame.columns if c.startswith("_w") or c in self.outer]
+        rows_here = self.frame.where(given).select(F.col("id").alias("_id"), F.col("rn").alias(here), *kept)
+        self.outer.append(here)
+        self.frame = rows_here.join(self.whole, F.col("_id") == F.col("id")).drop("_id")
+        self.vars, self.bounds = names, tuple(held)
+        met = self.truth(where) & self.in_bounds()
+        if "continue" in opts:
+            met = met & ((F.col("rn") > F.col(here)) if "next" in opts else (F.col("rn") >= F.col(here)))
+        self.frame = self.frame.where(met)
+        if "limit" in opts:
+            order = Window.partitionBy("id", *self.outer).orderBy("rn")
+            self.frame = self.frame.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= opts["limit"][0].value).drop("_n")
+        self.inner(body, F.lit(True))
+        self.outer.pop()
+        self.frame, self.vars, self.bounds = frame, before, bounds
+        self.joined = True
+
+    joined = False
+
     def unrolled(self, s: Node, given: Column) -> None:
         """for over a container with pushes: one row per element."""
         over = self.expr(s.parts[0])
@@ -292,6 +326,12 @@ class Lowering:
             return box[n.parts[1].value] if isinstance(kind, T.StructType) else F.try_element_at(box, key)
         raise Unsupported(f"line {n.line}: this subscript")
 
+    def of_slice(self, n: Node, top: bool) -> Column:
+        box, ends = self.expr(n.parts[0], top), n.parts[1:]
+        if not isinstance(self.kind(box), T.StringType) or any(p is not None and p.kind != "lit" for p in ends):
+            raise Unsupported(f"line {n.line}: this slice")
+        return scalars.slice_text(box, *[None if p is None else p.value for p in ends])
+
     def of_filter(self, n: Node, top: bool) -> Column:
         opts = dict(n.parts[0])
         for kind in ("is", "is_not", "row", "ever", "never"):
@@ -305,7 +345,7 @@ class Lowering:
                     raise Unsupported(f"line {n.line}: is outside each_row")
                 yes = met
                 return ~yes if kind == "is_not" else yes
-            if {"next", "continue"} & set(opts):
+            if {"next", "continue"} & set(opts) or self.outer:
                 raise Unsupported(f"line {n.line}: a start at another row")
             lo_hi = self.scope(n.parts[0])
             if not top and any(x.kind in ("name", "filter") and x.value in self.columns for _, args in n.parts[0] for x in walk(args)):
@@ -317,7 +357,7 @@ class Lowering:
     def of_inline(self, n: Node, top: bool) -> Column:
         value, chain, where = n.parts
         opts = dict(chain)
-        if {"continue", "next", "from", "limit"} & set(opts):
+        if {"continue", "next", "from", "limit"} & set(opts) or self.outer:
             raise Unsupported(f"line {n.line}: a start or limit of an inline aggregate")
         if not top and any(x.kind == "name" and x.value in self.columns for _, args in chain for x in walk(args)):
             raise Unsupported(f"line {n.line}: a scope around each row")
@@ -336,10 +376,123 @@ class Lowering:
             return scalars.start_of("day" if name == "date_day" else name[9:], args[0])
         if name.startswith("to_"):
             return scalars.to_span(name[3:], args[0])
-        if name not in _CALLS or name in ("bucket", "fix") and number(1) is None or name == "round" and len(args) > 1 and number(1) is None:
+        if name not in _CALLS | {"__find", "__rfind", "__strip", "__split"} or name in ("bucket", "fix") and number(1) is None or name == "round" and len(args) > 1 and number(1) is None:
             raise Unsupported(f"line {n.line}: {name}()")
         if name == "len":
             kind = self.kind(args[0])
             return F.coalesce((F.length(args[0]) if isinstance(kind, T.StringType) else F.size(args[0])).cast("long"), F.lit(0).cast("long"))
+        if name in ("__find", "__rfind", "__strip", "__split"):
+            if not isinstance(self.kind(args[0]), T.StringType) or len(args) > 2:
+                raise Unsupported(f"line {n.line}: {name} of this")
+            return {"__find": lambda: scalars.find(*args), "__rfind": lambda: scalars.rfind(*args), "__strip": lambda: scalars.strip(args[0]), "__split": lambda: scalars.split(*args)}[name]()
         made = {"bucket": lambda: scalars.bucket(args[0], number(1)), "round": lambda: scalars.round_(args[0], number(1, 0)), "trunc": lambda: scalars.trunc(args[0]), "fix": lambda: scalars.fix(args[0], number(1)), "int": lambda: scalars.to_int(args[0]), "float": lambda: scalars.to_float(args[0]), "str": lambda: args[0].cast("string"), "iso8601_to_stamp": lambda: scalars.iso8601_to_stamp(args[0]), "list": lambda: F.array(*args), "set": lambda: F.array_distinct(F.array(*args)), "url_decode": lambda: scalars.url_decode(args[0]), "keys": lambda: F.map_keys(args[0]), "range": lambda: F.sequence(*args)}
         return made[name]()
+
+
+class Grouped(Lowering):
+    """Scripts without each_row, on one aggregation by id (and further keys): inline aggregates, ever and never become
+    aggregates with map-side partial sums, and what is made of them is computed from one row per customer."""
+
+    def __init__(self, script: Script, frame: DataFrame, *, now: int, keys: tuple[str, ...] = ("id",), prefix: str = "_a"):
+        super().__init__(script, frame, now=now)
+        self.keys, self.prefix, self.aggregates, self.at_row = keys, prefix, {}, False
+
+    def grouped(self) -> DataFrame:
+        """One row for each key with all aggregates so far."""
+        if not self.aggregates:
+            return self.whole.select(*self.keys).distinct()
+        return self.whole.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.aggregates.items()])
+
+    def kind(self, c: Column) -> T.DataType:
+        return (self.whole if self.at_row else self.grouped()).select(c.alias("x")).schema["x"].dataType
+
+    def held(self, value: Column) -> Column:
+        return value
+
+    def each(self, s: Node, given: Column) -> None:
+        raise Unsupported(f"line {s.line}: rows in turn")
+
+    def over_rows(self, make) -> Column:
+        """The aggregate that make() gives at the customer's rows, as a column of grouped()."""
+        if self.at_row:
+            raise Unsupported("an aggregate inside another")
+        self.at_row = True
+        try:
+            made = make()
+        finally:
+            self.at_row = False
+        name = f"{self.prefix}{len(self.aggregates)}"
+        self.aggregates[name] = made
+        return F.col(name)
+
+    def of_name(self, n: Node, top: bool) -> Column:
+        name = n.value
+        if name in self.vars and self.at_row:
+            raise Unsupported(f"line {n.line}: {name} inside an aggregate")
+        if name in self.vars or name == "now" or self.at_row:
+            return super().of_name(n, top)
+        if f"_customer_{name}" in self.columns:
+            return self.over_rows(lambda: F.any_value(f"_customer_{name}"))
+        if name == "row_count":
+            return self.over_rows(lambda: F.count(F.lit(1)))
+        if name in ("first_stamp", "last_stamp"):
+            return self.over_rows(lambda: (F.min if name == "first_stamp" else F.max)("stamp"))
+        raise Unsupported(f"line {n.line}: {name} of a customer")
+
+    def of_inline(self, n: Node, top: bool) -> Column:
+        value, chain, where = n.parts
+        opts = dict(chain)
+        if {"continue", "next", "from", "limit"} & set(opts):
+            raise Unsupported(f"line {n.line}: a start or limit of an inline aggregate")
+        scope = self.scope(chain)
+
+        def make() -> Column:
+            met = self.truth(where) & self.in_bounds(scope)
+            return inline.aggregate(n.value, None if value is None else self.expr(value), met, reverse="reverse" in opts)
+
+        return self.over_rows(make)
+
+    def of_filter(self, n: Node, top: bool) -> Column:
+        opts = dict(n.parts[0])
+        kind = next((k for k in ("ever", "never") if k in opts), None)
+        if self.at_row or kind is None or {"next", "continue"} & set(opts):
+            if kind is not None or not self.at_row:
+                raise Unsupported(f"line {n.line}: this filter of a customer")
+            return super().of_filter(n, top)
+        scope, (op, value) = self.scope(n.parts[0]), (opts[kind][0].value, opts[kind][1])
+
+        def make() -> Column:
+            plain = _plain_list(value) if op == "in" else None
+            met = self.one_of(F.col(n.value), plain) if plain is not None else self.compared(op, F.col(n.value), self.expr(value))
+            return F.max(F.coalesce(met & self.in_bounds(scope), F.lit(False)))
+
+        met = self.over_rows(make)
+        return met if kind == "ever" else ~met
+
+    def value(self, kind: T.DataType) -> Column:
+        """What the script returns, in a type."""
+        if not self.returns:
+            raise Unsupported("no return")
+        out: Column = F.lit(None)
+        for given, v in reversed(self.returns):
+            out = F.when(given, v).otherwise(out)
+        return out.cast(kind)
+
+
+def per_value(script: Script, prop: str) -> bool:
+    """Whether the script is one aggregate of the rows where prop is each_value, which is nil without such rows."""
+    if len(script.body) != 1 or script.body[0].kind != "return" or script.body[0].parts[0] is None:
+        return False
+    n = script.body[0].parts[0]
+    if n.kind != "inline" or n.value not in ("sum", "min", "max", "count", "dcount"):
+        return False
+
+    def held(w: Node) -> bool:
+        if w.kind == "logic" and w.value == "&&":
+            return any(held(p) for p in w.parts)
+        if w.kind == "filter" and w.value == prop:
+            given = dict(w.parts[0]).get("is")
+            return given is not None and given[0].value == "==" and given[1].kind == "name" and given[1].value == "each_value"
+        return w.kind == "compare" and w.value == "==" and {(p.kind, p.value) for p in w.parts} == {("name", prop), ("name", "each_value")}
+
+    return held(n.parts[2])

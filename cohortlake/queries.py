@@ -12,6 +12,7 @@ from cohortlake.functions import scalars
 from cohortlake.operators import histogram, inline, render, rows, segments, sequence
 from cohortlake.plans.session import prepare
 from cohortlake.sources import events as source
+from cohortlake.spec import Property, TableSpec
 
 #: Queries that ask for now take the end of the fixture month.
 NOW = 1_706_745_600_000
@@ -239,26 +240,21 @@ UNION ALL SELECT 5, g1, g2, g3, g4, g5, NULL, count(DISTINCT id) FROM k WHERE g1
 UNION ALL SELECT 6, g1, g2, g3, g4, g5, g6, count(DISTINCT id) FROM k WHERE g1 IS NOT NULL AND g2 IS NOT NULL AND g3 IS NOT NULL AND g5 IS NOT NULL GROUP BY ALL""",
 )
 
+#: Neighbouring orders of a customer, and each pair of different products from the one and the other.
 NEXT_PURCHASE = """
 select
   count id
   count product as bought
   sum price as revenue
 end
-each_row where event.is(== 'order')
-  products = set()
-  matched = order_id
-  each_row.continue().next() where event.is(== 'item') && order_id.is(== matched)
-    products = products + product
-  end
-  each_row.continue().next().limit(1) where event.is(== 'order') && order_id.is(!= matched)
-    following = order_id
-    each_row.continue().next() where event.is(== 'item') && order_id.is(== following)
-      for p in products
-        if p == product
-          continue
-        end
-        << bucket(p, 50), bucket(product, 50)
+each_row where event == 'order'
+  first = order_id
+  each_row.continue().next().limit(1) where event == 'order'
+    second = order_id
+    each_row where event.is(== 'item') && order_id.is(== first)
+      had = product
+      each_row where event.is(== 'item') && order_id.is(== second) && product.is(!= had)
+        << bucket(had, 50), bucket(product, 50)
       end
     end
   end
@@ -271,8 +267,8 @@ scripted(
 p AS (SELECT DISTINCT o.id, k, k2, l_partkey AS p FROM o JOIN lineitem ON l_orderkey = k WHERE k2 IS NOT NULL),
 x AS (SELECT DISTINCT p.id, k2, l_linenumber AS ln, l_partkey AS product, l_extendedprice AS price, p // 50 * 50 AS g1, l_partkey // 50 * 50 AS g2 FROM p JOIN lineitem ON l_orderkey = k2 WHERE p <> l_partkey),
 y AS (SELECT DISTINCT id, k2, ln, product, price, g1 FROM x)
-SELECT CAST(1 AS BIGINT) AS d, CAST(g1 AS VARCHAR) AS g1, NULL AS g2, count(DISTINCT id) AS id, count(*) AS bought, round(sum(price), 2) AS revenue FROM y GROUP BY ALL
-UNION ALL SELECT 2, CAST(g1 AS VARCHAR), CAST(g2 AS VARCHAR), count(DISTINCT id), count(*), round(sum(price), 2) FROM x GROUP BY ALL""",
+SELECT CAST(1 AS BIGINT) AS d, g1, NULL AS g2, count(DISTINCT id) AS id, count(*) AS bought, round(sum(price), 2) AS revenue FROM y GROUP BY ALL
+UNION ALL SELECT 2, g1, g2, count(DISTINCT id), count(*), round(sum(price), 2) FROM x GROUP BY ALL""",
     on=baskets,
     table="baskets",
     round_to={"revenue": 2},
@@ -546,15 +542,48 @@ def _(spark, sf_dir):
     texts = e.select("seq", F.to_json(F.struct(F.col("id"), F.col("stamp"), F.col("event"), F.col("value"), F.col("kk"))).alias("value"))
     twice = texts.unionByName(texts.withColumn("seq", F.col("seq") - 1_000_000_000))
     spec = source.FIXTURE.with_settings(event_ttl=25 * 86_400_000, event_max=40)
-    raw = twice.select("seq", F.from_json("value", source.json_schema(spec)).alias("e")).select("seq", "e.*")
-    events, _ = source.ingest(_coerced(raw, spec), spec, seq="seq", now=NOW)
+    events, _ = source.ingest(source.from_strings(twice, spec, carry=("seq",)), spec, seq="seq", now=NOW)
     return events.select("id", "stamp", "event", "value", "kk", "seq")
 
 
-def _coerced(raw, spec):
-    """coerce() on rows that carry their arrival number along."""
-    typed = source.coerce(raw.withColumn("event", F.concat_ws("\x01", "event", "seq")), spec)
-    return typed.withColumn("seq", F.split_part("event", F.lit("\x01"), F.lit(2)).cast("long")).withColumn("event", F.split_part("event", F.lit("\x01"), F.lit(1)))
+#: JSON values of every kind, and what each becomes as int, double, bool, text, and as sets of int and text.
+ODD_VALUES = (
+    ("12", "12", "12.0", "true", "12", "12", "12"),
+    ('"12"', None, None, "true", "12", None, "12"),
+    ('"0"', None, None, "false", "0", None, "0"),
+    ("3.75", "3", "3.75", "true", "3.750000", "3", "3.750000"),
+    ("-3.75", "-3", "-3.75", "true", "-3.750000", "-3", "-3.750000"),
+    ("0", "0", "0.0", "false", "0", "0", "0"),
+    ("true", "1", "1.0", "true", "true", "1", "true"),
+    ("9007199254740993", "9007199254740993", "9007199254740992.0", "true", "9007199254740993", "9007199254740993", "9007199254740993"),
+    ("null", None, None, None, None, None, None),
+    ('[1, "2", 3.5, true, null, 1]', None, None, None, None, "1,3", "1,2,3.500000,true"),
+    ('{"a": 1}', None, None, None, None, None, None),
+)
+_ODD = ", ".join("(" + ", ".join([str(k), *["NULL" if x is None else f"'{x}'" for x in row[1:]]]) + ")" for k, row in enumerate(ODD_VALUES))
+
+
+@query(
+    "sc_json_types",
+    f"""WITH o(k, i, d, b, t, si, st) AS (VALUES {_ODD})
+SELECT event_id, user_id AS id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000000 * 1000 ELSE epoch_us(ts) // 1000 END AS stamp, CAST(i AS BIGINT) AS ii, CAST(d AS DOUBLE) AS dd, CAST(b AS BOOLEAN) AS bb, t AS tt, si, st, 'kept' AS fixed
+FROM events JOIN o ON event_id % {len(ODD_VALUES)} = k WHERE event_id % 7 <> 0 AND event_id % 13 <> 0""",
+)
+def _(spark, sf_dir):
+    """Values of all JSON types in properties of all types; quoted ids and events that are no text are dropped."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    odd = F.element_at(F.array(*[F.lit(row[0]) for row in ODD_VALUES]), (F.col("event_id") % len(ODD_VALUES) + 1).cast("int"))
+    stamp = F.unix_millis(F.col("ts").cast("timestamp"))
+    stamped = F.when(F.col("event_id") % 3 == 0, F.call_function("div", stamp, F.lit(1000)).cast("string")).otherwise(stamp.cast("string"))
+    named = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('"'), "user_id", F.lit('"'))).otherwise(F.col("user_id").cast("string"))
+    said = F.when(F.col("event_id") % 13 == 0, F.lit("5")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    parts = [F.lit('{"id": '), named, F.lit(', "stamp": '), stamped, F.lit(', "event": '), said, F.lit(', "fixed": "kept"')]
+    for n in ("ii", "dd", "bb", "tt", "si", "st"):
+        parts += [F.lit(f', "{n}": '), odd]
+    texts = e.select("event_id", F.concat(*parts, F.lit("}")).alias("value"))
+    spec = TableSpec("odd", "numeric", (Property("ii", "int"), Property("dd", "double"), Property("bb", "bool"), Property("tt", "text"), Property("si", "int", is_set=True), Property("st", "text", is_set=True), Property("fixed", "text")))
+    typed = source.from_strings(texts, spec, carry=("event_id",))
+    return typed.select("event_id", "id", "stamp", "ii", "dd", "bb", "tt", *[F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in ("si", "st")], "fixed")
 
 
 @query(

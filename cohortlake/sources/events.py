@@ -17,8 +17,8 @@ UNRANKED = 99
 
 
 def json_schema(spec: TableSpec) -> T.StructType:
-    """Every field as text, so one value of an odd type does not null its whole record."""
-    return T.StructType([T.StructField(n, T.StringType()) for n in ("id", "stamp", "event", *[p.name for p in spec.properties])])
+    """Every field as a variant: it keeps the type the JSON has, and an odd value does not null its whole record."""
+    return T.StructType([T.StructField(n, T.VariantType()) for n in ("id", "stamp", "event", *[p.name for p in spec.properties])])
 
 
 def read_json(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
@@ -26,42 +26,76 @@ def read_json(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return coerce(spark.read.schema(json_schema(spec)).json(path), spec)
 
 
-def from_strings(lines: DataFrame, spec: TableSpec, column: str = "value") -> DataFrame:
-    """Events from a column of JSON texts: one object or an array of objects each."""
+def from_strings(lines: DataFrame, spec: TableSpec, column: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Events from a column of JSON texts: one object or an array of objects each; the columns `carry` come along."""
     one = json_schema(spec)
     both = F.when(F.col(column).rlike(r"^\s*\["), F.from_json(column, T.ArrayType(one))).otherwise(F.array(F.from_json(column, one)))
-    return coerce(lines.select(F.explode(both).alias("e")).where("e IS NOT NULL").select("e.*"), spec)
+    return coerce(lines.select(*carry, F.explode(both).alias("e")).where("e IS NOT NULL").select(*carry, "e.*"), spec, carry)
+
+
+def _is(raw: Column, *kinds: str) -> Column:
+    """Whether a variant holds one of the kinds; a missing one holds none."""
+    said = F.schema_of_variant(raw)
+    yes = F.lit(False)
+    for k in kinds:
+        yes = yes | said.startswith(k)
+    return F.coalesce(yes, F.lit(False))
+
+
+def _get(raw: Column, kind: str) -> Column:
+    return F.try_variant_get(raw, "$", kind)
+
+
+_WHOLE, _BROKEN = ("BIGINT",), ("DECIMAL", "DOUBLE", "FLOAT")
+
+
+def _scalar(raw: Column, kind: str) -> Column:
+    """A variant that is no array, in a property's type; null where the table of types has no entry."""
+    whole, broken, text, truth = _is(raw, *_WHOLE), _is(raw, *_BROKEN), _is(raw, "STRING"), _is(raw, "BOOLEAN")
+    if kind == "int":
+        return F.when(whole, _get(raw, "long")).when(broken, _get(raw, "double").try_cast("long")).when(truth, _get(raw, "boolean").cast("long"))
+    if kind == "double":
+        return F.when(whole | broken, _get(raw, "double")).when(truth, _get(raw, "boolean").cast("double"))
+    if kind == "bool":
+        return F.when(whole | broken, _get(raw, "double") != 0).when(text, _get(raw, "string") != "0").when(truth, _get(raw, "boolean"))
+    return F.when(text | whole | truth, _get(raw, "string")).when(broken, F.format_string("%f", _get(raw, "double")))
 
 
 def coerce_value(raw: Column, p: Property) -> Column:
-    """Text as JSON gives it to the property's type. Quoted text does not become a number; numbers are
-    cut to whole ones for int; bool takes true and false, and numbers by being 0; a scalar becomes a set of
-    one, null elements go."""
-    if p.is_set:
-        items = F.when(raw.rlike(r"^\s*\["), F.from_json(raw, T.ArrayType(T.StringType()))).otherwise(F.when(raw.isNotNull(), F.array(raw)))
-        return F.filter(F.array_distinct(F.transform(items, lambda x: coerce_value(x, Property(p.name, p.type)))), lambda x: x.isNotNull())
-    if p.type == "int":
-        return F.when(raw.isin("true", "false"), (raw == "true").cast("long")).otherwise(raw.try_cast("double").cast("long"))
-    if p.type == "double":
-        return F.when(raw.isin("true", "false"), (raw == "true").cast("double")).otherwise(raw.try_cast("double"))
-    if p.type == "bool":
-        return F.when(F.lower(raw).isin("true", "false"), F.lower(raw) == "true").otherwise(raw.try_cast("double") != 0)
-    return raw
+    """A variant to the property's type.
+
+    Whole numbers stay exact, others are cut towards zero for int; text becomes no number; bool takes numbers by
+    being 0 and text by being '0'; text takes numbers in digits, with six decimals unless they are whole. A scalar
+    becomes a set of one, elements without a value in the type go, an array is no value of a single property."""
+    if not p.is_set:
+        return _scalar(raw, p.type)
+    one = _scalar(raw, p.type)
+    many = F.filter(F.transform(_get(raw, "array<variant>"), lambda x: _scalar(x, p.type)), lambda x: x.isNotNull())
+    return F.when(_is(raw, "ARRAY"), F.array_distinct(many)).when(one.isNotNull(), F.array(one))
 
 
 def normal_stamp(raw: Column) -> Column:
-    """ISO 8601 or a number; small numbers are seconds; 0 if missing."""
-    number = raw.cast("string").try_cast("double").cast("long")
-    return F.coalesce(scalars.millis(number), scalars.iso8601_to_stamp(raw.cast("string")), F.lit(0).cast("long"))
+    """A variant of ISO 8601 text or a number; small numbers are seconds; 0 if missing."""
+    number = F.when(_is(raw, *_WHOLE), _get(raw, "long")).when(_is(raw, *_BROKEN), _get(raw, "double").try_cast("long"))
+    text = F.when(_is(raw, "STRING"), scalars.iso8601_to_stamp(_get(raw, "string")))
+    return F.coalesce(scalars.millis(number), text, F.lit(0).cast("long"))
 
 
-def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:
+def coerce(raw: DataFrame, spec: TableSpec, carry: tuple[str, ...] = ()) -> DataFrame:
     """Typed events and customer properties; rows without a usable id, an event or any property, or with a
-    negative stamp, are dropped. Unknown fields are ignored, missing ones null; text ids are lower-cased."""
-    have = set(raw.columns)
-    field = lambda n: F.col(n).cast("string") if n in have else F.lit(None).cast("string")
-    key = field("id").try_cast("long") if spec.id_type == "numeric" else F.lower(field("id"))
-    typed = raw.select(key.alias("id"), normal_stamp(field("stamp")).alias("stamp"), field("event").alias("event"), *[coerce_value(field(p.name), p).alias(p.name) for p in spec.properties])
+    negative stamp, are dropped. A numeric id is a whole number, a textual one text, in lower case. Unknown fields
+    are ignored, missing ones null; columns of other types than variants count as JSON of their values."""
+    kinds = {f.name: f.dataType for f in raw.schema.fields}
+
+    def field(n: str) -> Column:
+        if n not in kinds or isinstance(kinds[n], T.NullType):
+            return F.lit(None).cast("variant")
+        return F.col(n) if isinstance(kinds[n], T.VariantType) else F.col(n).cast("variant")
+
+    named, said = field("id"), field("event")
+    key = F.when(_is(named, *_WHOLE), _get(named, "long")) if spec.id_type == "numeric" else F.lower(F.when(_is(named, "STRING"), _get(named, "string")))
+    event = F.when(_is(said, "STRING"), _get(said, "string"))
+    typed = raw.select(*carry, key.alias("id"), normal_stamp(field("stamp")).alias("stamp"), event.alias("event"), *[coerce_value(field(p.name), p).alias(p.name) for p in spec.properties])
     some = F.lit(False)
     for p in spec.properties:
         some = some | F.col(p.name).isNotNull()
@@ -84,6 +118,11 @@ def ingest(coerced: DataFrame, spec: TableSpec, *, seq: str | None = None, now:
     """
     order = F.col(seq) if seq else F.monotonically_increasing_id()
     rows = coerced.withColumn("seq", order.cast("long"))
+    return merged(rows, spec, now=now), customers(rows, spec)
+
+
+def merged(rows: DataFrame, spec: TableSpec, *, now: int | None = None) -> DataFrame:
+    """The events of ingest(), from rows with arrival numbers."""
     names = [p.name for p in spec.event_properties]
     alike = Window.partitionBy("id", "stamp", "event", *names).orderBy(F.desc("seq"))
     events = rows.select("id", "stamp", "event", *names, event_rank(spec).cast("int").alias("z"), "seq").repartition("id")
@@ -91,8 +130,7 @@ def ingest(coerced: DataFrame, spec: TableSpec, *, seq: str | None = None, now:
     if now is not None:
         events = events.where(F.col("stamp") > now - spec.setting("event_ttl"))
     newest = Window.partitionBy("id").orderBy(F.desc("stamp"), F.desc("z"), F.desc("seq"))
-    events = events.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= spec.setting("event_max")).drop("nth")
-    return events, customers(rows, spec)
+    return events.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= spec.setting("event_max")).drop("nth")
 
 
 def customers(rows: DataFrame, spec: TableSpec) -> DataFrame:

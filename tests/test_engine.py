@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.engine import Engine
 from cohortlake.errors import AnalysisError, ConfigError, QueryError
@@ -16,6 +17,7 @@ from cohortlake.streaming import messages
 from cohortlake.streaming.segments import live_segments
 
 SPEC = TableSpec("visits", "textual", (Property("page", "text"), Property("words", "text", is_set=True), Property("price", "double"), Property("tags", "text", is_set=True, is_customer=True), Property("total", "double", is_customer=True)), ("purchase", "cart"))
+# The stamps and counts are the goldens listed in FIXTURES.md, A5.
 EVENTS = [
     {"id": "User1", "stamp": 1458820830, "event": "view", "page": "home", "words": "a"},
     {"id": "user1", "stamp": 1458820840, "event": "view", "page": "home", "words": ["a", "b", None], "price": "12"},
@@ -46,7 +48,7 @@ def engine(spark):
 def test_ingest(engine):
     rows = engine.tables["visits"].events.orderBy("id", "stamp", "z", "seq").collect()
     assert [(r["id"], r["event"], r["stamp"]) for r in rows] == [("user1", "view", 1458820830000), ("user1", "view", 1458820840000), ("user1", "purchase", 1458820841000), ("user1", "cart", 1458820841000), ("user2", "view", 1458820900000)]
-    assert rows[1]["words"] == ["a", "b"] and rows[0]["words"] == ["a"] and rows[1]["price"] == 12.0
+    assert rows[1]["words"] == ["a", "b"] and rows[0]["words"] == ["a"] and rows[1]["price"] is None
     customers = {r["id"]: r for r in engine.tables["visits"].customers.collect()}
     assert customers["user1"]["total"] == 2.0 and customers["user1"]["tags"] == ["x"] and customers["user2"]["total"] is None
 
@@ -118,7 +120,7 @@ def test_segments_refresh_and_batch(engine):
     assert engine.refresh_due("visits", now=t + 400_000).count() == 0
     out = engine.batch("visits", "@segment shoppers\nreturn(page.ever(== 'shop'))\n@use shoppers\n@property page\n@histogram spend bucket=5\nreturn(sum(price) where price > 0)\n@event\neach_row where page != nil\n << page\nend")
     assert {r["value"]: r["customers"] for r in out[0]["frame"].collect()} == {None: 1, "home": 1, "shop": 1}
-    assert [(r["bucket"], r["customers"]) for r in out[1]["frame"].collect()] == [(20.0, 1)]
+    assert [(r["bucket"], r["customers"]) for r in out[1]["frame"].collect()] == [(10.0, 1)]
     with pytest.raises(QueryError):
         engine.segment("visits", "@segment x\nunion(homers, missing)")
     with pytest.raises(AnalysisError):
@@ -134,7 +136,7 @@ def test_customer_json(engine):
 def test_customer_properties_persist(engine):
     engine.apply("visits", "tags = tags + 'hello'\ntags = tags - 'x'\ntotal = sum(price) where price > 0")
     rows = {r["id"]: r for r in engine.tables["visits"].customers.collect()}
-    assert rows["user1"]["tags"] == ["hello"] and rows["user1"]["total"] == 22.5
+    assert rows["user1"]["tags"] == ["hello"] and rows["user1"]["total"] == 10.5
     engine.apply("visits", "total = nil")
     assert {r["total"] for r in engine.tables["visits"].customers.collect()} == {None}
     assert engine.segment("visits", "@segment tagged\nif 'hello' in tags\n return(true)\nend").first()["customers"] == 2
@@ -206,3 +208,91 @@ def test_broker_keeps_what_is_not_taken():
     b.push([{"segment": "s", "id": 3, "stamp": 0}], 1)
     b.push([], 4 * 3_600_000)
     assert b.deliver(4 * 3_600_000) == 0
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_customer_scripts_are_one_aggregation_with_partial_sums(spark, sf_dir):
+    from cohortlake import queries
+
+    spend = plan_of(queries.engine(spark, sf_dir).per_customer("events", "return(sum(value) where event.is(== 'purchase'))", T.DoubleType())[0])
+    assert "partial_sum" in spend and "Window" not in spend
+    e = queries.engine(spark, sf_dir)
+    e.segment("events", queries.SEGMENTS, now=queries.NOW)
+    # members are rows of a table, whatever made them
+    members = plan_of(e.members("events"))
+    assert "Window" not in members and "events.parquet" not in members and "Python" not in members
+    assert "Python" not in plan_of(queries.QUERIES["jn_next_purchase_script"](spark, sf_dir)) and "MapInArrow" not in plan_of(queries.QUERIES["jn_next_purchase_script"](spark, sf_dir))
+    each = plan_of(queries.QUERIES["hi_foreach_script"](spark, sf_dir))
+    assert "NestedLoop" not in each and "Cartesian" not in each and "MapInArrow" not in each
+
+
+SAME = ["return(sum(value) where event.is(== 'purchase') && kk.is(!= 3))", "n = count(event) where value > 50\nif event.ever(== 'error') && n > 3\n return(n)\nend\nreturn(0 - row_count)", "a = avg(value) where event == 'click'\nb = dcount(event) where value > 10\nreturn(a + b)", "return(last_stamp - first_stamp)", "if value.never(> 490)\n return(min(value) where event == 'view')\nend"]
+
+
+@pytest.mark.parametrize("script", SAME)
+def test_grouped_scripts_give_what_the_interpreter_gives(spark, sf_dir, script):
+    from cohortlake import queries
+
+    outs = []
+    for path in ("auto", "interpreter"):
+        frame, why = queries.engine(spark, sf_dir).per_customer("events", script, T.DoubleType(), now=queries.NOW, path=path)
+        outs.append(sorted((r["id"], round(r["value"], 6)) for r in frame.collect()))
+        assert why.startswith("aggregates") == (path == "auto")
+    assert outs[0] == outs[1] and outs[0]
+
+
+@pytest.mark.parametrize("script", ["return(count(event) where event.is(== each_value) && value > 50)", "return(count(event) where event.is(!= each_value))"])
+def test_foreach_by_value_and_by_customer(spark, sf_dir, monkeypatch, script):
+    from cohortlake import engine as module
+    from cohortlake import queries
+
+    rows = source.fixture_events(spark, sf_dir).collect()
+    want = {}
+    for v in {r["event"] for r in rows}:
+        per = {}
+        for r in rows:
+            if (r["event"] == v and r["value"] > 50) if "value > 50" in script else r["event"] != v:
+                per[r["id"]] = per.get(r["id"], 0) + 1
+        for n in per.values():
+            want[v, float(n)] = want.get((v, float(n)), 0) + 1
+    monkeypatch.setattr(module, "FOREACH_VALUES", 4)
+    got = queries.engine(spark, sf_dir).histogram("events", script, foreach="event", now=queries.NOW)
+    assert {(r["each_value"], r["bucket"]): r["customers"] for r in got.collect()} == want
+
+
+def test_plans_do_not_grow_with_inserts(spark, engine):
+    sizes = []
+    for k in range(4):
+        engine.insert("visits", raw(spark, events=[{"id": "user2", "stamp": 1458821000 + k, "event": "view", "page": f"p{k}"}]))
+        sizes.append(len(plan_of(engine.tables["visits"].events).splitlines()))
+    assert len(set(sizes)) == 1 and engine.tables["visits"].events.count() == 9
+    assert len({r["seq"] for r in engine.tables["visits"].events.collect()}) == 9
+
+
+def test_cached_segments_are_rows(spark, engine):
+    t = 1458830000000
+    engine.segment("visits", "@segment homers refresh=60s use_cached\nreturn(page.ever(== 'home'))", now=t)
+    engine.insert("visits", raw(spark, events=[{"id": "user9", "stamp": 1458821000, "event": "view", "page": "home"}]))
+    count = lambda now: engine.segment("visits", "@segment homers refresh=60s use_cached\nreturn(page.ever(== 'home'))", now=now).first()["customers"]
+    assert count(t + 1000) == 2 and count(t + 61_000) == 3
+
+
+NESTED = [
+    "select\n count id\n count event as n\nend\neach_row where event == 'view'\n seen = kk\n each_row.continue().next().limit(2) where event == 'click' && kk != seen\n  << 'then', event\n end\nend",
+    "select\n sum value as v\nend\neach_row.limit(3) where event == 'purchase'\n at = stamp\n each_row.within(2_days, at) where value > 100\n  << event, bucket(kk, 10)\n end\nend",
+    "each_row where event == 'error'\n each_row.continue() where event.is(in ['click', 'error'])\n  if value > 200\n   << 'high', event\n  else\n   << 'low'\n  end\n end\nend",
+]
+
+
+@pytest.mark.parametrize("script", NESTED)
+def test_nested_iteration_lowered_gives_what_the_interpreter_gives(spark, sf_dir, script):
+    from cohortlake import queries
+
+    outs = []
+    for path in ("expressions", "interpreter"):
+        r = queries.engine(spark, sf_dir).event("events", script, now=queries.NOW, path=path)
+        outs.append(sorted(tuple(str(x) if c in r.groups else round(x, 4) if isinstance(x, float) else x for c, x in zip(r.frame.columns, row, strict=True)) for row in r.frame.collect()))
+    assert [tuple(map(str, x)) for x in outs[0]] == [tuple(map(str, x)) for x in outs[1]] and outs[0]
