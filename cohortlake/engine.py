@@ -421,10 +421,11 @@ class Engine:
     # other queries
 
     def histogram(self, name: str, script: str, *, bucket: float | None = None, min: float | None = None, max: float | None = None, foreach: str | None = None, segments: list[str] | None = None, now: int | None = None) -> DataFrame:  # noqa: A002
-        """(bucket, customers) of what the script returns; foreach evaluates it per value of a property."""
+        """(bucket, customers) of what the script returns, in the order of buckets; foreach evaluates it per value of
+        a property."""
         if foreach is None:
             value, _ = self.per_customer(name, script, T.DoubleType(), segments_=segments, now=now)
-            return hist.histogram(value, bucket=bucket, low=min, high=max)
+            return hist.histogram(value, bucket=bucket, low=min, high=max).orderBy("bucket")
         b = self.table(name)
         s = self.parsed(b, script, "usual", None)
         now = now or int(time.time() * 1000)
@@ -433,7 +434,7 @@ class Engine:
                 frame = self.frame(b, s, None, segments, {foreach}, places=False).where(F.col(foreach).isNotNull()).withColumn("each_value", F.col(foreach))
                 low = Grouped(s, frame, now=now, keys=("id", "each_value")).run()
                 value = low.value(T.DoubleType())
-                return hist.histogram(low.grouped().select("id", "each_value", value.alias("value")), bucket=bucket, low=min, high=max, by=["each_value"])
+                return hist.histogram(low.grouped().select("id", "each_value", value.alias("value")), bucket=bucket, low=min, high=max, by=["each_value"]).orderBy("each_value", "bucket")
             except Unsupported:
                 pass
         frame = self.frame(b, s, None, segments, {foreach})
@@ -445,7 +446,7 @@ class Engine:
             listed = [r[0] for r in values.where(F.pmod(F.xxhash64("each_value"), F.lit(parts)) == k).collect()]
             part = self.interpret_values(b, s, frame, listed, values.schema["each_value"].dataType, now)
             outs = part if outs is None else outs.unionByName(part)
-        return hist.histogram(outs, bucket=bucket, low=min, high=max, by=["each_value"])
+        return hist.histogram(outs, bucket=bucket, low=min, high=max, by=["each_value"]).orderBy("each_value", "bucket")
 
     def interpret_values(self, b: Bound, script: Script, frame: DataFrame, values: list, kind: T.DataType, now: int) -> DataFrame:
         """The script on each customer once per value: rows are not copied, and few values travel to the tasks."""
@@ -463,6 +464,7 @@ class Engine:
         return self.by_group(frame, ["id"], data, [], run, schema)
 
     def property(self, name: str, prop: str, *, bucket: float | None = None, segments: list[str] | None = None, **filters) -> DataFrame:
+        """(value, customers), the most common first; the null value counts all who have the property."""
         b = self.table(name)
         p = b.spec.get(prop)
         side = b.customers if p and p.is_customer else b.events
@@ -471,7 +473,7 @@ class Engine:
         from cohortlake.operators import segments as algebra
 
         members = None if not segments or "*" in segments else algebra.union(self.members(name), *segments)
-        return hist.property_values(side, prop, bucket=bucket, members=members, is_set=bool(p and p.is_set), **filters)
+        return hist.property_values(side, prop, bucket=bucket, members=members, is_set=bool(p and p.is_set), **filters).orderBy(F.desc("customers"), F.asc_nulls_first("value"))
 
     def customer(self, name: str, customer_id) -> DataFrame:
         """(id, json) of one customer; the filter reaches the scan."""

@@ -147,19 +147,6 @@ def list_minus(xs: Column, gone: Column) -> Column:
     return F.filter(xs, lambda x: ~F.coalesce(F.array_contains(gone, x), F.lit(False)))
 
 
-def set_plus(xs: Column, more: Column) -> Column:
-    return F.array_union(xs, more)
-
-
-def map_plus(a: Column, b: Column) -> Column:
-    """b's values win."""
-    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
-
-
-def map_minus(m: Column, keys: Column) -> Column:
-    return F.map_filter(m, lambda k, _: ~F.array_contains(keys, k))
-
-
 def at(xs: Column, index: Column) -> Column:
     """0-based; nil outside, also for negative indexes."""
     return F.when(index >= 0, F.get(xs, index.cast("int")))

@@ -51,12 +51,3 @@ def ever(condition, *, scope=None):
     """True on all rows of a customer if the condition holds on any (in scope)."""
     within = condition if scope is None else condition & scope
     return F.max(F.coalesce(within, F.lit(False))).over(everything())
-
-
-def limit(events: DataFrame, n: int, *, reverse: bool = False) -> DataFrame:
-    """The first n rows of each customer, the last n in reverse; Spark cuts groups before the sort."""
-    return events.withColumn("nth", F.row_number().over(ordered(desc=reverse))).where(F.col("nth") <= n).drop("nth")
-
-
-def in_range(events: DataFrame, start: int, end: int) -> DataFrame:
-    return events.where(F.col("stamp").between(start, end))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortlake.engine import Engine
 from cohortlake.functions import scalars
@@ -13,6 +14,7 @@ from cohortlake.operators import histogram, inline, render, rows, segments, sequ
 from cohortlake.plans.session import prepare
 from cohortlake.sources import events as source
 from cohortlake.spec import Property, TableSpec
+from cohortlake.streaming import ingest as streaming
 
 #: Queries that ask for now take the end of the fixture month.
 NOW = 1_706_745_600_000
@@ -488,24 +490,29 @@ def _(spark, sf_dir):
     """SELECT event_id, second(ts) AS second, minute(ts) AS minute, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week, day(ts) AS day_of_month, dayofyear(ts) AS day_of_year, month(ts) AS month, quarter(ts) AS quarter, year(ts) AS year,
 epoch_ms(date_trunc('second', ts)) AS start_second, epoch_ms(date_trunc('minute', ts)) AS start_minute, epoch_ms(date_trunc('hour', ts)) AS start_hour, epoch_ms(date_trunc('day', ts)) AS start_day,
 epoch_ms(CAST(date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY AS TIMESTAMP)) AS start_week, epoch_ms(CAST(date_trunc('month', ts) AS TIMESTAMP)) AS start_month, epoch_ms(CAST(date_trunc('quarter', ts) AS TIMESTAMP)) AS start_quarter, epoch_ms(CAST(date_trunc('year', ts) AS TIMESTAMP)) AS start_year,
-epoch_us(ts) // 3600000000 AS hours, epoch_us(ts) // 604800000000 AS weeks FROM events""",
+epoch_us(ts) // 3600000000 AS hours, epoch_us(ts) // 604800000000 AS weeks, epoch_us(ts) // 86400000000 AS days, epoch_us(ts) // 60000000 AS minutes, epoch_us(ts) // 1000000 AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso
+FROM (SELECT event_id, ts + to_days(CAST(event_id % 2500 AS INTEGER)) AS ts FROM events)""",
 )
 def _(spark, sf_dir):
-    s = F.col("stamp")
+    s = F.col("stamp") + (F.col("seq") % 2500) * 86_400_000
     parts = [scalars.date_part(p, s).alias(p) for p in ("second", "minute", "hour", "day_of_week", "day_of_month", "day_of_year", "month", "quarter", "year")]
     starts = [scalars.start_of(u, s).alias(f"start_{u}") for u in ("second", "minute", "hour", "day", "week", "month", "quarter", "year")]
-    return source.fixture_events(spark, sf_dir).select(F.col("seq").alias("event_id"), *parts, *starts, scalars.to_span("hours", s).alias("hours"), scalars.to_span("weeks", s).alias("weeks"))
+    return source.fixture_events(spark, sf_dir).select(F.col("seq").alias("event_id"), *parts, *starts, scalars.to_span("hours", s).alias("hours"), *[scalars.to_span(u, s).alias(u) for u in ("weeks", "days", "minutes", "seconds")], scalars.iso8601(s).alias("iso"))
 
 
 @query(
     "fm_numbers",
     """SELECT event_id, CASE WHEN k = 0 THEN 0 ELSE event_id // k END AS quotient, CAST(trunc(trunc(value * 100) / 2500) AS BIGINT) * 25 AS bucket_25, CAST(trunc(value) AS BIGINT) AS whole,
-CASE WHEN regexp_extract(event_type, '^\\s*([+-]?\\d+)', 1) = '' THEN 0 ELSE 1 END AS text_int, length(event_type) AS text_length
+CASE WHEN event_id % 4 = 0 OR k IS NULL THEN 0 WHEN event_id % 4 = 1 THEN -k ELSE k END AS text_int, CASE WHEN event_id % 4 = 0 OR k IS NULL THEN 0.0 ELSE CAST(k + 0.25 AS DOUBLE) END AS text_float,
+CAST(round(CAST(value AS DECIMAL(18, 6)), 1) AS DOUBLE) AS rounded, CAST(CAST(round(CAST(value AS DECIMAL(18, 6)), 1) AS DECIMAL(18, 1)) AS VARCHAR) AS fixed, CAST(k AS VARCHAR) AS k_text, length(event_type) AS text_length
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
 )
 def _(spark, sf_dir):
     e = source.fixture_events(spark, sf_dir)
-    return e.select(F.col("seq").alias("event_id"), scalars.divide(F.col("seq"), F.col("kk"), True).alias("quotient"), scalars.bucket(F.col("value"), 25).alias("bucket_25"), scalars.trunc(F.col("value")).alias("whole"), scalars.to_int(F.col("event")).cast("int").alias("text_int"), F.length("event").cast("long").alias("text_length"))
+    which = F.col("seq") % 4
+    whole = F.when(which == 0, F.col("event")).otherwise(F.concat(F.when(which == 1, " -").otherwise("  "), "kk", F.lit("th")))
+    broken = F.when(which == 0, F.col("event")).otherwise(F.concat(F.lit(" "), "kk", F.lit(".25 EUR")))
+    return e.select(F.col("seq").alias("event_id"), scalars.divide(F.col("seq"), F.col("kk"), True).alias("quotient"), scalars.bucket(F.col("value"), 25).alias("bucket_25"), scalars.trunc(F.col("value")).alias("whole"), scalars.to_int(whole).alias("text_int"), scalars.to_float(broken).alias("text_float"), scalars.round_(F.col("value"), 1).alias("rounded"), scalars.fix(F.col("value"), 1).alias("fixed"), F.col("kk").cast("string").alias("k_text"), F.length("event").cast("long").alias("text_length"))
 
 
 @query(
@@ -597,7 +604,11 @@ def _(spark, sf_dir):
     return e.apply("baskets", script, now=NOW).withColumn("balance", F.round("balance", 2))
 
 
-@query("sc_customer_json")
+@query(
+    "sc_customer_json",
+    f"""WITH r AS ({ROWS}) SELECT id, '{{"id":' || id || ',"properties":{{}},"events":[' || string_agg('{{"stamp":' || stamp || ',"stamp_iso":"' || strftime(make_timestamp(stamp * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') || '","event":"' || event || '","_":{{' ||
+concat_ws(',', '"value":' || CAST(value AS VARCHAR), '"kk":' || CAST(kk AS VARCHAR)) || '}}}}', ',' ORDER BY rn) || ']}}' AS json FROM r GROUP BY id""",
+)
 def _(spark, sf_dir):
     e = source.fixture_events(spark, sf_dir)
     return render.customer_json(e, None, ["value", "kk"], [])
@@ -614,8 +625,91 @@ def _(spark, sf_dir):
 @query("st_sessions_window", f"""WITH s AS (SELECT *, sum(CASE WHEN stamp - prev > 1800000 OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY stamp, seq) AS session FROM (SELECT *, lag(stamp) OVER (PARTITION BY id ORDER BY stamp, seq) AS prev FROM ({EV})))
 SELECT id, CAST(session AS BIGINT) AS session, min(stamp) AS first_stamp, max(stamp) AS last_stamp, count(*) AS n FROM s GROUP BY ALL""")
 def _(spark, sf_dir):
-    r = rows.with_session(source.fixture_events(spark, sf_dir))
-    return r.groupBy("id", "session").agg(F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"), F.count("*").alias("n"))
+    closed = streaming.sessions(source.fixture_events(spark, sf_dir), rows.DEFAULT_SESSION_MS)
+    return closed.select("id", F.row_number().over(Window.partitionBy("id").orderBy("first_stamp")).cast("long").alias("session"), "first_stamp", "last_stamp", "n")
+
+
+scripted(
+    "pr_look",
+    """
+select
+  count id
+  count event as n
+end
+each_row where event.look_ahead(3_days, 1705000000000).ever(== 'signup') && event.look_back(2_days, 1705000000000).ever(== 'error') && event not in ['view', 'signup']
+  << event
+end
+""",
+    f"""SELECT CAST(1 AS BIGINT) AS d, event AS g1, count(DISTINCT id) AS id, count(*) AS n FROM (SELECT *, bool_or(event = 'signup' AND stamp BETWEEN 1705000000000 AND 1705259200000) OVER (PARTITION BY id) AS a,
+bool_or(event = 'error' AND stamp BETWEEN 1704827200000 AND 1705000000000) OVER (PARTITION BY id) AS b FROM ({EV})) WHERE a AND b AND event NOT IN ('view', 'signup') GROUP BY event""",
+)
+scripted(
+    "fl_break_elsif",
+    """
+select
+  count id
+  count event as n
+end
+found = 0
+each_row where value > dbl_least
+  found = found + 1
+  if found > int_most
+    break
+  elsif event == str_wanted
+    << 'wanted', event
+  else
+    << 'other', event
+  end
+end
+""",
+    f"""WITH f AS (SELECT *, CASE WHEN event = 'click' THEN 'wanted' ELSE 'other' END AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rn) AS nth FROM ({ROWS}) WHERE value > 100.5) WHERE nth <= 3)
+SELECT CAST(1 AS BIGINT) AS d, k AS g1, NULL AS g2, count(DISTINCT id) AS id, count(*) AS n FROM f GROUP BY k UNION ALL SELECT 2, k, event, count(DISTINCT id), count(*) FROM f GROUP BY k, event""",
+    params={"least": 100.5, "most": 3, "wanted": "click"},
+)
+scripted(
+    "fc_dict_script",
+    """
+each_row.limit(1) where event != nil
+  box = {'rows': row_count}
+  box['kinds'] = dcount(event) where event != nil
+  for name in keys(box)
+    << name, box[name]
+  end
+end
+""",
+    f"""WITH c AS (SELECT id, count(*) AS r, count(DISTINCT event) AS k FROM ({EV}) GROUP BY id), f AS (SELECT id, 'rows' AS g1, CAST(r AS VARCHAR) AS g2 FROM c UNION ALL SELECT id, 'kinds', CAST(k AS VARCHAR) FROM c)
+SELECT CAST(1 AS BIGINT) AS d, g1, NULL AS g2, count(DISTINCT id) AS id FROM f GROUP BY g1 UNION ALL SELECT 2, g1, g2, count(DISTINCT id) FROM f GROUP BY g1, g2""",
+)
+scripted(
+    "fs_text_script",
+    """
+select
+  count event as n
+end
+each_row where __find(event, 'i') >= 0
+  << event[0:3] + '.', event[-2:], __rfind(event, 'c'), len(event)
+end
+""",
+    f"""WITH f AS (SELECT left(event, 3) || '.' AS g1, right(event, 2) AS g2, length(event) - strpos(reverse(event), 'c') - CASE WHEN strpos(event, 'c') = 0 THEN length(event) + 1 ELSE 0 END AS g3, length(event) AS g4 FROM ({EV}) WHERE contains(event, 'i'))
+SELECT CAST(1 AS BIGINT) AS d, g1, NULL AS g2, NULL AS g3, NULL AS g4, count(*) AS n FROM f GROUP BY g1 UNION ALL SELECT 2, g1, g2, NULL, NULL, count(*) FROM f GROUP BY ALL
+UNION ALL SELECT 3, g1, g2, g3, NULL, count(*) FROM f GROUP BY ALL UNION ALL SELECT 4, g1, g2, g3, g4, count(*) FROM f GROUP BY ALL""",
+)
+
+
+@query(
+    "sg_batch",
+    f"""WITH m AS (SELECT id FROM ({EV}) GROUP BY id HAVING bool_or(event = 'purchase')), r AS (SELECT * FROM ({EV}) WHERE id IN (SELECT id FROM m))
+SELECT 'kk' AS section, CAST(kk AS VARCHAR) AS value, count(DISTINCT id) AS customers FROM r WHERE kk < 6 GROUP BY ALL UNION ALL SELECT 'kk', NULL, count(DISTINCT id) FROM r WHERE kk IS NOT NULL
+UNION ALL SELECT 'events', event, count(DISTINCT id) FROM r GROUP BY ALL UNION ALL SELECT 'copied', 'members', count(*) FROM m""",
+)
+def _(spark, sf_dir):
+    """Sections of one text: segments first, a copy of one, then a property and an event query of its members."""
+    e = engine(spark, sf_dir)
+    out = e.batch("events", "@event kinds\neach_row where event != nil\n << event\nend\n@use copied\n@property kk lt=6\n@event kinds\neach_row where event != nil\n << event\nend\n@segment buyers\nreturn(event.ever(== 'purchase'))\n@segment copied z_index=200\npopulation(buyers)", now=NOW)
+    kk = out[1]["frame"].select(F.lit("kk").alias("section"), F.col("value").cast("string").alias("value"), "customers")
+    kinds = out[2]["result"].frame.select(F.lit("events").alias("section"), F.col("g1").alias("value"), F.col("id").alias("customers"))
+    copied = e.members("events").where("segment = 'copied'").groupBy().agg(F.count("*").alias("customers")).select(F.lit("copied").alias("section"), F.lit("members").alias("value"), "customers")
+    return kk.unionByName(kinds).unionByName(copied)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

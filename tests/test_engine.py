@@ -1,6 +1,7 @@
 """Tables, ingestion, segments, histograms, rendering, batches and streams on small tables."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,36 @@ def test_nested_iteration_lowered_gives_what_the_interpreter_gives(spark, sf_dir
         r = queries.engine(spark, sf_dir).event("events", script, now=queries.NOW, path=path)
         outs.append(sorted(tuple(str(x) if c in r.groups else round(x, 4) if isinstance(x, float) else x for c, x in zip(r.frame.columns, row, strict=True)) for row in r.frame.collect()))
     assert [tuple(map(str, x)) for x in outs[0]] == [tuple(map(str, x)) for x in outs[1]] and outs[0]
+
+
+def test_logged_messages_outlive_the_driver(spark, tmp_path):
+    rows = spark.createDataFrame([("s", f"u{k}", "enter", 10_000_000_000_000 + k) for k in range(1200)] + [("other", "x", "enter", 10_000_000_000_000)], "segment string, id string, state string, stamp long").coalesce(1)
+    log = messages.MessageLog(spark, f"file://{tmp_path}/log")
+    got, up = [], [True]
+    send = lambda part: up[0] and (got.extend(part) or len(got) <= 500 or up.__setitem__(0, False) or True)
+    first = messages.Broker({"s"}, log)
+    first.subscribe(messages.Subscription("s", "hook", send))
+    # two batches are taken, then the receiver is gone, and so is the driver
+    first.batch_sink()(rows, 0)
+    assert len(got) == 1000
+    up[0], later = True, []
+    second = messages.Broker({"s"}, log)
+    second.subscribe(messages.Subscription("s", "hook", lambda part: later.extend(part) or True))
+    second.batch_sink()(rows.limit(0), 1)
+    assert sorted(m["id"] for m in got + later) == sorted(f"u{k}" for k in range(1200)) and "seq" not in later[0]
+    assert second.deliver(10_000_000_000_000) == 0
+
+
+def test_live_segments_know_customer_properties_and_the_clock(spark, tmp_path):
+    spec = TableSpec("timed", "textual", (Property("price", "double"), Property("plan", "text", is_customer=True)))
+    (tmp_path / "in").mkdir()
+    specs = [SegmentSpec("gold", "if plan == 'gold'\n return(true)\nend", on_insert=True, refresh=1_000), SegmentSpec("fresh", "return(price.within(4_seconds, now).ever(> 0))", on_insert=True, refresh=1_000)]
+    stream = streaming.read_stream(spark, str(tmp_path / "in"), spec).withColumn("seq", F.col("stamp"))
+    q = live_segments(stream, spec, specs, timers=True).writeStream.format("memory").queryName("clocked").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).start()
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"id": "a", "stamp": int(time.time()) + k, "event": "buy", "price": 5, "plan": p}) for k, p in enumerate(("gold", None))))
+    seen, until = set(), time.time() + 60
+    while time.time() < until and ("fresh", "exit") not in seen:
+        time.sleep(1)
+        seen = {(r["segment"], r["state"]) for r in spark.table("clocked").collect()}
+    q.stop()
+    assert seen == {("gold", "enter"), ("fresh", "enter"), ("fresh", "exit")}
