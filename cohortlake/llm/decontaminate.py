@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import ship
+from cohortlake.llm.shared import ship, spread
 
 WINDOW = 10
 #: Words of items in one automaton; a larger benchmark is dealt to several, used one after the other.
@@ -248,7 +248,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         automata.append(docs.sparkSession.sparkContext.broadcast(SuffixAutomaton([(r["name"], r["body"]) for r in rows], window)))
     left = docs if keep_text else docs.drop(text)
     schema = T.StructType([*left.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(_scan_batches(automata, text, keep_text), schema)
+    return spread(docs).mapInArrow(_scan_batches(automata, text, keep_text), schema)
 
 
 def n_hit() -> Column:

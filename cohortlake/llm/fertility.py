@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import saved, ship
+from cohortlake.llm.shared import saved, ship, spread
 from cohortlake.llm.tokens import PieceEncoder, encoder
 
 REPEAT_WINDOW = 8
@@ -122,7 +122,7 @@ def measure(docs: DataFrame, *, pieces_file: str, bytes_file: str, text: str = "
     ship(docs.sparkSession)
     docs = docs.drop(*[n for n, _ in _MEASURES])
     schema = T.StructType([*docs.drop(text).schema.fields, *[T.StructField(n, k) for n, k in _MEASURES]])
-    return docs.mapInArrow(_measure(text, pieces_file, bytes_file), schema)
+    return spread(docs).mapInArrow(_measure(text, pieces_file, bytes_file), schema)
 
 
 _RESULTS = ("base_failed", "band", "length_class", "kept")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import saved, ship
+from cohortlake.llm.shared import saved, ship, spread
 
 GRAM = 4
 PROBES = 3
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_share: f
     """Counts n-grams of every row with a text and a language; keeps the frequent ones of each language."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
-    counted = rows.mapInArrow(_counts(text, lang), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = spread(rows).mapInArrow(_counts(text, lang), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # an n-gram's languages as one array, so neither totals nor shares need a join or a second count
     per_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("in"))
     per_gram = saved(per_gram, "grams")
@@ -180,4 +180,4 @@ def identify(docs: DataFrame, model: LanguageFilter, *, text: str = "text") -> D
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.drop(text).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text), schema)
+    return spread(docs).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import hot_keys, salted_join, saved, ship
+from cohortlake.llm.shared import hot_keys, salted_join, saved, ship, spread
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 50
@@ -143,7 +143,7 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
-    marked = saved(rows.mapInArrow(_fingerprints("text", gram_words, window_words), schema), "line-fingerprints")
+    marked = saved(spread(rows).mapInArrow(_fingerprints("text", gram_words, window_words), schema), "line-fingerprints")
     found = marked.select("doc_id", "text_hash", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("positions").alias("position"))).alias("f")).select("doc_id", "text_hash", F.col("f.key").alias("key"), F.col("f.position").alias("position"))
     place = F.struct("doc_id", "text_hash", "position")
     first = found.groupBy("key").agg(F.min(place).alias("source"), F.max(place).alias("last"), F.count("*").alias("n")).where(~F.col("source").eqNullSafe(F.col("last")))

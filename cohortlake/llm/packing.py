@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cohortlake.llm import text as X
-from cohortlake.llm.shared import saved, ship
+from cohortlake.llm.shared import saved, ship, spread
 from cohortlake.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, *, file: str, spaced: bool = False, end: int = 1, capa
     ship(spark)
     fields = [docs.schema[doc_id].dataType, T.LongType(), T.LongType(), T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(("doc_id", "start", "length", "doc_tokens", "part", "rank", "ids"), fields, strict=True)])
-    cut = saved(docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)).mapInArrow(_cut(file, spaced, end, text, doc_id, capacity), schema), "pieces")
+    cut = saved(spread(docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text))).mapInArrow(_cut(file, spaced, end, text, doc_id, capacity), schema), "pieces")
     here = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("part")
     before = saved(here.withColumn("before", F.sum("n").over(order) - F.col("n")), "piece-ranks")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
 from cohortlake.llm.fertility import duplicate_lines
-from cohortlake.llm.shared import saved, ship
+from cohortlake.llm.shared import saved, ship, spread
 
 BAD, NONE, GOOD = 0, 1, 2
 #: Labellers on one statistic each: bad beyond the first bound, good within the second, in the direction
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Quality
     share = min(1.0, sample / max(1, docs.count()))
     key = F.xxhash64(F.lit("quality"), text)
     drawn = F.col(text).isNotNull() & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = saved(docs.select(F.col(text).alias("text"), key.alias("key"), drawn.alias("sampled")).mapInArrow(_observe("text"), "pattern long, key long, sampled boolean, index binary, value binary"), "votes")
+    seen = saved(spread(docs.select(F.col(text).alias("text"), key.alias("key"), drawn.alias("sampled"))).mapInArrow(_observe("text"), "pattern long, key long, sampled boolean, index binary, value binary"), "votes")
     # at most 3 to the number of labellers
     counts = seen.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     labels = fit_labels(counts.column("pattern").to_numpy(), counts.column("n").to_numpy())
@@ -280,4 +280,4 @@ def classify(docs: DataFrame, model: QualityModel, *, text: str = "text", thresh
     docs = docs.drop(*_ADDED)
     kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2 + [T.BooleanType()]
     schema = T.StructType([*(docs if keep_text else docs.drop(text)).schema.fields, *[T.StructField(n, k) for n, k in zip(_ADDED, kinds, strict=True)]])
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text, threshold, keep_text), schema)
+    return spread(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), text, threshold, keep_text), schema)

@@ -129,6 +129,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: dict[str, str], hot: Data
     return out.join(right, where).drop(*[right[b] for b in on.values()]).drop(" salt", " other")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to be cut into a task for each core is dealt out before work on its texts; others are read as
+    they lie. Only where the work is done changes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.repartition(cores) if size < cores * (4 << 20) else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import text as X
 from cohortlake.llm.components import components
-from cohortlake.llm.shared import most_frequent, partitions, saved, ship
+from cohortlake.llm.shared import most_frequent, partitions, saved, ship, spread
 
 WORDS = 5
 PERCENT = 80
@@ -401,7 +401,7 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     """Rows with their sets' sizes and hashes, classes, edges between equal sets, and what _join_groups() gives."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     bits = min(16, max(8, (4 * partitions(spark) - 1).bit_length()))
     printed = rows.select("text").mapInArrow(_print_shingles("text", bits), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
     counted = saved(printed.mapInArrow(_count_prints, "shingle long, n long"), "common-shingles")
