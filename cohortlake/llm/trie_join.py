@@ -438,7 +438,10 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     # block k meets each block j, itself too: as the pair (min, max)
     own = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
     dealt = sets.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "hash_a", "hash_b", "copies", "own", "group_id", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "members")
+    low, high, n = F.least("own", "other"), F.greatest("own", "other"), partitions(spark)
+    # a group's pairs of blocks go to partitions in turn: by a hash several would meet in one
+    to = F.pmod(F.xxhash64("group_id") + low * F.col("blocks") + high, F.lit(n)).cast("int")
+    dealt = dealt.select("doc_id", "hash_a", "hash_b", "copies", "own", "group_id", low.alias("block_a"), high.alias("block_b"), to.alias("to"), "members")
     tasks = ["group_id", "block_a", "block_b"]
-    links = dealt.repartition(partitions(spark), *tasks).sortWithinPartitions(*tasks, "doc_id", "hash_a", "hash_b").mapInArrow(_join_groups(pairs), _LINKS)
+    links = dealt.repartitionById(n, "to").drop("to").sortWithinPartitions(*tasks, "doc_id", "hash_a", "hash_b").mapInArrow(_join_groups(pairs), _LINKS)
     return leads, classes, equal, saved(links, "links")
