@@ -5,7 +5,8 @@ there loses no link:
 
 1. Equal sets are one class; only its smallest id goes on.
 2. All sets are ordered alike: shingles by hash, those of several documents last, by their counts in
-   the corpus, so that the first ones of a document without near copies occur nowhere else. Linked sets
+   the corpus, so that the first ones of a document without near copies occur nowhere else. Counts of all
+   such shingles are kept, as levels in a table of slots, so this holds at every size of the corpus. Linked sets
    share a shingle among the first n - ceil(0.8 n) + 1 of each, and their sizes differ by a quarter at
    most. Classes that share such a shingle, chained through sizes that near, make up a candidate group.
 3. A group's sets go into a trie, the group's common shingles first, so alike sets share a path. Each
@@ -30,14 +31,18 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import text as X
 from cohortlake.llm.components import components
-from cohortlake.llm.shared import most_frequent, partitions, saved, ship, spread
+from cohortlake.llm.shared import partitions, saved, ship, spread
 
 WORDS = 5
 PERCENT = 80
-#: Shingles in so many documents go last, the most common ones at the end: COMMON of them all at most,
-#: by fingerprints of 40 bits or more. They only shape the order, so neither the bound nor a clash can lose a link.
+#: Shingles in so many documents go last, the most common ones at the end. A table of a byte a slot has their
+#: levels, an eighth of an octave each: SLOTS_EACH slots for one of them, MOST_LEVELS at most. Shingles that meet in
+#: a slot have the level of the most common one. Levels only shape the order, so no clash can lose a link.
 COMMON_LEAST = 3
-COMMON = 2_000_000
+SLOTS_EACH = 4
+MOST_LEVELS = 1 << 26
+#: Slots of the table that travel together, as a power of two.
+CHUNK_BITS = 12
 #: Shingles of the sets in one task; larger groups are dealt to blocks. A group of T shingles has
 #: sqrt(T / BLOCK_UNIT) blocks, so that blocks and their number grow alike, until a block has BLOCK_SHINGLES.
 TRIE_SHINGLES = 50_000
@@ -179,6 +184,29 @@ def _count_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(((np.int64(b) << 32) | keys[first[top]].astype(np.int64))), pa.array(n[top])], names=["shingle", "n"])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the slots, chunk by chunk; a task has all rows of its chunks."""
+    rows = [(b.column("slot").to_numpy(), b.column("n").to_numpy()) for b in batches]
+    if rows:
+        slot, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+        chunk, at = np.unique(slot >> CHUNK_BITS, return_inverse=True)
+        levels = np.zeros((len(chunk), 1 << CHUNK_BITS), np.uint8)
+        np.maximum.at(levels, (at, slot & ((1 << CHUNK_BITS) - 1)), np.minimum(8 * np.log2(n), 255).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), X.binaries(levels.ravel(), np.full(len(chunk), 1 << CHUNK_BITS))], names=["chunk", "levels"])
+
+
+def _levels(counted: DataFrame, bits: int) -> np.ndarray:
+    """The level of each slot, 0 for those of no common shingle; a shingle's slot is the leading bits of its hash."""
+    slot_bits = max(CHUNK_BITS, min(MOST_LEVELS, SLOTS_EACH * counted.count()).bit_length() - 1)
+    slots = counted.select(F.shiftright("shingle", 32 + bits - slot_bits).alias("slot"), "n")
+    dealt = slots.repartition(partitions(counted.sparkSession), F.shiftright("slot", CHUNK_BITS))
+    found = dealt.mapInArrow(_chunks, "chunk long, levels binary").toArrow()
+    out = np.zeros((1 << (slot_bits - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    for chunk, raw in zip(found.column("chunk").to_pylist(), found.column("levels"), strict=True):
+        out[chunk] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return out.ravel()
+
+
 def _class(w: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Two hashes of each set."""
     ends, mixed = np.cumsum(n), X.mix(w)
@@ -186,11 +214,12 @@ def _class(w: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.array((x[ends] - x[ends - n]).view(np.int64)) for x in sums)
 
 
-def _prefixes(common, text: str, bits: int):
+def _prefixes(common, text: str):
     """Each document's size, class (two hashes of its set) and leading shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = common.value
+        levels = common.value
+        shift = np.uint64(64 - (len(levels).bit_length() - 1))
         for batch in batches:
             for part in X.portions(batch, text):
                 w, n = X.shingle_sets(X.texts(part.column(text)), WORDS)
@@ -198,11 +227,7 @@ def _prefixes(common, text: str, bits: int):
                 ends = np.cumsum(n)
                 hash_a, hash_b = _class(w, n)
                 one, two = (x.to_numpy().view(np.uint64) for x in (hash_a, hash_b))
-                if len(keys) and len(w):
-                    prints = _fingerprint(w, bits)
-                    at = np.minimum(np.searchsorted(keys, prints), len(keys) - 1)
-                    late = np.where(keys[at] == prints, ranks[at], 0)
-                    w = w[np.argsort((doc << 32) | late, kind="stable")]
+                w = w[np.argsort((doc << 8) | levels[w >> shift], kind="stable")]
                 lead = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
                 first = w[X.spans(ends - n, lead)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), hash_a, hash_b, X.binaries(first, lead), X.binaries(X.mix(one + X.mix(two)), np.ones(len(n), np.int64))], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole"])
@@ -405,11 +430,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     bits = min(16, max(8, (4 * partitions(spark) - 1).bit_length()))
     printed = rows.select("text").mapInArrow(_print_shingles("text", bits), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
     counted = saved(printed.mapInArrow(_count_prints, "shingle long, n long"), "common-shingles")
-    top = most_frequent(counted, "n", COMMON).toArrow()
-    keys, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(keys)
-    common = spark.sparkContext.broadcast((keys[order], np.minimum(n[order], (1 << 31) - 1)))
-    leads = saved(rows.mapInArrow(_prefixes(common, "text", bits), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
+    common = spark.sparkContext.broadcast(_levels(counted, bits))
+    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
 
     sized = leads.where("n > 0 AND doc_id IS NOT NULL")
     same = ["hash_a", "hash_b", "n"]

@@ -737,6 +737,23 @@ def test_trie_join_yields_all_links(spark, limit):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, s in named for b, t in named if a < b and alike(s, t)}
 
 
+def test_trie_join_ranks_all_common_shingles(spark, monkeypatch):
+    """Passages of three documents each chain all of them; no number of passages may make these one group."""
+    monkeypatch.setattr(trie_join, "COMMON", 20, raising=False)
+    groups, keep = [], trie_join.saved
+    monkeypatch.setattr(trie_join, "saved", lambda df, name: groups.append(keep(df, name)) or groups[-1] if name == "trie-members" else keep(df, name))
+    r = random.Random(4)
+    made = lambda n: " ".join(str(r.random()) for _ in range(n))
+    shared_parts = [made(20) for _ in range(62)]
+    texts = {k: " ".join(f"{x} {made(14)}" for x in shared_parts[k : k + 3]) for k in range(60)}
+    texts[60] = texts[7] + " more"
+    texts[61] = texts[60] + " words"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in trie_join.similar_groups(frame).collect()}
+    assert got == groups_by_hand(texts)
+    assert groups[0].count() < 20
+
+
 def test_trie_join_odd_rows(docs, empty):
     rows = trie_join.similar_groups(docs).collect()
     got = {x["doc_id"]: x["component_id"] for x in rows}
