@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cohortlake.llm import line_dedup, quality_em
+from cohortlake.llm import line_dedup, quality_em, trie_join
 from cohortlake.llm import text as X
 from cohortlake.llm.shared import table
 
@@ -129,6 +129,25 @@ def test_rows_of_one_id_and_without_one_are_judged_by_their_texts(spark):
     assert collections.Counter(map(tuple, kept)) == collections.Counter([(1, body(0)), (2, body(50)), (2, body(100)), (3, body(150)), (4, ""), (None, None)])
 
 
+def test_similar_does_not_group_texts_that_passages_chain(spark, monkeypatch):
+    monkeypatch.setattr(trie_join, "COMMON", 20, raising=False)
+    sizes, keep = [], trie_join.saved
+
+    def saved(df, name):
+        out = keep(df, name)
+        if name == "trie-members":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(trie_join, "saved", saved)
+    made = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    rows = [(k, " ".join(f"{made(f'p{k + j}', 20)} {made(f'own{k}a{j}', 14)}" for j in range(3))) for k in range(60)]
+    frame = spark.createDataFrame([*rows, (60, rows[7][1] + " more")], "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.similar(spark, frame, "").collect()
+    assert sorted(map(tuple, kept)) == rows
+    assert sizes[0] < 20
+
+
 def test_benchmark_passages_are_cut(spark, stages, sf_dir):
     ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     items = [re.findall(ALNUM, (r["text"] or "").translate(LOWER)) for r in table(spark, sf_dir, "benchmark").collect()]
