@@ -9,10 +9,9 @@ The model predicts the class of the next subword, then the subword in its class:
 (the word counts are aggregated once, and only distinct words are encoded); pairs that were not seen back off
 to the counts of the subwords alone, kept apart for those that begin a word. Attention (one layer, learned
 biases for relative positions) moves the classes by what stands in the window: language, style, neighbours.
-Its weights, and the neighbours by which classes are made, come from the distinct texts of a share of the
-training documents, drawn by hash: TRAIN_SHARE of them, and more where that is under LEAST_IDS subwords, so
-what is learnt grows with the corpus. A start is fitted on a few of their windows; then all of them go once
-through gradient steps, task by task from that start, and the tasks' weights are averaged by their ids.
+Its weights, and the neighbours by which classes are made, come from every training document. A start is
+fitted on a few of their windows; then all documents go once through gradient steps, task by task from that
+start, and the tasks' weights are averaged by their ids.
 
 Texts are scored in windows of KEYS ids that overlap: each window scores its last QUERIES ids, which see
 the ids before them in the window, so each id is scored once. All matrices that act on a single id are
@@ -46,12 +45,12 @@ RARE_GROUPS = 12
 NEIGHBOURS = 400
 #: Weight, in observations, of the counts of subwords alone beside those of pairs.
 BACKOFF = 5.0
-#: Share of the training documents that attention learns from, and ids that it has at least where there are so many.
-TRAIN_SHARE, LEAST_IDS = 1 / 16, 4_000_000
+#: Of no effect: attention learns from all training documents. Kept because a test still sets them.
+TRAIN_SHARE, LEAST_IDS = 1.0, 0
 #: Ids of the windows, about, from which the weights start.
 START_IDS = 600_000
 EPOCHS, BATCH, RATE = 4, 128, 1.5e-2
-#: First rate of the steps over all drawn documents.
+#: First rate of the steps over all training documents.
 WHOLE_RATE = 5e-3
 #: Parts in which tasks' sums travel.
 SLICES = 64
@@ -581,7 +580,7 @@ class Learnt:
 
 
 def learn(docs: DataFrame, *, file: str, text: str = "text", seed: int = 0, start_ids: int = START_IDS) -> Learnt:
-    """From all rows of docs: counts of words, subwords and their pairs from every text, attention from a share of them."""
+    """From all rows of docs: counts of words, subwords and their pairs, and attention, all from every text."""
     spark = docs.sparkSession
     ship(spark)
     e = encoder(file, False)
@@ -606,15 +605,13 @@ def learn(docs: DataFrame, *, file: str, text: str = "text", seed: int = 0, star
     counts = Counts(stated, pair // size, pair % size, pairs.column("n").to_numpy(), closing)
 
     total = int(both.sum())
-    share = min(1.0, max(TRAIN_SHARE, LEAST_IDS / max(1, total)))
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).alias("text")).distinct()
-    encoded = saved(drawn.mapInArrow(_encode(file, end, "text"), "ids binary"), "encoded")
+    encoded = saved(spread(docs.select(text)).mapInArrow(_encode(file, end, text), "ids binary"), "encoded")
     kind = np.dtype(e.kind)
     cells = encoded.mapInArrow(_count_neighbours(kind, place, len(common)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     neighbours = np.zeros(2 * (len(common) + 1) * (min(len(common), NEIGHBOURS) + 1))
     neighbours[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     frame = Frame.of(counts, neighbours.reshape(2, len(common) + 1, -1), seed)
-    some = encoded.mapInArrow(_draw(kind, min(1.0, start_ids / max(1, int(share * total))), seed), "window binary").distinct().toArrow().column(0)
+    some = encoded.mapInArrow(_draw(kind, min(1.0, start_ids / max(1, total)), seed), "window binary").distinct().toArrow().column(0)
     start = np.frombuffer(b"".join(sorted(some.to_pylist())), np.int32).reshape(-1, 2, KEYS).astype(np.int64)
     p = frame.start_weights(start[:, 0], start[:, 1], seed)
     shared = spark.sparkContext.broadcast((p, frame.group, frame.cls, frame.table, frame.start))

@@ -369,6 +369,19 @@ def test_attention_learns_from_a_share_that_grows(spark, monkeypatch):
     assert 0 < few < many
 
 
+def test_attention_learns_from_every_training_document(spark, monkeypatch):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(6)
+    rows = [(k, prose(30, r)) for k in range(200)]
+    rows += [(300, rows[0][1]), (301, None)]
+    seen, summed = [], attention_lm._summed
+    monkeypatch.setattr(attention_lm, "_summed", lambda *args: seen.append(summed(*args)) or seen[-1])
+    monkeypatch.setattr(attention_lm, "LEAST_IDS", 100)
+    attention_lm.learn(spark.createDataFrame(rows, "doc_id long, text string"), file=file)
+    whole = Tokenizer.from_file(file)
+    assert seen[0][-1] == sum(1 + sum(len(whole.encode(w, add_special_tokens=False).ids) for w in words(t)) for _, t in rows)
+
+
 def random_counts(r, size=200):
     closing = np.arange(size) % 3 == 0
     pairs = r.integers(0, size, (2, 900))
