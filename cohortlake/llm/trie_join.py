@@ -8,7 +8,9 @@ there loses no link:
    the corpus, so that the first ones of a document without near copies occur nowhere else. Counts of all
    such shingles are kept, as levels in a table of slots, so this holds at every size of the corpus. Linked sets
    share a shingle among the first n - ceil(0.8 n) + 1 of each, and their sizes differ by a quarter at
-   most. Classes that share such a shingle, chained through sizes that near, make up a candidate group.
+   most. Documents that share such a shingle, of sizes that near, are candidates. Of a shingle with few
+   documents all pairs are, and a pair stays only if sketches of the two sets allow a link; those of a
+   shingle with many documents are chained. Classes tied by either make up a candidate group.
 3. A group's sets go into a trie, the group's common shingles first, so alike sets share a path. Each
    set walks the trie once: the overlap with a path is counted once for all sets below, and a subtree is
    left where the overlap and what remains cannot reach the bound. Every link is found; links are
@@ -48,6 +50,8 @@ CHUNK_BITS = 12
 TRIE_SHINGLES = 50_000
 BLOCK_UNIT = 2_000
 BLOCK_SHINGLES = 2_000_000
+#: Documents of a shingle whose pairs are all held against sketches; more are chained instead.
+FEW = 8
 #: Bits of the filter that leaves documents outside all groups out of the shuffle of sets.
 MOST_SLOTS = 1 << 27
 
@@ -214,8 +218,35 @@ def _class(w: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return tuple(pa.array((x[ends] - x[ends - n]).view(np.int64)) for x in sums)
 
 
+def _sketches(w: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each set the parity of its members in n to 2 n slots (a power of two, 64 at least), as little-endian bits."""
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    begin = np.cumsum(bits) - bits
+    slot = np.repeat(begin, n) + (w & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    return X.binaries(np.packbits((np.bincount(slot, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little"), bits // 8)
+
+
+def may_link(n: int, one: bytes, m: int, two: bytes) -> bool:
+    """Whether sets of n and m members may link: their sketches differ in as many bits at most as the sets in members."""
+    if len(one) > len(two):
+        one, two = two, one
+    a, b = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    size = 8 * len(two)
+    while size > 8 * len(one):  # the halves of a sketch give that of half the slots
+        size //= 2
+        b = (b ^ (b >> size)) & ((1 << size) - 1)
+    return (a ^ b).bit_count() <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose sets may link."""
+    for batch in batches:
+        rows = zip(*[batch.column(k).to_pylist() for k in ("n_u", "sketch_u", "n_v", "sketch_v")], strict=True)
+        yield batch.select(["u", "v"]).filter(pa.array([may_link(*row) for row in rows], pa.bool_()))
+
+
 def _prefixes(common, text: str):
-    """Each document's size, class (two hashes of its set) and leading shingles in the common order."""
+    """Each document's size, class (two hashes of its set), leading shingles in the common order, and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = common.value
@@ -226,11 +257,12 @@ def _prefixes(common, text: str):
                 doc = np.repeat(np.arange(len(n)), n)
                 ends = np.cumsum(n)
                 hash_a, hash_b = _class(w, n)
+                sketch = _sketches(w, n)
                 one, two = (x.to_numpy().view(np.uint64) for x in (hash_a, hash_b))
                 w = w[np.argsort((doc << 8) | levels[w >> shift], kind="stable")]
                 lead = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
                 first = w[X.spans(ends - n, lead)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), hash_a, hash_b, X.binaries(first, lead), X.binaries(X.mix(one + X.mix(two)), np.ones(len(n), np.int64))], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), hash_a, hash_b, X.binaries(first, lead), X.binaries(X.mix(one + X.mix(two)), np.ones(len(n), np.int64)), sketch], names=["doc_id", "n", "hash_a", "hash_b", "lead", "whole", "sketch"])
 
     return run
 
@@ -245,17 +277,34 @@ def _runs(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Runs as (key, smallest id, low, high), and distinct edges from their ids to the smallest."""
+def _distinct(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    other = u != v
+    return np.unique(np.stack([u[other], v[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+
+
+def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, one: np.ndarray, few: int):
+    """Of rows (a document of size low, or several chained to doc where not `one`): runs of at most `few` documents as
+    their rows, larger ones chained as (key, smallest id, low, high, one); distinct edges from their ids to the smallest;
+    and distinct pairs (larger id, smaller id) of the documents in a small run whose sizes allow a link."""
     order = np.lexsort((low, key))
-    key, doc, low, high = key[order], doc[order], low[order], high[order]
+    key, doc, low, high, one = key[order], doc[order], low[order], high[order], one[order]
     at = _runs(key, low, high)
-    hub = np.minimum.reduceat(doc, at)
     size = np.diff(np.concatenate([at, [len(key)]]))
-    u, v = doc, np.repeat(hub, size)
-    other = u != v
-    edges = np.unique(np.stack([u[other], v[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return (key[at], hub, np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)), edges
+    small = (size <= few) & np.logical_and.reduceat(one, at)
+    here, run = np.repeat(small, size), np.repeat(np.arange(len(at)), size)
+    hub = np.minimum.reduceat(doc, at)
+    edges = _distinct(doc[~here], hub[run[~here]])
+    key_, doc_, low_, run = key[here], doc[here], low[here], run[here]
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, few):
+        a, b = doc_[:-step], doc_[step:]
+        near = (run[:-step] == run[step:]) & (100 * low_[:-step] >= PERCENT * low_[step:])
+        found.append(np.stack([np.maximum(a, b)[near], np.minimum(a, b)[near]]))
+    pairs = _distinct(*np.concatenate(found, axis=1))
+    many = ~small
+    chained = (key[at][many], hub[many], np.minimum.reduceat(low, at)[many], np.maximum.reduceat(high, at)[many])
+    rows = [np.concatenate(x) for x in zip((key_, doc_, low_, low_), chained, strict=True)]
+    return (*rows, np.arange(len(rows[0])) < len(key_)), edges, pairs
 
 
 def _arrays(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
@@ -266,10 +315,10 @@ def _arrays(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
 _POSTED = "bucket int, keys binary, hubs binary, lows binary, highs binary"
 
 
-def _post(buckets: int, column: str):
-    """Postings of the keys in a column, merged within the task: one per shingle and run of sizes, dealt to buckets by shingle.
-
-    Edges found here travel along, with bucket -1 - b and no keys."""
+def _post(buckets: int, column: str, few: int):
+    """Postings of the keys in a column, dealt to buckets by shingle. Runs of more than `few` documents are merged within
+    the task: one posting per shingle and run of sizes, its low negated. Edges found here travel along, with bucket -1 - b
+    and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -281,17 +330,18 @@ def _post(buckets: int, column: str):
         key, doc, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
         if not len(key):
             return
-        (key, hub, low, high), edges = _stars(key, doc, size, size)
+        (key, hub, low, high, one), edges, _ = _stars(key, doc, size, size, np.ones(len(key), bool), few)
         where = (key % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((hub, where))
-        key, hub, low, high, where = key[order], hub[order], low[order].astype(np.int32), high[order].astype(np.int32), where[order]
+        key, hub, where, span = key[order], hub[order], where[order], (high - low)[order].astype(np.int32)
+        low = np.where(one, low, -low)[order].astype(np.int32)
         bounds = np.searchsorted(where, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(bounds))
         count = np.diff(bounds)[full]
         for a in range(0, len(full), 64):
             rows = full[a : a + 64]
             own = slice(bounds[rows[0]], bounds[rows[-1] + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[X.binaries(x[own], count[a : a + 64]) for x in (key, hub, low, high - low)]], names=["bucket", "keys", "hubs", "lows", "highs"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[X.binaries(x[own], count[a : a + 64]) for x in (key, hub, low, span)]], names=["bucket", "keys", "hubs", "lows", "highs"])
         if edges.shape[1]:
             none = pa.array([b""], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([-1 - int(edges[0, 0]) % buckets], pa.int32()), X.binaries(edges[1], np.array([edges.shape[1]])), X.binaries(edges[0], np.array([edges.shape[1]])), none, none], names=["bucket", "keys", "hubs", "lows", "highs"])
@@ -299,31 +349,40 @@ def _post(buckets: int, column: str):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v): those that travelled along, and those between tasks' runs of one shingle."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for batch in batches:
-        ready = pc.less(batch.column("bucket"), 0)
-        done = batch.filter(ready)
-        if done.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(_arrays(done, "hubs")), pa.array(_arrays(done, "keys"))], names=["u", "v"])
-        rest = batch.filter(pc.invert(ready))
-        for part, (name, kind) in zip(parts, (("keys", np.uint64), ("hubs", np.int64), ("lows", np.int32), ("highs", np.int32)), strict=True):
-            part.append(_arrays(rest, name, kind))
-    if not parts[0]:
-        return
-    key, hub, low, span = (np.concatenate(p) for p in parts)
-    if not len(key):
-        return
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    if again.any():
-        low = low[again].astype(np.int64)
-        _, edges = _stars(key[again], hub[again], low, low + span[again])
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["u", "v"])
+def _edges(found: np.ndarray, sure: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(np.full(found.shape[1], sure))], names=["u", "v", "sure"])
+
+
+def _meet(few: int):
+    """Edges (u, v): those that travelled along, those that chain runs of one shingle, and, not sure, the pairs of small runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            ready = pc.less(batch.column("bucket"), 0)
+            done = batch.filter(ready)
+            if done.num_rows:
+                yield _edges(np.stack([_arrays(done, "hubs"), _arrays(done, "keys")]), True)
+            rest = batch.filter(pc.invert(ready))
+            for part, (name, kind) in zip(parts, (("keys", np.uint64), ("hubs", np.int64), ("lows", np.int32), ("highs", np.int32)), strict=True):
+                part.append(_arrays(rest, name, kind))
+        if not parts[0]:
+            return
+        key, hub, low, span = (np.concatenate(p) for p in parts)
+        if not len(key):
+            return
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        again = np.zeros(len(key), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        if again.any():
+            one, least = low[again] > 0, np.abs(low[again]).astype(np.int64)
+            _, edges, pairs = _stars(key[again], hub[again], least, least + span[again], one, few)
+            yield _edges(edges, True)
+            yield _edges(pairs, False)
+
+    return run
 
 
 def _sets(chosen, text: str):
@@ -431,20 +490,23 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     printed = rows.select("text").mapInArrow(_print_shingles("text", bits), "bucket int, prints binary, counts binary").repartition(partitions(spark), "bucket")
     counted = saved(printed.mapInArrow(_count_prints, "shingle long, n long"), "common-shingles")
     common = spark.sparkContext.broadcast(_levels(counted, bits))
-    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary"), "leads")
+    leads = saved(rows.mapInArrow(_prefixes(common, "text"), "doc_id long, n long, hash_a long, hash_b long, lead binary, whole binary, sketch binary"), "leads")
 
     sized = leads.where("n > 0 AND doc_id IS NOT NULL")
     same = ["hash_a", "hash_b", "n"]
     classes = saved(sized.groupBy(*same).agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")), "classes")
     buckets = 4 * partitions(spark)
 
-    def edges(column: str) -> DataFrame:
-        posted = sized.select("doc_id", "n", column).mapInArrow(_post(buckets, column), _POSTED)
-        return posted.repartition(partitions(spark), "bucket").mapInArrow(_meet, "u long, v long")
+    def edges(column: str, few: int) -> DataFrame:
+        posted = sized.select("doc_id", "n", column).mapInArrow(_post(buckets, column, few), _POSTED)
+        return posted.repartition(partitions(spark), "bucket").mapInArrow(_meet(few), "u long, v long, sure boolean")
 
-    equal = saved(edges("whole").distinct(), "equal-sets")
-    near = edges("lead")
-    groups = components(near.unionByName(equal))
+    equal = saved(edges("whole", 1).select("u", "v").distinct(), "equal-sets")
+    near = saved(edges("lead", FEW), "candidates")
+    sketched = lambda end: sized.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+    asked = near.where("NOT sure").select("u", "v").distinct().join(sketched("u").hint("merge"), "u").join(sketched("v").hint("merge"), "v")
+    allowed = asked.mapInArrow(_allowed, "u long, v long")
+    groups = components(near.where("sure").select("u", "v").unionByName(allowed).unionByName(equal))
 
     # one member of each class goes on, in groups of two classes or more
     firsts = classes.select(F.col("v").alias("doc_id"), "n").groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))

@@ -767,6 +767,39 @@ def test_trie_join_ranks_all_common_shingles(spark, monkeypatch):
     assert groups[0].count() < 20
 
 
+def test_trie_join_does_not_group_pairs_that_cannot_link(spark, monkeypatch):
+    """Passages of two documents each are no common shingles, and chain all documents."""
+    groups, keep = [], trie_join.saved
+    monkeypatch.setattr(trie_join, "saved", lambda df, name: groups.append(keep(df, name)) or groups[-1] if name == "trie-members" else keep(df, name))
+    r = random.Random(5)
+    made = lambda n: " ".join(str(r.random()) for _ in range(n))
+    passages = [made(40) for _ in range(61)]
+    texts = {k: f"{passages[k]} {made(30)} {passages[k + 1]}" for k in range(60)}
+    texts[60] = texts[7] + " more"
+    texts[61] = texts[60] + " words"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in trie_join.similar_groups(frame).collect()}
+    assert got == groups_by_hand(texts)
+    assert groups[0].count() == 3
+
+
+def test_sketches_allow_every_link():
+    r = np.random.default_rng(6)
+    for n in (1, 2, 5, 63, 64, 65, 130, 1000, 3000):
+        base = trie_join.X.mix(np.arange(1, 2 * n + 20, dtype=np.uint64) + np.uint64(n << 20))
+        for gone, added in r.integers(0, n // 5 + 2, (40, 2)):
+            a, b = base[:n], base[min(gone, n - 1) : n + added]
+            both = len(np.intersect1d(a, b))
+            sizes = np.array([len(a), len(b)])
+            one, two = trie_join._sketches(np.concatenate([a, b]), sizes).to_pylist()
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert trie_join.may_link(len(a), one, len(b), two)
+                assert trie_join.may_link(len(b), two, len(a), one)
+        if n > 4:
+            one, two = trie_join._sketches(base[: 2 * n], np.array([n, n])).to_pylist()
+            assert not trie_join.may_link(n, one, n, two)
+
+
 def test_trie_join_odd_rows(docs, empty):
     rows = trie_join.similar_groups(docs).collect()
     got = {x["doc_id"]: x["component_id"] for x in rows}
