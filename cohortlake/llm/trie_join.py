@@ -315,14 +315,21 @@ def _arrays(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
 _POSTED = "bucket int, keys binary, hubs binary, lows binary, highs binary"
 
 
-def _post(buckets: int, column: str, few: int):
+def _chosen(bits: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose slot is marked."""
+    slot = batch.column("slot").to_numpy()
+    return batch.filter(pa.array(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1))
+
+
+def _post(buckets: int, column: str, few: int, chosen=None):
     """Postings of the keys in a column, dealt to buckets by shingle. Runs of more than `few` documents are merged within
     the task: one posting per shingle and run of sizes, its low negated. Edges found here travel along, with bucket -1 - b
-    and no keys."""
+    and no keys. chosen: slots of the documents to post; all unless given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
+            batch = _chosen(chosen.value, batch) if chosen else batch
             per = np.array([len(x) // 8 for x in batch.column(column).to_pylist()], np.int64)
             keys.append(_arrays(batch, column, np.uint64))
             docs.append(np.repeat(batch.column("doc_id").to_numpy(), per))
@@ -389,11 +396,8 @@ def _sets(chosen, text: str):
     """The sets of documents whose slot is marked, with their classes: all candidates, and others by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = chosen.value
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            kept = batch.filter(pa.array(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1))
-            for part in X.portions(kept, text):
+            for part in X.portions(_chosen(chosen.value, batch), text):
                 w, n = X.shingle_sets(X.texts(part.column(text)), WORDS)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_class(w, n), X.binaries(w, n)], names=["doc_id", "hash_a", "hash_b", "members"])
 
@@ -497,12 +501,17 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     classes = saved(sized.groupBy(*same).agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")), "classes")
     buckets = 4 * partitions(spark)
 
-    def edges(column: str, few: int) -> DataFrame:
-        posted = sized.select("doc_id", "n", column).mapInArrow(_post(buckets, column, few), _POSTED)
+    def marked(ids: DataFrame):
+        slots = min(MOST_SLOTS, 1 << max(20, int(16 * ids.count()).bit_length()))
+        return F.pmod(F.xxhash64("doc_id"), F.lit(slots)), spark.sparkContext.broadcast(_marked(ids, slots))
+
+    def edges(column: str, few: int, slot=F.lit(0), chosen=None) -> DataFrame:
+        posted = sized.select("doc_id", "n", column, slot.alias("slot")).mapInArrow(_post(buckets, column, few, chosen), _POSTED)
         return posted.repartition(partitions(spark), "bucket").mapInArrow(_meet(few), "u long, v long, sure boolean")
 
     equal = saved(edges("whole", 1).select("u", "v").distinct(), "equal-sets")
-    near = saved(edges("lead", FEW), "candidates")
+    # the smallest id of each class stands for all; others by chance, where slots clash
+    near = saved(edges("lead", FEW, *marked(classes.select(F.col("v").alias("doc_id")))), "candidates")
     sketched = lambda end: sized.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
     asked = near.where("NOT sure").select("u", "v").distinct().join(sketched("u").hint("merge"), "u").join(sketched("v").hint("merge"), "v")
     allowed = asked.mapInArrow(_allowed, "u long, v long")
@@ -514,9 +523,8 @@ def _linked(docs: DataFrame, text: str, doc_id: str, trie_shingles: int, pairs:
     sizes = members.groupBy("group_id").agg(F.sum("n").alias("total"), F.sum("sets").alias("sets")).where("sets > 1")
     most = F.greatest(F.ceil(F.sqrt(F.col("total") / (trie_shingles * BLOCK_UNIT / TRIE_SHINGLES))), F.ceil(F.col("total") / BLOCK_SHINGLES))
     work = saved(members.join(sizes.select("group_id", F.when(F.col("total") > trie_shingles, most).otherwise(1).cast("int").alias("blocks")), "group_id").join(classes.drop("n").withColumnRenamed("v", "doc_id"), "doc_id").select("doc_id", "hash_a", "hash_b", "copies", "group_id", "blocks"), "trie-members")
-    slots = min(MOST_SLOTS, 1 << max(20, int(16 * work.count()).bit_length()))
-    chosen = spark.sparkContext.broadcast(_marked(work, slots))
-    slotted = rows.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
+    slot, chosen = marked(work)
+    slotted = rows.where("doc_id IS NOT NULL").withColumn("slot", slot)
     # sets, not texts, are shuffled, and by a merge join at every size
     sets = slotted.mapInArrow(_sets(chosen, "text"), "doc_id long, hash_a long, hash_b long, members binary").join(work.hint("merge"), ["doc_id", "hash_a", "hash_b"])
     # block k meets each block j, itself too: as the pair (min, max)
