@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from cohortlake.llm import text as X
 from cohortlake.llm.shared import most_frequent, partitions, saved, ship, spread
-from cohortlake.llm.tokens import encoder
+from cohortlake.llm.tokens import Slots, WordEncoder, encoder
 
 KEYS, QUERIES = 24, 16
 WIDTH = 16
@@ -56,6 +56,8 @@ EPOCHS, BATCH, RATE = 4, 128, 1.5e-2
 WHOLE_RATE = 5e-3
 #: Parts in which tasks' sums travel.
 SLICES = 64
+#: Distinct words of a task that are held before their counts are passed on.
+HELD_WORDS = 500_000
 #: Words whose counts are broadcast for the base, at most; those of others are joined, with the same result.
 HEAD_WORDS = 200_000
 END = "\n"
@@ -103,67 +105,60 @@ class Model:
         out = np.zeros(len(ids))
         if not len(ids):
             return out
-        # inputs, document by document: padding with the start id, then the ids; an id's input is the one before it
+        # inputs, document by document: padding with the start id, then the ids; an id's input is the one before it.
+        # A document takes whole steps of QUERIES inputs, so that windows, and some that none needs, lie at even distances
         lead = KEYS - QUERIES + 1
-        tail = -counts % QUERIES
-        room = counts + lead + tail
-        at = np.cumsum(room) - room
-        inputs = np.full(int(room.sum()), self.start, np.int32)
+        steps = -(-counts // QUERIES) + -(-lead // QUERIES)
+        at = (np.cumsum(steps) - steps) * QUERIES
+        inputs = np.full(int(steps.sum()) * QUERIES + KEYS - QUERIES, self.start, np.int32)
         inputs[X.spans(at + lead, counts)] = self.group[ids]
-        windows = -(-counts // QUERIES)
-        begin = X.spans(np.zeros(len(counts), np.int64), windows) * QUERIES
-        first = np.repeat(at, windows) + begin
-        target = np.repeat(np.cumsum(counts) - counts, windows) + begin
-        size = np.minimum(np.repeat(counts, windows) - begin, QUERIES)
+        real = np.zeros(int(steps.sum()) * QUERIES, bool)
+        real[X.spans(at, counts)] = True
         before = np.empty(len(ids), np.int32)
         before[1:] = self.group[ids[:-1]]
         before[(np.cumsum(counts) - counts)[counts > 0]] = self.start
         cls, inside = self.cls[ids], self.inside(ids, before)
         reach = np.arange(QUERIES)[:, None] + (KEYS - QUERIES) - np.arange(KEYS)[None, :]
         bias = np.where(reach >= 0, self.near[np.maximum(reach, 0)], -1e9).astype(np.float32)
-        keys, ahead = np.arange(KEYS), np.arange(QUERIES)
-        calm = self.bounded()
-        for a in range(0, len(first), batch):
-            x = inputs[first[a : a + batch, None] + keys]
-            last = x[:, KEYS - QUERIES :]
-            real = ahead < size[a : a + batch, None]
-            flat = (target[a : a + batch, None] + ahead)[real]
-            s = np.matmul(self.query[last], self.key[x].transpose(0, 2, 1))
+        folded, d = np.concatenate([self.query, self.key, self.value], axis=1), self.query.shape[1]
+        done = 0
+        for a in range(0, len(real), batch * QUERIES):
+            here = real[a : a + batch * QUERIES]
+            x = inputs[a : a + len(here) + KEYS - QUERIES]
+            f = np.take(folded, x, axis=0)
+            query = f[KEYS - QUERIES :, :d].reshape(-1, QUERIES, d)
+            key, value = (np.lib.stride_tricks.as_strided(f[:, k * d :], (len(query), KEYS, d), (QUERIES * f.strides[0], *f.strides)) for k in (1, 2))
+            s = np.matmul(query, key.transpose(0, 2, 1))
             s += bias
-            if not calm:
-                s -= s.max(axis=2, keepdims=True)
-            np.exp(s, out=s)
-            mixed = np.matmul(s, self.value[x])
-            mixed /= s.sum(axis=2, keepdims=True)
-            where = real.ravel()
-            mixed = mixed.reshape(-1, mixed.shape[2])
-            rows = last.ravel()
-            if not where.all():
-                mixed, rows = mixed[where], rows[where]
+            s, sums, _ = _exponents(s)
+            mixed = np.matmul(s, value).reshape(len(here), -1)
+            mixed /= sums.reshape(-1, 1)
+            mixed, rows = mixed[here], x[KEYS - QUERIES :][here]
             logits = mixed @ self.out
-            logits += self.direct[rows]
-            if not calm:
-                logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(len(flat)), cls[flat]]
-            np.exp(logits, out=logits)
-            out[flat] = chosen - np.log(logits @ self.ones) + inside[flat]
+            logits += np.take(self.direct, rows, axis=0)
+            _, sums, top = _exponents(logits)
+            to = done + len(rows)
+            out[done:to] = logits[np.arange(len(rows)), cls[done:to]] - top - np.log(sums) + inside[done:to]
+            done = to
         return out
 
-    def bounded(self) -> bool:
-        """Whether no exponent can leave the range of 32-bit floats, so that softmax needs no maximum.
 
-        Each window holds the id before, so its own product bounds the largest from below; what attention
-        gives is a mean of values."""
-        products = self.query @ self.key.T
-        high, low = products.max(initial=0) + self.near.max(initial=0), np.diagonal(products).min(initial=0) + self.near[0]
-        given = self.value @ self.out
-        top = (self.direct + given.max(axis=0, initial=-80)).max(initial=0)
-        bottom = (self.direct + given.min(axis=0, initial=80)).max(axis=1).min(initial=0)
-        return max(high, -low, top, -bottom) < 75
-
-    @property
-    def ones(self) -> np.ndarray:
-        return np.ones(self.out.shape[1], np.float32)
+def _exponents(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponents of the rows of s, their sums, and what was taken off each row before: its maximum where the sum
+    would come near the ends of 32-bit floats, else 0."""
+    ones = np.ones(s.shape[-1], np.float32)
+    with np.errstate(over="ignore"):
+        made = np.exp(s)
+        rows = made.reshape(-1, len(ones))
+        sums = rows @ ones
+    top = np.zeros_like(sums)
+    if not (1e-20 < sums.min(initial=1) and sums.max(initial=1) < 1e20):
+        far = np.flatnonzero(~((1e-20 < sums) & (sums < 1e20)))
+        own = s.reshape(-1, len(ones))[far]
+        top[far] = own.max(axis=1)
+        rows[far] = np.exp(own - top[far, None])
+        sums[far] = rows[far] @ ones
+    return made, sums, top
 
 
 def _rare(counts: np.ndarray) -> np.ndarray:
@@ -214,16 +209,16 @@ def _classes(pairs: np.ndarray, common: np.ndarray, counts: np.ndarray, rng: np.
     return cls
 
 
-def _windows(ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of KEYS ids, document by document: the ids before (-1: none) and the ids (-1: none)."""
+def _windows(lead: np.ndarray, ids: np.ndarray, per: np.ndarray, start: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of KEYS ids, document by document: what `lead` has for the id before (start: none), and the ids (-1: none)."""
     many = -(-per // KEYS)
     stops = np.cumsum(many * KEYS)
     at = X.spans(stops - many * KEYS, per)
-    after = np.full(int(stops[-1]) if len(stops) else 0, -1, np.int64)
+    after = np.full(int(stops[-1]) if len(stops) else 0, -1, ids.dtype)
     after[at] = ids
-    before = np.full(len(after), -1, np.int64)
-    before[at[1:]] = ids[:-1]
-    before[(stops - many * KEYS)[per > 0]] = -1
+    before = np.full(len(after), start, lead.dtype)
+    before[at[1:]] = lead[:-1]
+    before[(stops - many * KEYS)[per > 0]] = start
     return before.reshape(-1, KEYS), after.reshape(-1, KEYS)
 
 
@@ -233,7 +228,7 @@ def fit(documents: list[np.ndarray], counts: Counts, seed: int = 0) -> Model:
     ids = np.concatenate([np.zeros(0, np.int64), *documents]).astype(np.int64)
     common = _common(counts.stated.sum(axis=0))
     frame = Frame.of(counts, _neighbours(ids, per, _place(common, counts.stated.shape[1]), len(common)), seed)
-    return frame.model(frame.start_weights(*_windows(ids, per), seed))
+    return frame.model(frame.start_weights(*_windows(ids, ids, per), seed))
 
 
 @dataclass
@@ -291,7 +286,7 @@ class Frame:
         rng, d = np.random.default_rng(seed), WIDTH
         p = {"e": rng.normal(0, 0.3, (self.start + 1, d)), "near": np.zeros(KEYS), "out": rng.normal(0, 0.1, (d, CLASSES)), "bias": np.zeros(CLASSES), **{n: rng.normal(0, d**-0.5, (d, d)) for n in ("q", "k", "v")}}
         p = {n: x.astype(np.float32) for n, x in p.items()}
-        x, y = _inputs(before, after, self.group, self.cls, self.start)
+        x, y = np.where(before < 0, self.start, self.group[before]), np.where(after < 0, -1, self.cls[after])
         steps = EPOCHS * max(1, len(x) // BATCH)
         descent = _Descent(p, self.table, self.start)
         for _ in range(EPOCHS):
@@ -299,97 +294,131 @@ class Frame:
                 if len(chosen):
                     step = descent.steps + 1
                     descent.step(x[chosen], y[chosen], RATE * (1 - step / (steps + 1)) * min(1, step / 50))
-        return p
+        return descent.p
 
     def model(self, p: dict) -> Model:
         e = p["e"]
         return Model(self.group, self.cls, self.place, self.row, self.pair, self.alone, e @ p["q"] / np.float32(np.sqrt(WIDTH)), e @ p["k"], e @ p["v"], e @ p["out"] + p["bias"] + self.table, p["near"], p["out"], self.start)
 
 
-def _inputs(before: np.ndarray, after: np.ndarray, group: np.ndarray, cls: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Groups before and classes (-1: none) of windows."""
-    return np.where(before < 0, start, group[before]), np.where(after < 0, -1, cls[after])
-
-
 class _Descent:
-    """Adam steps on the weights p, in place."""
+    """Adam steps on weights like p, which lie in one row, `flat`."""
 
     def __init__(self, p: dict, table: np.ndarray, start: int):
-        self.p, self.table, self.start, self.steps = p, table, start, 0
-        self.first, self.second = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}
+        self.table, self.start, self.steps = table, start, 0
+        self.flat = np.concatenate([x.ravel() for x in p.values()])
+        self.slope, self.first, self.second, self.change = (np.zeros_like(self.flat) for _ in range(4))
+        self.p, self.slopes = ({n: v.reshape(x.shape) for (n, x), v in zip(p.items(), np.split(row, np.cumsum([x.size for x in p.values()])[:-1]), strict=True)} for row in (self.flat, self.slope))
         self.reach = np.arange(KEYS)[:, None] - np.arange(KEYS)[None, :]
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
         self.steps += 1
-        for n, s in _slopes(self.p, self.table, x, y, self.reach, self.start).items():
-            self.first[n] += 0.1 * (s - self.first[n])
-            self.second[n] += 0.01 * (s * s - self.second[n])
-            self.p[n] -= rate * (self.first[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[n] / (1 - 0.99**self.steps)) + 1e-8)
-
-
-def _slopes(p: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, reach: np.ndarray, start: int) -> dict:
-    """Gradients of the mean cross-entropy of classes y (-1: none) after inputs x."""
+        _slopes(self.p, self.slopes, self.table, x, y, self.reach, self.start)
+        s, c = self.slope, self.change
+        np.subtract(s, self.first, out=c)
+        c *= 0.1
+        self.first += c
+        np.multiply(s, s, out=c)
+        c -= self.second
+        c *= 0.01
+        self.second += c
+        np.multiply(self.second, 1 / (1 - 0.99**self.steps), out=c)
+        np.sqrt(c, out=c)
+        c += 1e-8
+        np.divide(self.first, c, out=c)
+        c *= rate / (1 - 0.9**self.steps)
+        self.flat -= c
+
+
+def _slopes(p: dict, out: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, reach: np.ndarray, start: int) -> None:
+    """Into out: gradients of the mean cross-entropy of classes y (-1: none) after inputs x."""
     b, t = x.shape
+    d = p["e"].shape[1]
     real = (y >= 0).ravel()
+    cls = np.maximum(y, 0).ravel()
     at = np.where(y >= 0, x, start).ravel()
-    es = p["e"][at]
-    d = es.shape[1]
+    es = np.take(p["e"], at, axis=0)
     root = np.float32(np.sqrt(d))
-    q, k, v = ((es @ p[n]).reshape(b, t, d) for n in ("q", "k", "v"))
-    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-    a /= root
-    calm = max(a.max(initial=0), -a.min(initial=0)) + np.abs(p["near"]).max() < 60
-    a += np.where(reach >= 0, p["near"][np.maximum(reach, 0)], -1e9).astype(np.float32)
-    if not calm:
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v).reshape(b * t, d) + es
-    flat = h @ p["out"]
-    flat += p["bias"]
-    flat += table[at]
-    if max(flat.max(initial=0), -flat.min(initial=0)) > 60:
-        flat -= flat.max(axis=1, keepdims=True)
-    np.exp(flat, out=flat)
+    three = np.concatenate([p["q"] / root, p["k"], p["v"]], axis=1)
+    qkv = (es @ three).reshape(b, t, 3 * d)
+    q, k, v = (qkv[:, :, i * d : (i + 1) * d] for i in range(3))
+    bias = np.where(reach >= 0, p["near"][np.maximum(reach, 0)], -1e9).astype(np.float32)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += bias
+    a, sums, _ = _exponents(a)
+    mixed = np.matmul(a, v).reshape(b * t, d)
+    mixed /= sums[:, None]
+    # one column of ones more, for the bias
+    h = np.ones((b * t, d + 1), np.float32)
+    np.add(mixed, es, out=h[:, :d])
+    last = np.concatenate([p["out"], p["bias"][None, :]])
+    flat = h @ last
+    flat += np.take(table, at, axis=0)
+    flat, total, _ = _exponents(flat)
     # rows are held as multiples: times `scale` they are the slopes of the logits
-    sizes = flat @ np.ones(flat.shape[1], np.float32)
-    where = np.flatnonzero(real)
-    flat[where, y.ravel()[where]] -= sizes[where]
-    scale = (real / (sizes * np.float32(max(1, len(where))))).astype(np.float32)
+    flat.ravel()[np.arange(0, flat.size, flat.shape[1]) + cls] -= total
+    scale = (real / (total * np.float32(max(1, real.sum()))))[:, None].astype(np.float32)
     dh = flat @ p["out"].T
-    dh *= scale[:, None]
-    da = np.matmul(dh.reshape(b, t, d), v.transpose(0, 2, 1))
-    da -= (da * a).sum(axis=2, keepdims=True)
-    da *= a
-    ds = da
-    dq, dk = (np.matmul(ds, k) / root).reshape(b * t, d), (np.matmul(ds.transpose(0, 2, 1), q) / root).reshape(b * t, d)
-    dv = np.matmul(a.transpose(0, 2, 1), dh.reshape(b, t, d)).reshape(b * t, d)
-    de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    near_e = np.zeros_like(p["e"])
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    if len(first):
-        near_e[at[order[first]]] = np.add.reduceat(de[order], first, axis=0)
-    close = np.bincount(np.maximum(reach, 0).ravel(), weights=np.where(reach >= 0, ds.sum(axis=0), 0).ravel(), minlength=KEYS)
-    return {"e": near_e, "near": close.astype(np.float32), "out": (h * scale[:, None]).T @ flat, "bias": scale @ flat, "q": es.T @ dq, "k": es.T @ dk, "v": es.T @ dv}
-
-
-def _encode(file: str, end: int, text: str):
+    dh *= scale
+    h *= scale
+    slope = (flat.T @ h).T
+    # a is held as multiples too: over `sums` its rows are the shares
+    dz = dh / sums[:, None]
+    ds = np.matmul(dz.reshape(b, t, d), v.transpose(0, 2, 1))
+    ds -= np.einsum("ij,ij->i", dz, mixed).reshape(b, t, 1)
+    ds *= a
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[:, :, :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), dz.reshape(b, t, d), out=dqkv[:, :, 2 * d :])
+    dqkv = dqkv.reshape(b * t, 3 * d)
+    de = dh + dqkv @ three.T
+    out["e"][:] = np.bincount((at[:, None] * d + np.arange(d)).ravel(), weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape)
+    # where an id is after the one it would be seen by, ds is 0
+    out["near"][:] = np.bincount(np.maximum(reach, 0).ravel(), weights=np.ones(b, np.float32) @ ds.reshape(b, t * t), minlength=KEYS)
+    out["out"][:], out["bias"][:] = slope[:d], slope[d]
+    each = es.T @ dqkv
+    out["q"][:], out["k"][:], out["v"][:] = each[:, :d] / root, each[:, d : 2 * d], each[:, 2 * d :]
+
+
+def _prepare(shared, file: str, end: int, text: str):
+    """Each text's ids, and what the base needs of it: words and ends, those in the head, their logs, the other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(file, False)
+        head, logs = shared.value
+        e = encoder(file, False, WordEncoder)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in X.portions(batch, text):
-                yield pa.RecordBatch.from_arrays([X.binaries(*e.encode_ended(part.column(text), end, True))], names=["ids"])
+                t = X.texts(part.column(text))
+                p = X.pieces(t, X.SPACES)
+                h = X.hashes(t.data, p.starts, p.ends, X.LOWER)
+                if len(head):
+                    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+                    known = head[at] == h
+                    gain = np.where(known, logs[at], 0)
+                else:
+                    known, gain = np.zeros(len(h), bool), np.zeros(len(h))
+                ids = X.binaries(*e.ended(*e.encode_pieces(t, p, h), end))
+                rest = [n for n in part.schema.names if n != text]
+                made = [pa.array(np.arange(row, row + len(t))), pa.array(p.counts + 1), pa.array(X.sums(known, p)), pa.array(X.sums(gain, p)), X.lists(h[~known].view(np.int64), X.sums(~known, p)), ids]
+                row += len(t)
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], *made], names=[*rest, *_MADE])
 
     return run
 
 
+def _ids(part: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of ids of encoded documents."""
+    t = X.texts(part.column(" ids").cast(pa.large_binary()).view(pa.large_string()))
+    return np.ascontiguousarray(t.data).view(kind).astype(np.int64), (t.ends - t.starts) // kind.itemsize
+
+
 def _documents(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and numbers of ids of encoded documents, about a million ids at a time."""
+    """The same, about a million ids at a time."""
     for batch in batches:
-        for part in X.portions(batch, "ids"):
-            t = X.texts(part.column("ids").cast(pa.large_binary()).view(pa.large_string()))
-            yield np.ascontiguousarray(t.data).view(kind).astype(np.int64), (t.ends - t.starts) // kind.itemsize
+        for part in X.portions(batch, " ids"):
+            yield _ids(part, kind)
 
 
 def _sliced(values: np.ndarray) -> pa.RecordBatch:
@@ -430,12 +459,13 @@ def _draw(kind: np.dtype, share: float, seed: int):
     """Windows whose hash falls into the share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = np.random.default_rng(0).integers(1, 1 << 62, KEYS + 1, np.uint64) | np.uint64(1)
         for ids, per in _documents(batches, kind):
-            both = np.concatenate(_windows(ids, per), axis=1).astype(np.int32)
-            raw = both.view(np.uint8).ravel()
-            at = np.arange(len(both)) * (8 * KEYS)
-            drawn = X.mix(X.hashes(raw, at, at + 8 * KEYS) + np.uint64(seed)) >> np.uint64(34) < np.uint64(int(share * (1 << 30)))
-            yield pa.RecordBatch.from_arrays([X.binaries(both[drawn].ravel(), np.full(int(drawn.sum()), 2 * KEYS))], names=["window"])
+            before, after = _windows(ids, ids, per)
+            keys = after.view(np.uint64) @ factors[:KEYS] + before[:, 0].view(np.uint64) * factors[KEYS]
+            drawn = X.mix(X.mix(keys) + np.uint64(seed)) >> np.uint64(34) < np.uint64(int(share * (1 << 30)))
+            both = np.concatenate([before[drawn], after[drawn]], axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([X.binaries(both.ravel(), np.full(len(both), 2 * KEYS))], names=["window"])
 
     return run
 
@@ -445,15 +475,15 @@ def _descend(shared, kind: np.dtype):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, group, cls, table, start = shared.value
-        descent = _Descent({n: x.copy() for n, x in p.items()}, table, start)
+        descent = _Descent(p, table, start)
         done, rng = 0, np.random.default_rng(0)
         for ids, per in _documents(batches, kind):
-            x, y = _inputs(*_windows(ids, per), group, cls, start)
+            x, y = _windows(group[ids], cls[ids], per, start)
             for chosen in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
                 descent.step(x[chosen], y[chosen], WHOLE_RATE * min(1, (descent.steps + 1) / 50) / (1 + descent.steps / 200) ** 0.5)
             done += len(ids)
         if done:
-            yield _sliced(np.append(np.concatenate([x.ravel() for x in descent.p.values()]).astype(np.float64) * done, float(done)))
+            yield _sliced(np.append(descent.flat.astype(np.float64) * done, float(done)))
 
     return run
 
@@ -465,13 +495,22 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 
 
 def _count_words(text: str):
+    """(word, n), each word once a task, or once for HELD_WORDS words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, words, counts, ends = Slots(), [], np.zeros(0, np.int64), 0
         for batch in batches:
             for part in X.portions(batch, text, 8 << 20):
                 t = X.texts(part.column(text))
                 p = X.pieces(t, X.SPACES)
-                _, at, n = np.unique(X.hashes(t.data, p.starts, p.ends, X.LOWER), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([_strings(t.data, p.starts[at], p.ends[at]), pa.array([END])]), pa.array(np.append(n, len(t)))], names=["word", "n"])
+                at, new = slots.number(X.hashes(t.data, p.starts, p.ends, X.LOWER))
+                words.append(_strings(t.data, p.starts[new], p.ends[new]))
+                counts = np.bincount(at, minlength=slots.many) + np.append(counts, np.zeros(len(new), np.int64))
+                ends += len(t)
+                if slots.many > HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(words), pa.array(counts)], names=["word", "n"])
+                    slots, words, counts = Slots(), [], np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([*words, pa.array([END])]), pa.array(np.append(counts, ends))], names=["word", "n"])
 
     return run
 
@@ -480,11 +519,12 @@ def _encode_words(file: str):
     """(hash, n, ids) of each word of the count table; the end has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(file, False)
+        e = encoder(file, False, WordEncoder)
         for batch in batches:
             if batch.num_rows:
                 t = X.texts(batch.column("word"))
-                ids, per = e.encode(batch.column("word"))
+                p = X.pieces(t, X.SPACES)
+                ids, per = e.encode_pieces(t, p, X.hashes(t.data, p.starts, p.ends, X.LOWER))
                 yield pa.RecordBatch.from_arrays([pa.array(X.hashes(t.data, t.starts, t.ends, X.LOWER).view(np.int64)), batch.column("n"), X.binaries(ids.astype(np.int32), per)], names=["hash", "n", "ids"])
 
     return run
@@ -538,65 +578,78 @@ def _closing(e, size: int) -> np.ndarray:
     return out
 
 
-def _score(shared, file: str, end: int, text: str):
+def _score(shared, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, logs = shared.value
-        e = encoder(file, False)
-        row = TaskContext.get().partitionId() << 36
+        model = shared.value
         for batch in batches:
-            for part in X.portions(batch, text):
-                t = X.texts(part.column(text))
-                p = X.pieces(t, X.SPACES)
-                h = X.hashes(t.data, p.starts, p.ends, X.LOWER)
-                if len(head):
-                    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-                    known = head[at] == h
-                    gain = np.where(known, logs[at], 0)
-                else:
-                    known, gain = np.zeros(len(h), bool), np.zeros(len(h))
-                ids, per = e.encode_ended(part.column(text), end, True)
+            for part in X.portions(batch, " ids"):
+                ids, per = _ids(part, kind)
                 stops = np.cumsum(per)
                 total = np.concatenate([[0], np.cumsum(model.score(ids, per))])
-                rest = [n for n in part.schema.names if n != text]
-                made = [pa.array(np.arange(row, row + len(t))), pa.array(p.counts + 1), pa.array(X.sums(known, p)), pa.array(X.sums(gain, p)), pa.array((total[stops] - total[stops - per]) / np.log(10)), X.lists(h[~known].view(np.int64), X.sums(~known, p))]
-                row += len(t)
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], *made], names=[*rest, *_MADE])
+                rest = [n for n in part.schema.names if n != " ids"]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], pa.array((total[stops] - total[stops - per]) / np.log(10))], names=[*rest, "score"])
 
     return run
 
 
-#: Working columns while scoring; the leading space keeps them apart from columns of the input.
-_MADE = (" row", "n_tokens", " n_head", " head_logs", "score", " tail")
+#: Working columns before scoring; the leading space keeps them apart from columns of the input.
+_MADE = (" row", "n_tokens", " n_head", " head_logs", " tail", " ids")
 _RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @dataclass
-class Learnt:
-    """The model, and of the training words: the table (hash, n, ids) with the end, how many, distinct ones, documents."""
+class Words:
+    """Of the training words: the table (hash, n, ids) with the end, how many, distinct ones, documents."""
 
-    model: Model
-    words: DataFrame
+    table: DataFrame
     n: int
     distinct: int
     documents: int
 
 
+@dataclass
+class Learnt:
+    model: Model
+    words: Words
+
+
+def _words(docs: DataFrame, file: str, text: str) -> Words:
+    counted = spread(docs.select(text)).mapInArrow(_count_words(text), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    table = saved(counted.mapInArrow(_encode_words(file), "hash long, n long, ids binary"), "word-counts")
+    facts = table.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    return Words(table, facts["n"] or 0, facts["v"], docs.count())
+
+
+def _prepared(docs: DataFrame, words: Words, file: str, text: str) -> DataFrame:
+    """docs with _MADE in place of the text, written: each text is encoded once, for learning and for scores."""
+    top = most_frequent(words.table.select("hash", "n"), "n", HEAD_WORDS).toArrow()
+    head, many = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(head)
+    shared = docs.sparkSession.sparkContext.broadcast((head[order], np.log10(many[order] + 0.1)))
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.ArrayType(T.LongType()), T.BinaryType()]
+    schema = T.StructType([*docs.drop(text).schema.fields, *[T.StructField(n, k) for n, k in zip(_MADE, kinds, strict=True)]])
+    return saved(spread(docs).mapInArrow(_prepare(shared, file, encoder(file, False).mark_id, text), schema), "encoded")
+
+
 def learn(docs: DataFrame, *, file: str, text: str = "text", seed: int = 0, start_ids: int = START_IDS) -> Learnt:
     """From all rows of docs: counts of words, subwords and their pairs, and attention, all from every text."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    docs = docs.select(text)
+    words = _words(docs, file, text)
+    return _learn(_prepared(docs, words, file, text), words, file, seed, start_ids)
+
+
+def _learn(encoded: DataFrame, words: Words, file: str, seed: int, start_ids: int) -> Learnt:
+    """The same from what _prepared() makes of the documents, and their words."""
+    spark, encoded = encoded.sparkSession, encoded.select(" ids")
     e = encoder(file, False)
     end = e.mark_id
     size = max(end + 1, e.vocabulary_size)
-    words = spread(docs.select(text)).mapInArrow(_count_words(text), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    table = saved(words.mapInArrow(_encode_words(file), "hash long, n long, ids binary"), "word-counts")
-    facts = table.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_docs = docs.count()
     closing, stated = _closing(e, size), np.zeros((2, size), np.int64)
-    spelt = table.where(F.octet_length("ids") > 0)
+    spelt = words.table.where(F.octet_length("ids") > 0)
     found = spelt.mapInArrow(_count_ids(size, closing), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     stated.ravel()[found.column("id").to_numpy()] = found.column("n").to_numpy()
-    stated[0, end] += n_docs
+    stated[0, end] += words.documents
     both = stated.sum(axis=0)
     common = _common(both)
     place = _place(common, size)
@@ -607,7 +660,6 @@ def learn(docs: DataFrame, *, file: str, text: str = "text", seed: int = 0, star
     counts = Counts(stated, pair // size, pair % size, pairs.column("n").to_numpy(), closing)
 
     total = int(both.sum())
-    encoded = saved(spread(docs.select(text)).mapInArrow(_encode(file, end, text), "ids binary"), "encoded")
     kind = np.dtype(e.kind)
     cells = encoded.mapInArrow(_count_neighbours(kind, place, len(common)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     neighbours = np.zeros(2 * (len(common) + 1) * (min(len(common), NEIGHBOURS) + 1))
@@ -621,7 +673,7 @@ def learn(docs: DataFrame, *, file: str, text: str = "text", seed: int = 0, star
     if len(made):
         parts = np.split((made[:-1] / made[-1]).astype(np.float32), np.cumsum([x.size for x in p.values()])[:-1])
         p = {n: v.reshape(x.shape) for (n, x), v in zip(p.items(), parts, strict=True)}
-    return Learnt(frame.model(p), table, facts["n"] or 0, facts["v"], n_docs)
+    return Learnt(frame.model(p), words)
 
 
 def score(docs: DataFrame, *, file: str, train: str = "train", text: str = "text", seed: int = 0, start_ids: int = START_IDS) -> DataFrame:
@@ -633,33 +685,35 @@ def score(docs: DataFrame, *, file: str, train: str = "train", text: str = "text
     document ids, so null and repeated ones change nothing. Without training rows all counts are 0. Columns
     that have the names of results are replaced, others stay.
     """
-    docs = docs.drop(*_RESULTS)
-    learnt = learn(docs.where(F.coalesce(train, F.lit(False))), file=file, text=text, seed=seed, start_ids=start_ids)
-    return score_with(docs.drop(train), learnt, file=file, text=text)
+    ship(docs.sparkSession)
+    flag = F.coalesce(train, F.lit(False))
+    docs = docs.drop(*_RESULTS).withColumn(train, flag)
+    words = _words(docs.where(train), file, text)
+    encoded = _prepared(docs.withColumnRenamed(train, " train"), words, file, text)
+    return _scored(encoded.drop(" train"), _learn(encoded.where("` train`"), words, file, seed, start_ids), file)
 
 
 def score_with(docs: DataFrame, learnt: Learnt, *, file: str, text: str = "text") -> DataFrame:
     """The same for all rows of docs, by what was learnt before."""
-    spark, end = docs.sparkSession, encoder(file, False).mark_id
-    ship(spark)
-    docs = docs.drop(*_RESULTS)
-    top = most_frequent(learnt.words.select("hash", "n"), "n", HEAD_WORDS).toArrow()
-    head, many = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(head)
-    shared = spark.sparkContext.broadcast((learnt.model, head[order], np.log10(many[order] + 0.1)))
-    rest = docs.drop(text)
-    kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType())]
-    schema = T.StructType([*rest.schema.fields, *[T.StructField(n, k) for n, k in zip(_MADE, kinds, strict=True)]])
-    scored = saved(spread(docs).mapInArrow(_score(shared, file, end, text), schema), "scored")
-    tail = scored.select(F.col(" row").alias(" tail_row"), F.explode(" tail").alias("hash")).join(learnt.words.select("hash", "n"), "hash", "left")
+    ship(docs.sparkSession)
+    return _scored(_prepared(docs.drop(*_RESULTS), learnt.words, file, text), learnt, file)
+
+
+def _scored(encoded: DataFrame, learnt: Learnt, file: str) -> DataFrame:
+    words, table = learnt.words, learnt.words.table.select("hash", "n")
+    shared = encoded.sparkSession.sparkContext.broadcast(learnt.model)
+    rest = encoded.drop(" tail")
+    schema = T.StructType([*rest.drop(" ids").schema.fields, T.StructField("score", T.DoubleType())])
+    scored = saved(rest.mapInArrow(_score(shared, np.dtype(encoder(file, False).kind)), schema), "scored")
+    tail = encoded.select(F.col(" row").alias(" tail_row"), F.explode(" tail").alias("hash")).join(table, "hash", "left")
     tail = tail.groupBy(" tail_row").agg(F.count("n").alias(" n_tail"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias(" tail_logs"))
-    floor = float(np.log10(learnt.n + 0.1 * (learnt.distinct + 1)))
-    joined = scored.drop(" tail").join(tail, F.col(" row") == F.col(" tail_row"), "left")
+    floor = float(np.log10(words.n + 0.1 * (words.distinct + 1)))
+    joined = scored.join(tail, F.col(" row") == F.col(" tail_row"), "left")
     return joined.select(
-        *rest.columns,
+        *encoded.drop(*_MADE).columns,
         "n_tokens",
-        (F.col(" n_head") + F.coalesce(" n_tail", F.lit(0)) + (1 if learnt.documents else 0)).alias("n_known"),
-        F.lit(learnt.n).cast("long").alias("train_tokens"),
-        (F.col(" head_logs") + F.coalesce(" tail_logs", F.lit(0.0)) + F.lit(float(np.log10(learnt.documents + 0.1))) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col(" n_head") + F.coalesce(" n_tail", F.lit(0)) + (1 if words.documents else 0)).alias("n_known"),
+        F.lit(words.n).cast("long").alias("train_tokens"),
+        (F.col(" head_logs") + F.coalesce(" tail_logs", F.lit(0.0)) + F.lit(float(np.log10(words.documents + 0.1))) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
         "score",
     )

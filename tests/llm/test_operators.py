@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from cohortlake.llm import attention_lm, components, decontaminate, fertility, langid, line_dedup, packing, quality_em, shared, token_files, trie_join, url_lists
 from cohortlake.llm import text as X
-from cohortlake.llm.tokens import Encoder
+from cohortlake.llm.tokens import Encoder, WordEncoder
 
 SPACES = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -382,6 +382,30 @@ def test_attention_learns_from_every_training_document(spark, monkeypatch):
     assert seen[0][-1] == sum(1 + sum(len(whole.encode(w, add_special_tokens=False).ids) for w in words(t)) for _, t in rows)
 
 
+def test_attention_encodes_each_text_once(docs, monkeypatch):
+    made, saved = {}, attention_lm.saved
+    monkeypatch.setattr(attention_lm, "saved", lambda df, name: made.setdefault(name, []).append(df.inputFiles()) or saved(df, name))
+    attention_lm.score(docs.withColumn("train", F.lit(True)), file=public_tokenizers.path("word_bpe_49k.json"))
+    assert {n: len(x) for n, x in made.items()} == {"word-counts": 1, "encoded": 1, "scored": 1}
+    assert made["scored"][0] and all("/encoded-" in f for f in made["scored"][0])
+
+
+def test_word_encoder_equals_encoder():
+    r = random.Random(8)
+    marks = [*"abABsStTdDmMlLvVrReE019!-.,<|>&'", *"éÉÀÖØÞßøÿñ÷×\u00ad", "\u0130", "I\u0307", "J\u030c", "\u01f0", "H\u0331", "\u212a", "\u03a3", "日", "\u00a0", "\u3000", "\u200b", "\x01", "\x1c", "\x7f", "\u0301", "<|endoftext|>"]
+    texts = [" ".join("".join(r.choices(marks, k=r.randint(1, 6))) for _ in range(r.randint(0, 9))) for _ in range(4000)] + [None, "", " \n"]
+    column = pa.array(texts)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    e, w = Encoder(file, False), WordEncoder(file, False)
+    assert w.merging is not None
+    t = X.texts(column)
+    p = X.pieces(t, X.SPACES)
+    want = e.encode_ended(column, e.mark_id, True)
+    for _ in range(2):
+        got = w.ended(*w.encode_pieces(t, p, X.hashes(t.data, p.starts, p.ends, X.LOWER)), e.mark_id)
+        assert got[0].dtype == want[0].dtype and (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def random_counts(r, size=200):
     closing = np.arange(size) % 3 == 0
     pairs = r.integers(0, size, (2, 900))
