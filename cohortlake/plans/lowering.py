@@ -39,11 +39,22 @@ def needs_places(script: Script) -> bool:
     """Whether rows must be numbered; else any unique number of a row will do, and no sort is needed."""
     said = list(walk(script.body))
     within = any(x.kind == "each" for n in said if n.kind == "each" for x in walk(n.parts[1]))
-    return within or any(a.kind == "value" for a in script.select) or any(
+    return within or says_places(script)
+
+
+def says_places(script: Script) -> bool:
+    """Whether the script itself asks for places of rows or their order."""
+    said = list(walk(script.body))
+    return any(a.kind == "value" for a in script.select) or any(
         n.kind in ("return", "exit") or n.kind in ("name", "call") and n.value in ("cursor", "get_row") or n.kind == "inline" and n.value == "row" or n.kind == "each" and "from" in dict(n.value) for n in said
     )
 
 
+def _parts(n: Node) -> list[Node]:
+    """What && holds together."""
+    return [x for p in n.parts for x in _parts(p)] if n.kind == "logic" and n.value == "&&" else [n]
+
+
 @dataclass
 class Push:
     frame: DataFrame
@@ -65,6 +76,8 @@ class Lowering:
         self.columns = set(frame.columns)
         self.vars: dict[str, Column] = {}
         self.made = 0
+        # a place only tells rows of one push apart, so any unique number will do
+        self.once = not says_places(script) and sum(n.kind == "tally" for n in walk(script.body)) == 1
         self.pushes: list[Push] = []
         self.returns: list[tuple[Column, Column]] = []
         self.bounds: tuple[Column | float, Column | float] = (-math.inf, math.inf)
@@ -163,32 +176,89 @@ class Lowering:
         return given
 
     def nested(self, s: Node, given: Column) -> None:
-        """each_row at a row: the rows that get here, joined with their customers' rows. Conditions go into the join,
-        so what they hold equal to a variable is part of its key; a limit takes the nearest matches of each row."""
+        """each_row at a row: the rows that get here, each with its customer's rows that meet the condition. Parts of the
+        condition that hold a property equal to a variable are keys; a limit takes the nearest matches of each row."""
         opts, (where, body) = dict(s.value), s.parts
         if {"from", "reverse", "forward"} & set(opts) or "next" in opts and "continue" not in opts or "limit" in opts and opts["limit"][0].kind != "lit":
             raise Unsupported(f"line {s.line}: this start or direction inside each_row")
         before, frame, bounds = dict(self.vars), self.frame, self.bounds
-        lo_hi = self.scope(s.value)
-        names = {n: self.held(v) for n, v in self.vars.items()}
+        lo_hi, made = self.scope(s.value), self.made
+        said = {n.value for n in walk(s.parts) if n.kind in ("name", "call", "assign")}
+        names = {n: self.held(v) for n, v in self.vars.items() if n in said}
         held = [x if isinstance(x, float) else self.held(x) for x in lo_hi]
-        here, kept = f"_rn{len(self.outer)}", [c for c in self.frame.columns if c.startswith("_w") or c in self.outer]
-        rows_here = self.frame.where(given).select(F.col("id").alias("_id"), F.col("rn").alias(here), *kept)
+        ordered = any({"limit", "continue"} & set(dict(n.value)) for n in [s, *walk(body)] if n.kind == "each")
+        here, kept = f"_rn{len(self.outer)}", [*(c for c in self.frame.columns if ordered and c in self.outer), *(f"_w{k}" for k in range(made, self.made))]
+        free, keys, rest = self.sorted_out(where, names)
         self.outer.append(here)
-        self.frame = rows_here.join(self.whole, F.col("_id") == F.col("id")).drop("_id")
-        self.vars, self.bounds = names, tuple(held)
-        met = self.truth(where) & self.in_bounds()
-        if "continue" in opts:
-            met = met & ((F.col("rn") > F.col(here)) if "next" in opts else (F.col("rn") >= F.col(here)))
-        self.frame = self.frame.where(met)
-        if "limit" in opts:
-            order = Window.partitionBy("id", *self.outer).orderBy("rn")
-            self.frame = self.frame.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= opts["limit"][0].value).drop("_n")
+        if "next" in opts and "limit" in opts and opts["limit"][0].value == 1 and frame.columns[: len(self.whole.columns)] == self.whole.columns and len(self.outer) == 1 and held == list(lo_hi) and not keys and not rest:
+            self.frame = self.following(where, given, here, kept)
+            self.vars, self.bounds = names, tuple(held)
+        else:
+            left, self.frame = self.frame.where(given), self.whole
+            right = self.whole.where(reduce(lambda a, b: a & b, [self.truth(p) for p in free], F.lit(True)))
+            if keys and not ordered:
+                self.frame = self.met(left.select("id", *kept), right, keys)
+            else:
+                rows_here = left.select(F.col("id").alias("_id"), F.col("rn").alias(here), *kept)
+                self.frame, rest = rows_here.join(right, F.col("_id") == F.col("id")).drop("_id"), [where]
+            self.vars, self.bounds = names, tuple(held)
+            met = reduce(lambda a, b: a & b, [self.truth(p) for p in rest], self.in_bounds())
+            if "continue" in opts:
+                met = met & ((F.col("rn") > F.col(here)) if "next" in opts else (F.col("rn") >= F.col(here)))
+            self.frame = self.frame.where(met)
+            if "limit" in opts:
+                order = Window.partitionBy("id", *self.outer).orderBy("rn")
+                self.frame = self.frame.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= opts["limit"][0].value).drop("_n")
         self.inner(body, F.lit(True))
         self.outer.pop()
         self.frame, self.vars, self.bounds = frame, before, bounds
         self.joined = True
 
+    def sorted_out(self, where: Node, names: dict[str, Column]) -> tuple[list[Node], list[tuple[str, Column]], list[Node]]:
+        """The parts of a condition: those without variables, (property, variable) held equal, and others."""
+        free, keys, rest = [], [], []
+        for p in _parts(where):
+            if p.kind == "filter" and set(dict(p.parts[0])) == {"is"} and dict(p.parts[0])["is"][0].value == "==":
+                pair = (Node("name", p.value, (), p.line), dict(p.parts[0])["is"][1])
+            else:
+                pair = p.parts if p.kind == "compare" and p.value == "==" else ()
+            key = next(((a.value, names[b.value]) for a, b in (pair, pair[::-1]) if a.kind == b.kind == "name" and b.value in names and a.value in set(self.whole.columns) - set(names)), None) if pair else None
+            if not any(n.kind in ("name", "call") and n.value in names for n in walk(p)):
+                free.append(p)
+            elif key and self.whole.schema[key[0]].dataType == self.kind(key[1]):
+                keys.append(key)
+            else:
+                rest.append(p)
+        return free, keys, rest
+
+    def following(self, where: Node, given: Column, here: str, kept: list[str]) -> DataFrame:
+        """The rows that get here, each with the next row of its customer that meets a condition of its own.
+
+        One window from the last row to the first, so a long history is not joined with itself. Each column is found
+        by itself: those that nothing asks for, places among them, are not even read."""
+        met = self.truth(where)
+        later = rows.ordered(desc=True).rowsBetween(Window.unboundedPreceding, -1)
+        found = lambda c: F.last(F.when(met, F.struct(c.alias("v"))), ignorenulls=True).over(later)
+        names = [c for c in self.whole.columns if c != "id"]
+        out = self.frame.where(given | met).select("id", F.col("rn").alias(here), *kept, given.alias("_on"), found(F.lit(True)).alias("_any"), *[found(F.col(c)).alias(f"_f_{c}") for c in names])
+        return out.where("_on AND _any IS NOT NULL").select("id", here, *kept, *[F.col(f"_f_{c}.v").alias(c) for c in names])
+
+    def met(self, left: DataFrame, right: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
+        """Rows of both sides that have a customer and the keys in common, null with null.
+
+        A join would deal both out by all the keys, and all it makes once more by customer. Here they are dealt out by
+        customer: the left rows of a key become an array, which a window gives to the right rows of the key."""
+        on = [f"_key{k}" for k in range(len(keys))]
+        if self.once:
+            right = right.drop("rn")
+        mine = left.groupBy("id", *[v.alias(k) for k, (_, v) in zip(on, keys, strict=True)]).agg(F.collect_list(F.struct(*[c for c in left.columns if c != "id"])).alias("_here"))
+        both = right.select("*", *[F.col(c).alias(k) for k, (c, _) in zip(on, keys, strict=True)]).unionByName(mine, allowMissingColumns=True).repartition("id")
+        given = F.first("_here", ignorenulls=True).over(Window.partitionBy("id", *on))
+        out = both.select(*right.columns, F.col("_here").isNull().alias("_row"), given.alias("_here")).where("_row AND _here IS NOT NULL")
+        if self.once:
+            out = out.withColumn("rn", F.monotonically_increasing_id())
+        return out.select(*self.whole.columns, F.explode("_here").alias("_one")).select(*self.whole.columns, *[F.col(f"_one.{c}").alias(c) for c in left.columns if c != "id"])
+
     joined = False
 
     def unrolled(self, s: Node, given: Column) -> None:

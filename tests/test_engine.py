@@ -330,3 +330,32 @@ def test_live_segments_know_customer_properties_and_the_clock(spark, tmp_path):
         seen = {(r["segment"], r["state"]) for r in spark.table("clocked").collect()}
     q.stop()
     assert seen == {("gold", "enter"), ("fresh", "enter"), ("fresh", "exit")}
+
+
+def test_neighbouring_baskets_are_dealt_out_by_customer_only(spark, sf_dir):
+    from cohortlake import queries
+
+    plan = plan_of(queries.QUERIES["jn_next_purchase_script"](spark, sf_dir)).splitlines()
+    sent = [x.split("hashpartitioning(")[1].split(")")[0] for x in plan if "Exchange hashpartitioning(" in x]
+    by_customer = [x for x in sent if x.startswith("id#") and x.count("#") == 1]
+    # nothing is sent for pairs of items, whose number is that of all further rows, but their counts by group
+    assert len(by_customer) == 3 and [x for x in sent if x.startswith("d#")] == [x for x in sent if x.count("#") > 1]
+
+
+MEETING = [
+    "select\n count id\n count event\n sum value\nend\neach_row where event == 'a'\n mine = kk\n each_row where kk.is(== mine) && event.is(!= 'a') && value != nil\n  << event, kk\n end\nend",
+    "select\n count id\n count event\n sum value\nend\neach_row where event == 'a'\n mine = kk\n was = value\n each_row where kk == mine && value.is(!= was)\n  << was, event, value\n end\nend",
+    "select\n count id\n count event\n sum value\nend\neach_row where event == 'a'\n was = value\n each_row.continue().next().limit(1) where event == 'b'\n  got = kk\n  each_row where kk.is(== got) && value.is(!= was)\n   << event, was\n  end\n end\nend",
+    "select\n count id\n count session\n sum value key kk\n max value as most all\nend\neach_row where event == 'a'\n mine = kk\n each_row where kk.is(== mine)\n  << event, value\n  << 'all', kk\n end\nend",
+]
+
+
+@pytest.mark.parametrize("script", MEETING)
+def test_rows_that_meet_by_a_property_with_nil_and_ties(spark, script):
+    made = [(k % 5 // 2, 1000 * (k % 7), "abc"[k * 7 % 11 % 3], None if k % 4 == 0 else k % 2, None if k % 5 == 0 else float(k % 6), 99, k) for k in range(90)]
+    rows = spark.createDataFrame(made, "id long, stamp long, event string, kk long, value double, z int, seq long")
+    e = Engine(spark)
+    e.bind(TableSpec("events", "numeric", (Property("value", "double"), Property("kk", "int"))), rows)
+    outs = [e.event("events", script, now=0, path=p) for p in ("expressions", "interpreter")]
+    got = [sorted(repr([None if v is None else float(v) if isinstance(v, float) or str(v).replace(".", "", 1).isdigit() else v for v in r]) for r in o.frame.collect()) for o in outs]
+    assert got[0] == got[1] and len(got[0]) > 3
