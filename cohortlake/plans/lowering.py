@@ -197,7 +197,9 @@ class Lowering:
             left, self.frame = self.frame.where(given), self.whole
             right = self.whole.where(reduce(lambda a, b: a & b, [self.truth(p) for p in free], F.lit(True)))
             if keys and not ordered:
-                self.frame = self.met(left.select("id", *kept), right, keys)
+                later = {n.value for n in walk([rest, body]) if n.kind in ("name", "call")}
+                done = [c for c, n in zip(kept, names, strict=False) if n not in later]
+                self.frame = self.met(left, right, keys, [c for c in kept if c not in done] or kept[:1])
             else:
                 rows_here = left.select(F.col("id").alias("_id"), F.col("rn").alias(here), *kept)
                 self.frame, rest = rows_here.join(right, F.col("_id") == F.col("id")).drop("_id"), [where]
@@ -243,21 +245,22 @@ class Lowering:
         out = self.frame.where(given | met).select("id", F.col("rn").alias(here), *kept, given.alias("_on"), found(F.lit(True)).alias("_any"), *[found(F.col(c)).alias(f"_f_{c}") for c in names])
         return out.where("_on AND _any IS NOT NULL").select("id", here, *kept, *[F.col(f"_f_{c}.v").alias(c) for c in names])
 
-    def met(self, left: DataFrame, right: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
+    def met(self, left: DataFrame, right: DataFrame, keys: list[tuple[str, Column]], carried: list[str]) -> DataFrame:
         """Rows of both sides that have a customer and the keys in common, null with null.
 
         A join would deal both out by all the keys, and all it makes once more by customer. Here they are dealt out by
-        customer: the left rows of a key become an array, which a window gives to the right rows of the key."""
+        customer: the left rows of a key become an array, which a window gives to the right rows of the key. The number
+        of partitions is given: adaptive plans would merge them by what they read, and what they make is larger."""
         on = [f"_key{k}" for k in range(len(keys))]
         if self.once:
             right = right.drop("rn")
-        mine = left.groupBy("id", *[v.alias(k) for k, (_, v) in zip(on, keys, strict=True)]).agg(F.collect_list(F.struct(*[c for c in left.columns if c != "id"])).alias("_here"))
-        both = right.select("*", *[F.col(c).alias(k) for k, (c, _) in zip(on, keys, strict=True)]).unionByName(mine, allowMissingColumns=True).repartition("id")
+        mine = left.groupBy("id", *[v.alias(k) for k, (_, v) in zip(on, keys, strict=True)]).agg(F.collect_list(F.struct(*carried)).alias("_here"))
+        both = right.select("*", *[F.col(c).alias(k) for k, (c, _) in zip(on, keys, strict=True)]).unionByName(mine, allowMissingColumns=True).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
         given = F.first("_here", ignorenulls=True).over(Window.partitionBy("id", *on))
         out = both.select(*right.columns, F.col("_here").isNull().alias("_row"), given.alias("_here")).where("_row AND _here IS NOT NULL")
         if self.once:
             out = out.withColumn("rn", F.monotonically_increasing_id())
-        return out.select(*self.whole.columns, F.explode("_here").alias("_one")).select(*self.whole.columns, *[F.col(f"_one.{c}").alias(c) for c in left.columns if c != "id"])
+        return out.select(*self.whole.columns, F.explode("_here").alias("_one")).select(*self.whole.columns, *[F.col(f"_one.{c}").alias(c) for c in carried])
 
     joined = False
 
